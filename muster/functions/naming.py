@@ -11,8 +11,12 @@ MANIFEST_FILE = "manifest.json"
 IDS_FILE = "ids.txt"
 SNAPSHOTS_DIR = "snapshots"
 LATEST_DIR = "latest"
+IDS_TABLE = "ids"
+MANIFESTS_TABLE = "manifests"
 NAME_SEPARATOR = "__q_"
 QUERY_HASH_LENGTH = 12
+# Fixed value: the characters Spark escapes in the names of partition directories.
+_ESCAPED = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
 
 
 def stamp_ntz(column: Column) -> Column:
@@ -44,10 +48,6 @@ def snapshot_name(stamp: Column, query: Column) -> Column:
     return F.concat(path_stamp(stamp), F.lit(NAME_SEPARATOR), query_hash(query))
 
 
-def relative_path(snapshot: Column) -> Column:
-    return F.concat_ws("/", F.lit(SNAPSHOTS_DIR), snapshot)
-
-
 def snapshot_dir(root: Column, snapshot: Column) -> Column:
     return F.concat_ws("/", root, F.lit(SNAPSHOTS_DIR), snapshot)
 
@@ -56,6 +56,32 @@ def latest_dir(root: Column) -> Column:
     return F.concat_ws("/", root, F.lit(LATEST_DIR))
 
 
+def partition_value(column: Column) -> Column:
+    """A value as Spark writes it into the name of a partition directory."""
+    escaped = F.transform(
+        F.split(column, ""),
+        lambda c: F.when(c.rlike(_ESCAPED), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c),
+    )
+    return F.array_join(escaped, "")
+
+
+def stored_path(commit_seq: Column, dataset_id: Column, snapshot: Column) -> Column:
+    """Where the identifiers of a snapshot lie below the root of a store."""
+    return F.concat(
+        F.lit(f"{IDS_TABLE}/commit_seq="),
+        commit_seq.cast("string"),
+        F.lit("/dataset_id="),
+        partition_value(dataset_id),
+        F.lit("/snapshot="),
+        partition_value(snapshot),
+    )
+
+
+def stored_manifest_path(commit_seq: Column) -> Column:
+    """Where the manifests of a commit lie below the root of a store."""
+    return F.concat(F.lit(f"{MANIFESTS_TABLE}/commit_seq="), commit_seq.cast("string"))
+
+
 def manifest_path(directory: Column, file_name: str = MANIFEST_FILE) -> Column:
     return F.concat_ws("/", directory, F.lit(file_name))
 

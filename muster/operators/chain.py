@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import BROADCAST_ROWS
-from muster.operators.order import range_stage
 from muster.shared import fresh_path, stage
 
 RUN_BYTES = 1 << 30
@@ -31,6 +30,7 @@ def _feeder(separator: bytes):
         import ctypes
 
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         crypto = ctypes.CDLL(_hashlib.__file__)
         update, final, init = crypto.SHA256_Update, crypto.SHA256_Final, crypto.SHA256_Init
@@ -50,30 +50,28 @@ def _feeder(separator: bytes):
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            values = batch.column(1).to_pylist()
-            states = batch.column(2).to_pylist()
-            start = 0
-            while start < len(names):
-                stop = start + 1
-                while stop < len(names) and names[stop] == names[start]:
-                    stop += 1
-                if names[start] != current or context is None:
+            names, values, states = batch.columns
+            if not len(names):
+                continue
+            changes = pc.indices_nonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)))
+            starts = [0, *(i + 1 for i in changes.to_pylist())]
+            for start, stop in zip(starts, [*starts[1:], len(names)]):
+                name, state = names[start].as_py(), states[start].as_py()
+                if context is None or name != current:
                     if context is not None:
                         yield finished()
-                    current, started = names[start], False
+                    current, started = name, False
                     context = ctypes.create_string_buffer(size)
                     init(context)
-                if states[start] is not None:
-                    ctypes.memmove(context, states[start], size)
+                if state is not None:
+                    ctypes.memmove(context, state, size)
                     started = True
                     start += 1
                 if start < stop:
                     if started:
                         absorb(separator)
-                    absorb(separator.join(values[start:stop]))
+                    absorb(separator.join(values.slice(start, stop - start).to_pylist()))
                     started = True
-                start = stop
         if context is not None:
             yield finished()
 
@@ -81,53 +79,58 @@ def _feeder(separator: bytes):
 
 
 def chained_digest(
-    rows: DataFrame, order: Sequence[str], *, separator: bytes = b"\n", run_bytes: int = RUN_BYTES
+    rows: DataFrame,
+    order: Sequence[str],
+    *,
+    n_bytes: int,
+    separator: bytes = b"\n",
+    run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
     """``(dataset_id, sha256)`` of the binary column ``value`` joined in ``order``.
 
     ``rows`` holds ``dataset_id``, ``value`` and the order columns, whose values
-    must be unique within a dataset.
+    must be unique within a dataset; ``n_bytes`` is about what all values weigh.
     """
-    rows = rows.select("dataset_id", *order, "value")
     spark = rows.sparkSession
-    weight = rows.agg(F.sum(F.octet_length("value") + len(separator))).first()[0] or 0
-    ranged = range_stage(rows, ["dataset_id"], order, max(1, math.ceil(weight / run_bytes)))
-    runs = stage(
-        ranged.withColumn("part", F.shiftright("_seq", 33)).drop("_seq"), "runs", partition_by="part"
-    )
+    n_parts = max(1, math.ceil(n_bytes / run_bytes))
+    ranged = rows.select("dataset_id", *order, "value").repartitionByRange(n_parts, "dataset_id", *order)
+    # A directory per range partition, so that a round opens the files of its runs only.
+    runs = stage(ranged.withColumn("part", F.spark_partition_id()), "runs", partition_by="part")
     by_part = Window.partitionBy("dataset_id").orderBy("part")
-    plan = stage(
+    turns = stage(
         runs.groupBy("dataset_id", "part")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("dataset_id", "part", (F.row_number().over(by_part) - 1).alias("turn"))
         .withColumn("last", F.max("turn").over(Window.partitionBy("dataset_id"))),
         "turns",
     )
-    rounds = (plan.agg(F.max("turn")).first()[0] or 0) + 1
+    # One row per round, and no more rounds than range partitions.
+    datasets_in = dict(turns.groupBy("turn").count().collect())
 
-    done = fresh_path(spark, "digests")
+    folder = fresh_path(spark, "states")
+    state_schema = "dataset_id string, state binary, sha256 string"
     nothing = F.lit(None).cast("binary")
-    states = None
-    for turn in range(rounds):
-        current = plan.where(F.col("turn") == turn)
-        if current.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    no_place = [F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in order]
+    for turn in range(len(datasets_in)):
+        current = turns.where(F.col("turn") == turn)
+        if datasets_in[turn] <= BROADCAST_ROWS:
             current = F.broadcast(current)
-        fed = runs.join(current, ["dataset_id", "part"]).select(
+        fed = runs.join(current.select("dataset_id", "part"), ["dataset_id", "part"]).select(
             "dataset_id", F.lit(1).alias("kind"), *order, "value", nothing.alias("state")
         )
-        if states is not None:
-            unordered = [F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in order]
-            resumed = states.where(F.col("last") >= turn)
+        if turn:
+            before = spark.read.schema(state_schema).parquet(f"{folder}/turn={turn - 1}")
+            resumed = before.join(current.select("dataset_id"), "dataset_id", "left_semi")
             fed = fed.unionByName(
-                resumed.select("dataset_id", F.lit(0).alias("kind"), *unordered, nothing.alias("value"), "state")
+                resumed.select("dataset_id", F.lit(0).alias("kind"), *no_place, nothing.alias("value"), "state")
             )
         hashed = (
             fed.repartition("dataset_id")
             .sortWithinPartitions("dataset_id", "kind", *order)
             .select("dataset_id", "value", "state")
-            .mapInArrow(_feeder(separator), "dataset_id string, state binary, sha256 string")
+            .mapInArrow(_feeder(separator), state_schema)
         )
-        ends = plan.where(F.col("turn") == turn).select("dataset_id", "last")
-        states = stage(hashed.join(ends, "dataset_id"), "states")
-        states.where(F.col("last") == turn).select("dataset_id", "sha256").write.mode("append").parquet(done)
-    return spark.read.schema("dataset_id string, sha256 string").parquet(done)
+        hashed.write.parquet(f"{folder}/turn={turn}")
+    ends = turns.where(F.col("turn") == F.col("last")).select("dataset_id", "turn")
+    states = spark.read.schema(f"{state_schema}, turn int").parquet(folder)
+    return states.join(ends, ["dataset_id", "turn"]).select("dataset_id", "sha256")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from muster.functions.text import charset
 from muster.operators.chain import RUN_BYTES, chained_digest
 from muster.operators.lookup import spread_lookup
-from muster.operators.normalize import list_order, normalize_counted
+from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.shared import stage
 
 # A list up to this size is joined in memory; a longer one is hashed in rounds.
@@ -27,6 +27,7 @@ def _joined_in_order(order: list[str], separator: str) -> Column:
 
 def list_digest(
     ids: DataFrame,
+    sizes: DataFrame,
     *,
     canonical_sort: bool,
     separator: str = "\n",
@@ -34,32 +35,34 @@ def list_digest(
     flat_bytes: int = FLAT_BYTES,
     run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
-    """``(dataset_id, ids_sha256)`` of normalised lists, staged by the caller.
+    """``(dataset_id, ids_sha256)`` of normalised lists that are not empty.
 
     SHA-256 over the identifiers in list order with ``separator`` between them and
-    none at the end. The sizes are measured first: only lists of at most
-    ``flat_bytes`` become one value, the others go through ``chained_digest``.
+    none at the end. ``ids`` and ``sizes(dataset_id, n_bytes)`` are staged by the
+    caller. Only lists of at most ``flat_bytes`` become one value; the others go
+    through ``chained_digest``.
     """
     encoding = charset(encoding)
     if encoding in ("utf-16", "utf-32"):
         raise ValueError(f"{encoding} has no fixed byte order; name one with it")
     order = list_order(canonical_sort)
-    gap = len(separator.encode())
-    sizes = stage(
-        ids.groupBy("dataset_id").agg(F.sum(F.octet_length("id") + gap).alias("bytes")), "sizes"
-    )
-    long = sizes.where(F.col("bytes") > flat_bytes)
-    any_long = not long.isEmpty()
+    is_long = F.col("n_bytes") > flat_bytes
+    long_bytes = sizes.where(is_long).agg(F.sum("n_bytes")).first()[0]
     short_ids = ids
-    if any_long:
-        sized = spread_lookup(ids, sizes, ["dataset_id"], ["id", "ord"])
-        short_ids = sized.where(F.col("bytes") <= flat_bytes)
+    if long_bytes:
+        sized = spread_lookup(ids, sizes.select("dataset_id", "n_bytes"), ["dataset_id"], ["id", "ord"])
+        short_ids = sized.where(~is_long)
     text = _joined_in_order(order, separator)
     flat = short_ids.groupBy("dataset_id").agg(F.sha2(F.encode(text, encoding), 256).alias("ids_sha256"))
-    if not any_long:
+    if not long_bytes:
         return flat
-    long_rows = sized.where(F.col("bytes") > flat_bytes).withColumn("value", F.encode("id", encoding))
-    chained = chained_digest(long_rows, order, separator=separator.encode(encoding), run_bytes=run_bytes)
+    chained = chained_digest(
+        sized.where(is_long).withColumn("value", F.encode("id", encoding)),
+        order,
+        n_bytes=long_bytes,
+        separator=separator.encode(encoding),
+        run_bytes=run_bytes,
+    )
     return flat.unionByName(chained.withColumnRenamed("sha256", "ids_sha256"))
 
 
@@ -80,15 +83,17 @@ def digest_of_lines(
     policy is part of the identity: the same list has another digest under another.
     """
     counted = stage(normalize_counted(lines, value, dedup=dedup), "normalized")
+    sizes = stage(measure(counted), "sizes")
     digests = list_digest(
         counted.where(F.col("id") != ""),
+        sizes,
         canonical_sort=canonical_sort,
         separator=separator,
         encoding=encoding,
         flat_bytes=flat_bytes,
         run_bytes=run_bytes,
     )
-    return with_empty_lists(counted.select("dataset_id").distinct(), digests)
+    return with_empty_lists(sizes.select("dataset_id"), digests)
 
 
 def with_empty_lists(datasets: DataFrame, digests: DataFrame, column: str = "ids_sha256") -> DataFrame:
@@ -137,6 +142,7 @@ def file_digests(
         .alias("value"),
     )
     rows = lines.unionByName(ending.where(F.col("value").isNotNull()))
-    chained = chained_digest(rows, ["ord"], separator=b"\n", run_bytes=run_bytes)
+    n_bytes = large.agg(F.sum("length")).first()[0]
+    chained = chained_digest(rows, ["ord"], n_bytes=n_bytes, separator=b"\n", run_bytes=run_bytes)
     big = chained.join(large, "dataset_id").select(F.col("dataset_id").alias("path"), "length", "sha256")
     return small.unionByName(big)

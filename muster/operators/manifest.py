@@ -94,9 +94,9 @@ def manifest_rows(
         "ids_tree_sha256": F.coalesce("ids_tree_sha256", empty),
         "engine_version": F.lit(spark.version),
         "snapshot_format_version": F.lit(N.FORMAT_VERSION),
-        "snapshot_file_name": F.lit(N.IDS_FILE),
-        "manifest_file_name": F.lit(N.MANIFEST_FILE),
-        "snapshot_relative_path": N.relative_path(F.col("snapshot")),
+        "snapshot_file_name": F.lit(N.IDS_TABLE),
+        "manifest_file_name": F.lit(N.MANIFESTS_TABLE),
+        "snapshot_relative_path": N.stored_path(F.lit(commit_seq), F.col("dataset_id"), F.col("snapshot")),
         "commit_seq": F.lit(commit_seq),
         "update_latest": F.lit(update_latest),
     }

@@ -67,11 +67,20 @@ def sort_list(ids: DataFrame, *, canonical_sort: bool) -> DataFrame:
     return ids.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def counts_by_dataset(lines: DataFrame, value: str = "value", *, dedup: bool = True) -> DataFrame:
-    """``(dataset_id, raw_count, normalized_count)``; datasets with only blanks are kept."""
-    counted = normalize_counted(lines, value, dedup=dedup)
+def measure(counted: DataFrame) -> DataFrame:
+    """``(dataset_id, raw_count, normalized_count, n_bytes)`` of ``normalize_counted``.
+
+    ``n_bytes`` is the length of the normalised list as lines of UTF-8. Datasets
+    with nothing but blanks are kept.
+    """
     kept = F.col("id") != ""
     return counted.groupBy("dataset_id").agg(
         F.sum("copies").alias("raw_count"),
         F.count(F.when(kept, 1)).alias("normalized_count"),
+        F.coalesce(F.sum(F.when(kept, F.octet_length("id").cast("bigint") + 1)), F.lit(0)).cast("bigint").alias("n_bytes"),
     )
+
+
+def counts_by_dataset(lines: DataFrame, value: str = "value", *, dedup: bool = True) -> DataFrame:
+    """``(dataset_id, raw_count, normalized_count)``."""
+    return measure(normalize_counted(lines, value, dedup=dedup)).drop("n_bytes")

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from muster.operators.lookup import spread_lookup
 from muster.shared import stage
 
-# Offsets per cell in ``previous_in_order``: a cell holds at most this many rows,
-# and the second level brings even 10**14 offsets down to some 10**5 cells.
+# Widths of the cells in ``previous_in_order``, each a multiple of the one before: a
+# cell holds at most 2**18 rows or 2**12 cells, and 10**14 offsets are 10**5 cells.
 CELL_WIDTHS = (1 << 18, 1 << 30)
 
 
-def range_stage(rows: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+def range_stage(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sort by ``keys`` and ``order`` over range partitions, and write the result.
 
     Adds ``_seq``, which grows along the sort. Its upper bits are the partition, so
     ``_seq >> 33`` names a contiguous run of bounded size. Writing fixes both.
     """
     by = [*keys, *order]
-    ranged = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    return stage(ranged.sortWithinPartitions(*by).withColumn("_seq", F.monotonically_increasing_id()), "ranged")
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stage(ranged.withColumn("_seq", F.monotonically_increasing_id()), "ranged")
 
 
 def dense_position(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
@@ -63,9 +63,9 @@ def previous_in_order(
     width, *wider = widths
     level = len(widths)
     cell, edge, before, inside = (f"_{name}{level}" for name in ("cell", "edge", "before", "inside"))
-    celled = rows.withColumn(cell, F.floor(F.col(position) / width).cast("bigint"))
+    celled = rows.withColumn(cell, F.col(position) - F.pmod(F.col(position), F.lit(width)))
     edges = celled.groupBy(*keys, cell).agg(F.max_by(value, position).alias(edge))
-    edges = previous_in_order(edges, keys, cell, edge, before, [w // width for w in wider])
+    edges = previous_in_order(edges, keys, cell, edge, before, wider)
     within = Window.partitionBy(*keys, cell).orderBy(position)
     return (
         celled.withColumn(inside, F.lag(value).over(within))

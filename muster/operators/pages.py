@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muster.operators.lookup import spread_lookup
 from muster.operators.order import CELL_WIDTHS, previous_in_order
+from muster.shared import stage
 
 PAGE_SCHEMA = "dataset_id string, page_start bigint, attempt int, ids array<string>, error string"
 
@@ -26,15 +28,20 @@ _ATTEMPT_STEP = 1 << 32  # one bigint holds an attempt and a page length
 _FAULTS = (REQUEST_ERROR, MISSING_ID_LIST, EMPTY_PAGE)
 
 
-def attempt_fault(ids: str = "ids", error: str = "error") -> Column:
+def attempt_fault() -> Column:
     """Why an attempt does not count, or null if it does."""
     return (
-        F.when(F.col(error).isNotNull(), REQUEST_ERROR)
-        .when(F.col(ids).isNull(), MISSING_ID_LIST)
-        .when(F.size(ids) == 0, EMPTY_PAGE)
+        F.when(F.col("error").isNotNull(), REQUEST_ERROR)
+        .when(F.col("ids").isNull(), MISSING_ID_LIST)
+        .when(F.size("ids") == 0, EMPTY_PAGE)
     )
 
 
+def succeeded() -> Column:
+    """The same as no ``attempt_fault``, in a form that reaches the scan."""
+    return F.col("error").isNull() & (F.size("ids") > 0)
+
+
 def first_success(pages: DataFrame, *, max_attempts: int | None = None) -> DataFrame:
     """The page of the first attempt at each offset that succeeded.
 
@@ -45,7 +52,7 @@ def first_success(pages: DataFrame, *, max_attempts: int | None = None) -> DataF
         pages = pages.where(F.col("attempt") < max_attempts)
     first = Window.partitionBy("dataset_id", "page_start").orderBy("attempt")
     return (
-        pages.where(attempt_fault().isNull())
+        pages.where(succeeded())
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") == 1)
         .drop("_rank")
@@ -93,7 +100,8 @@ def page_grid(
     """
     outcomes = page_outcomes(pages, max_attempts=max_attempts)
     landed = outcomes.where(F.col("fault").isNull() | (F.col("fault") != REQUEST_ERROR))
-    landed = landed.withColumn("page_end", F.col("page_start") + F.col("page_len"))
+    # Staged, because the cells need it several times and the pages are wide.
+    landed = stage(landed.withColumn("page_end", F.col("page_start") + F.col("page_len")), "outcomes")
     grid = previous_in_order(landed, ["dataset_id"], "page_start", "page_end", "expected_start", widths)
     return grid.withColumn("expected_start", F.coalesce("expected_start", F.lit(0).cast("bigint")))
 
@@ -157,6 +165,7 @@ def page_progress(pages: DataFrame, searches: DataFrame) -> DataFrame:
     """``(dataset_id, page_start, extracted, progress)`` after each page of ``first_success``."""
     ends = pages.select("dataset_id", "page_start", (F.col("page_start") + F.size("ids")).alias("extracted"))
     share = F.least(F.col("extracted") / F.col("reported_count"), F.lit(1.0))
-    return ends.join(searches.select("dataset_id", "reported_count"), "dataset_id").select(
+    reported = stage(searches.select("dataset_id", "reported_count"), "reported")
+    return spread_lookup(ends, reported, ["dataset_id"], ["page_start"]).select(
         "dataset_id", "page_start", "extracted", F.when(F.col("reported_count") > 0, share).alias("progress")
     )

@@ -1,7 +1,7 @@
 """An identity of a list that is computed in parallel, whatever its size.
 
 The distinct identifiers of a dataset are dealt to leaves by a prefix of their
-SHA-256. The prefix is as long as the dataset needs to keep leaves near
+SHA-256. The prefix is as long as the list needs to keep leaves near
 ``leaf_rows``, at two hex characters per level. A leaf is the SHA-256 of its sorted
 lines ``copies id``; a node above is the SHA-256 of its sorted ``prefix:digest``
 lines, at most 256 of them. The order of the list plays no part, and neither does
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.operators.lookup import spread_lookup
-from muster.shared import stage
 
 LEAF_ROWS = 4096
 LEVELS = 4
@@ -22,21 +21,21 @@ FANOUT = 256
 
 
 def tree_digest(
-    ids: DataFrame, *, distinct: bool, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS
+    ids: DataFrame, sizes: DataFrame, *, distinct: bool, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS
 ) -> DataFrame:
-    """``(dataset_id, ids_tree_sha256)`` of normalised lists, staged by the caller.
+    """``(dataset_id, ids_tree_sha256)`` of normalised lists.
 
+    ``ids`` and ``sizes(dataset_id, normalized_count)`` are staged by the caller.
     ``distinct`` says that no identifier repeats, which saves a shuffle.
     """
     if distinct:
         bag = ids.select("dataset_id", "id", F.lit(1).cast("bigint").alias("copies"))
     else:
         bag = ids.groupBy("dataset_id", "id").agg(F.count(F.lit(1)).alias("copies"))
-    sizes = stage(bag.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     depth = F.raise_error(F.lit("list too long for the depth of the tree")).cast("int")
     for level in range(levels, -1, -1):
-        depth = F.when(F.col("n") <= leaf_rows * FANOUT**level, level).otherwise(depth)
-    sizes = sizes.select("dataset_id", depth.alias("level"))
+        depth = F.when(F.col("normalized_count") <= leaf_rows * FANOUT**level, level).otherwise(depth)
+    levels_of = sizes.where(F.col("normalized_count") > 0).select("dataset_id", depth.alias("level"))
 
     prefix = F.substring(F.sha2("id", 256), F.lit(1), F.col("level") * 2)
     lines = F.transform(
@@ -44,7 +43,7 @@ def tree_digest(
         lambda pair: F.concat_ws(" ", pair["copies"].cast("string"), pair["id"]),
     )
     nodes = (
-        spread_lookup(bag, sizes, ["dataset_id"], ["id"])
+        spread_lookup(bag, levels_of, ["dataset_id"], ["id"])
         .groupBy("dataset_id", "level", prefix.alias("prefix"))
         .agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
     )

@@ -16,7 +16,7 @@ from muster.operators import pages as P
 from muster.operators.digest import list_digest
 from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import complete_searches, manifest_rows
-from muster.operators.normalize import list_order, normalize_counted
+from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.operators.tree import tree_digest
 from muster.plans import store
 from muster.shared import stage
@@ -83,7 +83,8 @@ def commit_snapshots(
     searches = stage(complete_searches(searches), "searches")
     _check(searches, store.opened(spark, root))
     counted = stage(normalize_counted(lists, value, dedup=dedup), "normalized")
-    unasked = counted.select("dataset_id").distinct().join(searches, "dataset_id", "left_anti")
+    sizes = stage(measure(counted), "sizes")
+    unasked = sizes.join(searches, "dataset_id", "left_anti")
     if strangers := _sample(unasked, "dataset_id"):
         raise ValueError(f"lists without a search: {strangers}")
     seq = _open(spark, root, searches)
@@ -100,15 +101,12 @@ def commit_snapshots(
         .parquet(target)
     )
     written = spark.read.schema(store.IDS_SCHEMA).parquet(target).select("dataset_id", "ord", "id")
-    counts = counted.groupBy("dataset_id").agg(
-        F.sum("copies").alias("raw_count"), F.count(F.when(F.col("id") != "", 1)).alias("normalized_count")
-    )
-    digests = list_digest(written, canonical_sort=canonical_sort).join(
-        tree_digest(written, distinct=dedup), "dataset_id"
+    digests = list_digest(written, sizes, canonical_sort=canonical_sort).join(
+        tree_digest(written, sizes, distinct=dedup), "dataset_id"
     )
     rows = manifest_rows(
         searches,
-        counts,
+        sizes,
         digests,
         dedup=dedup,
         canonical_sort=canonical_sort,

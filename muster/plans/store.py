@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.functions import naming as N
 from muster.operators import catalog as C
 from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import MANIFEST_SCHEMA
@@ -19,6 +20,10 @@ from muster.shared import read_or_empty, stage
 
 # The partition columns are named here, so "007" stays text.
 IDS_SCHEMA = "ord bigint, id string, commit_seq bigint, dataset_id string, snapshot string"
+_FILES_SCHEMA = (
+    "path string, modificationTime timestamp, length bigint, content binary, "
+    "commit_seq bigint, dataset_id string, snapshot string"
+)
 OPENED_SCHEMA = "dataset_id string, snapshot string, commit_seq bigint"
 
 
@@ -27,11 +32,11 @@ def opened_path(root: str) -> str:
 
 
 def ids_path(root: str) -> str:
-    return f"{root}/ids"
+    return f"{root}/{N.IDS_TABLE}"
 
 
 def manifests_path(root: str) -> str:
-    return f"{root}/manifests"
+    return f"{root}/{N.MANIFESTS_TABLE}"
 
 
 def opened(spark: SparkSession, root: str) -> DataFrame:
@@ -54,8 +59,25 @@ def identifiers(spark: SparkSession, root: str, dataset_id: str | None = None, s
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Every snapshot begun under ``root``; see ``list_snapshots``. Reads no identifier."""
-    return C.list_snapshots(identifiers(spark, root), manifests(spark, root), opened(spark, root))
+    """Every snapshot begun under ``root``; see ``list_snapshots``.
+
+    The identifier files are listed and not opened: one row per file.
+    """
+    files = read_or_empty(spark, ids_path(root), _FILES_SCHEMA, "binaryFile")
+    return C.list_snapshots(files, manifests(spark, root), opened(spark, root))
+
+
+def with_paths(manifests: DataFrame, root: str) -> DataFrame:
+    """Add ``snapshot_directory``, ``manifest_path`` and ``ids_path`` to manifests of this store."""
+    below = F.lit(f"{root}/")
+    directory = F.concat(below, F.col("snapshot_relative_path"))
+    return manifests.withColumns(
+        {
+            "snapshot_directory": directory,
+            "manifest_path": F.concat(below, N.stored_manifest_path(F.col("commit_seq"))),
+            "ids_path": directory,
+        }
+    )
 
 
 def latest_state(spark: SparkSession, root: str, datasets: DataFrame | None = None) -> DataFrame:
@@ -81,8 +103,9 @@ def snapshot_catalog(spark: SparkSession, root: str) -> DataFrame:
 def load_snapshots(spark: SparkSession, root: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(manifests, identifiers)`` of the snapshots named in ``wanted(dataset_id, snapshot)``.
 
-    A name that is not stored completely raises FileNotFoundError. The identifiers
-    are as stored: not normalised and not checked again.
+    A name that is not stored completely raises FileNotFoundError. The manifests come
+    with the paths of each snapshot. The identifiers are as stored: not normalised
+    and not checked again.
     """
     wanted = stage(wanted.select(*C.KEY).distinct(), "wanted")
     complete = listing(spark, root).where("complete")
@@ -94,7 +117,7 @@ def load_snapshots(spark: SparkSession, root: str, wanted: DataFrame) -> tuple[D
     # directories, so a broadcast of them prunes the scan.
     names = wanted.where(F.col("snapshot") > "")
     ids = spread_lookup(identifiers(spark, root), names, C.KEY, ["id", "ord"])
-    return found, ids.select("dataset_id", "snapshot", "ord", "id")
+    return with_paths(found, root), ids.select("dataset_id", "snapshot", "ord", "id")
 
 
 def load_latest(spark: SparkSession, root: str, datasets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

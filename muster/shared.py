@@ -31,8 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/muster/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used yet.
+
+    All paths of an application lie in one folder, to be removed when it has ended.
+    """
+    return f"{shared_dir(spark)}/muster/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = None) -> DataFrame:

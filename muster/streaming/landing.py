@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from muster.operators.pages import PAGE_SCHEMA, attempt_fault, flatten_pages
+from muster.operators.pages import PAGE_SCHEMA, flatten_pages, succeeded
 
 
 def stream_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -20,7 +20,7 @@ def append_identifiers(pages: DataFrame, path: str, checkpoint: str) -> Streamin
     No state is kept: each offset must succeed once in what lands. The page check
     runs on the landed pages before they are frozen.
     """
-    items = flatten_pages(pages.where(attempt_fault().isNull()))
+    items = flatten_pages(pages.where(succeeded()))
     return (
         items.writeStream.format("parquet")
         .option("path", path)
@@ -33,5 +33,5 @@ def append_identifiers(pages: DataFrame, path: str, checkpoint: str) -> Streamin
 
 def extracted_so_far(pages: DataFrame) -> DataFrame:
     """``(dataset_id, extracted)``, updated as pages arrive; state is one count per dataset."""
-    landed = pages.where(attempt_fault().isNull())
+    landed = pages.where(succeeded())
     return landed.groupBy("dataset_id").agg(F.sum(F.size("ids")).alias("extracted"))

@@ -55,7 +55,7 @@ def page_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their result pages of 100, with faults in some datasets and repeated requests."""
     events = table(spark, sf_dir, "events")
-    offset = F.floor(F.col("event_id") / 10).cast("bigint")
+    offset = F.expr("event_id div 10")
     items = events.select(
         F.concat(F.lit("d"), F.col("event_id") % 10).alias("dataset_id"),
         offset.alias("off"),
@@ -65,7 +65,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = items.groupBy("dataset_id", "page_start").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("off", "id"))), lambda item: item["id"]).alias("ids")
     )
-    placed = whole.join(page_searches(spark, sf_dir), "dataset_id")
+    placed = whole.join(F.broadcast(page_searches(spark, sf_dir)), "dataset_id")  # ten rows at any scale
     dataset, start, ids = F.col("dataset_id"), F.col("page_start"), F.col("ids")
     last = start + PAGE >= F.col("reported_count")
 
@@ -116,7 +116,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(number % 10 < 5)
         .select(
             (F.col("user_id") % 5).cast("string").alias("dataset_id"),
-            F.floor(number / 10).cast("bigint").alias("page_start"),
+            F.expr("event_id div 10").alias("page_start"),
             (number % 10).cast("int").alias("attempt"),
             ((F.col("value") < 20) | (number % 10 < 2)).alias("failed"),
         )

@@ -214,8 +214,8 @@ def _tree(rows: str, leaf_rows: int) -> str:
     """The tree digest of ``rows(dataset_id, id)``, for trees of at most two levels."""
     return f"""
     bag AS (SELECT dataset_id, id, count(*) AS copies, sha256(id) AS h FROM {rows} GROUP BY dataset_id, id),
-    depths AS (SELECT dataset_id, CASE WHEN count(*) <= {leaf_rows} THEN 0
-                   WHEN count(*) <= {leaf_rows} * 256 THEN 1 ELSE 2 END AS depth FROM bag GROUP BY dataset_id),
+    depths AS (SELECT dataset_id, CASE WHEN sum(copies) <= {leaf_rows} THEN 0
+                   WHEN sum(copies) <= {leaf_rows} * 256 THEN 1 ELSE 2 END AS depth FROM bag GROUP BY dataset_id),
     leaves AS (SELECT dataset_id, depth, substr(h, 1, depth * 2) AS prefix,
                       sha256(string_agg(copies || ' ' || id, chr(10) ORDER BY id)) AS digest
                FROM bag JOIN depths USING (dataset_id) GROUP BY 1, 2, 3),
@@ -327,9 +327,10 @@ def oracle() -> dict[str, str]:
                    coalesce(sha, {empty_sha}) AS ids_sha256, coalesce(digest, {empty_sha}) AS ids_tree_sha256,
                    CAST(1000 AS INTEGER) AS page_size, CAST(0.34 AS DOUBLE) AS request_delay_seconds,
                    CAST(5 AS INTEGER) AS max_retry_attempts, 'w' AS history_web_env, '1' AS history_query_key,
-                   '1.0' AS snapshot_format_version, 'ids.txt' AS snapshot_file_name,
-                   'manifest.json' AS manifest_file_name, {_name("retrieved_at_utc", "search_query")} AS snapshot,
-                   'snapshots/' || {_name("retrieved_at_utc", "search_query")} AS snapshot_relative_path,
+                   '1.0' AS snapshot_format_version, 'ids' AS snapshot_file_name,
+                   'manifests' AS manifest_file_name, {_name("retrieved_at_utc", "search_query")} AS snapshot,
+                   'ids/commit_seq=0/dataset_id=' || dataset_id || '/snapshot=' ||
+                       {_name("retrieved_at_utc", "search_query")} AS snapshot_relative_path,
                    CAST(0 AS BIGINT) AS commit_seq, true AS update_latest
             FROM searches LEFT JOIN counts USING (dataset_id) LEFT JOIN flats USING (dataset_id)
             LEFT JOIN roots USING (dataset_id)""",
@@ -379,7 +380,7 @@ def oracle() -> dict[str, str]:
         "load_snapshot": _with("stored") + "SELECT dataset_id, snapshot, ord, id FROM stored",
         "load_latest": _with("stored_even") + "SELECT dataset_id, snapshot, ord, id FROM stored_even",
         "snapshot_report": _with("stored", "searches") + f"""
-            SELECT dataset_id, t.snapshot, 'snapshots/' || t.snapshot AS snapshot_relative_path,
+            SELECT dataset_id, t.snapshot, 'ids/commit_seq=1/dataset_id=' || dataset_id || '/snapshot=' || t.snapshot AS snapshot_relative_path,
                    coalesce(n, 0) AS n_ids, retrieved_at_utc, search_query, translated_query,
                    coalesce(sha, {empty_sha}) AS ids_sha256
             FROM (SELECT *, {_name("retrieved_at_utc", "search_query")} AS snapshot FROM searches) t

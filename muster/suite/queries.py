@@ -13,9 +13,8 @@ from muster.functions import requests as R
 from muster.operators import catalog as C
 from muster.operators import manifest as M
 from muster.operators import pages as P
-from muster.operators.chain import chained_digest
 from muster.operators.digest import content_digest, digest_of_lines, file_digests, list_digest
-from muster.operators.normalize import counts_by_dataset, normalize, normalize_counted, stable_dedup
+from muster.operators.normalize import counts_by_dataset, measure, normalize, normalize_counted, stable_dedup
 from muster.operators.order import dense_position
 from muster.operators.retries import backoff_schedule, retry_outcome
 from muster.operators.tree import tree_digest
@@ -119,16 +118,17 @@ def digest_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = I.table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("dataset_id"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").alias("value")
     )
-    ids = stage(normalize(orders), "normalized")
-    weight = ids.agg(F.sum(F.octet_length("id") + 1)).first()[0]
-    rows = ids.withColumn("value", F.encode("id", "utf-8"))
-    return chained_digest(rows, ["id"], run_bytes=weight // 4 + 1).withColumnRenamed("sha256", "ids_sha256")
+    counted = stage(normalize_counted(orders), "normalized")
+    sizes = stage(measure(counted), "sizes")
+    run_bytes = sizes.agg(F.sum("n_bytes")).first()[0] // 8 + 1
+    return list_digest(counted, sizes, canonical_sort=True, flat_bytes=0, run_bytes=run_bytes)
 
 
 @_query("digest_bucketed")
 def digest_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = stage(normalize(I.noisy_lines(spark, sf_dir), dedup=False), "normalized")
-    return tree_digest(ids, distinct=False, leaf_rows=16)
+    counted = stage(normalize_counted(I.noisy_lines(spark, sf_dir), dedup=False), "normalized")
+    sizes = stage(measure(counted), "sizes")
+    return tree_digest(counted.where(F.col("id") != ""), sizes, distinct=False, leaf_rows=16)
 
 
 @_query("content_digest")
@@ -245,12 +245,10 @@ def layout_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stage(normalize_counted(I.noisy_lines(spark, sf_dir)), "normalized")
     ids = counted.where(F.col("id") != "")
-    totals = counted.groupBy("dataset_id").agg(
-        F.sum("copies").alias("raw_count"), F.count(F.when(F.col("id") != "", 1)).alias("normalized_count")
-    )
-    digests = list_digest(ids, canonical_sort=True).join(tree_digest(ids, distinct=True), "dataset_id")
+    sizes = stage(measure(counted), "sizes")
+    digests = list_digest(ids, sizes, canonical_sort=True).join(tree_digest(ids, sizes, distinct=True), "dataset_id")
     rows = M.manifest_rows(
-        M.complete_searches(I.searches(spark, sf_dir, LATE)), totals, digests, dedup=True, canonical_sort=True
+        M.complete_searches(I.searches(spark, sf_dir, LATE)), sizes, digests, dedup=True, canonical_sort=True
     )
     return rows.drop("engine_version")
 
