@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from muster.sources.lines import file_name
+
 
 def read_json_documents(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str, *, encoding: str = "utf-8", **options: str
@@ -17,13 +19,13 @@ def read_json_documents(
     """
     reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
     rows = reader.option("encoding", encoding).options(**options).json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "*")
+    return rows.select(file_name().alias("file"), "*")
 
 
 def read_json_values(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """``(file, value)``: documents of any shape, as VARIANT."""
     rows = spark.read.options(**options).text(path, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("value"))
+    return rows.select(file_name().alias("file"), F.parse_json("value").alias("value"))
 
 
 def json_field(column: str, path: str, kind: str = "string"):

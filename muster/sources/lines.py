@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.text import LINE_SAFE_CHARSETS, charset, strip
+from muster.operators.lookup import spread_lookup
+from muster.shared import stage
 
+# Spark's reader drops a UTF-8 byte order mark at the start of a file; Python keeps it.
+MARK = b"\xef\xbb\xbf"
+_COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 _ROW_BITS = 33  # how monotonically_increasing_id counts rows inside a partition
 
 
+def file_name(column: str | Column = "_metadata.file_path") -> Column:
+    """The full name of a file, in the one form of several that local files have."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
+
+
 def _size_in_bytes(spark: SparkSession, key: str) -> int:
     text = spark.conf.get(key).lower().removesuffix("b")
     for unit, shift in (("k", 10), ("m", 20), ("g", 30), ("t", 40)):
@@ -43,20 +53,27 @@ def read_lines(
     strip_lines: bool = True,
     skip_empty_lines: bool = True,
     strict: bool = True,
+    keep_mark: bool = True,
     **options: str,
 ) -> DataFrame:
     """``(file, ord, value)``, plus any partition columns, from text files under ``path``.
 
     Lines end at LF, CR or CRLF only. With ``strict``, bytes that are not valid in
     the encoding raise; without it they are kept (see ``invalid_lines``).
+
+    A byte order mark stays in the first line of a file, as it does in Python. To
+    find the files that have one costs a scan; ``keep_mark=False`` saves it where
+    there is none to keep. In compressed files the mark is dropped.
     """
     encoding = charset(encoding)
     if encoding in LINE_SAFE_CHARSETS:
         source = spark.read.options(**options).text(path)
         partitions = [c for c in source.columns if c != "value"]
         lines = source.select(
-            *partitions, F.col("_metadata.file_path").alias("file"), line_order(spark).alias("ord"), "value"
+            *partitions, file_name().alias("file"), line_order(spark).alias("ord"), "value"
         )
+        if keep_mark:
+            lines = _with_marks(lines, marked_files(spark, path, **options))
         if encoding != "utf-8":
             lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
         elif strict:
@@ -72,7 +89,7 @@ def read_lines(
         closed = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
         parts = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, r"\r\n|\r|\n", -1))
         lines = source.select(
-            *partitions, F.col("_metadata.file_path").alias("file"), F.posexplode(parts).alias("ord", "value")
+            *partitions, file_name().alias("file"), F.posexplode(parts).alias("ord", "value")
         ).withColumn("ord", F.col("ord").cast("bigint"))
     if strip_lines:
         lines = lines.withColumn("value", strip(F.col("value")))
@@ -81,6 +98,27 @@ def read_lines(
     return lines
 
 
+def marked_files(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """``(file)``: the uncompressed files that are 3 bytes longer than what the reader returns."""
+    source = spark.read.options(**options).text(path, lineSep="\n")
+    read = source.groupBy(file_name().alias("file"), F.col("_metadata.file_size").alias("size")).agg(
+        F.sum(F.octet_length("value") + F.lit(1)).alias("bytes")
+    )
+    # Every line but the last surely ends in LF, so one byte is in doubt.
+    return read.where((F.col("size") - F.col("bytes")).between(2, 3) & ~F.col("file").rlike(_COMPRESSED)).select("file")
+
+
+def _with_marks(lines: DataFrame, marked: DataFrame) -> DataFrame:
+    marked = stage(marked, "marked")
+    if marked.isEmpty():
+        return lines
+    in_marked = spread_lookup(lines.select("file", "ord"), marked, ["file"], ["ord"])
+    first = stage(in_marked.groupBy("file").agg(F.min("ord").alias("ord")).withColumn("_mark", F.lit(True)), "first")
+    whole = F.concat(F.lit(MARK), F.col("value").cast("binary")).cast("string")
+    found = spread_lookup(lines, first, ["file", "ord"], ["ord"], how="left")
+    return found.withColumn("value", F.when(F.col("_mark"), whole).otherwise(F.col("value"))).select(*lines.columns)
+
+
 def as_lists(lines: DataFrame, dataset: str = "file") -> DataFrame:
     """``(dataset_id, ord, value)`` with one list per file, or per value of another column."""
     return lines.select(F.col(dataset).cast("string").alias("dataset_id"), "ord", "value")
@@ -93,10 +131,10 @@ def invalid_lines(spark: SparkSession, path: str | list[str], **options: str) ->
 
 
 def byte_lines(spark: SparkSession, path: str, *, larger_than: int = -1, **options: str) -> DataFrame:
-    """``(dataset_id, ord, value)``: the raw bytes of each file, cut at LF only."""
+    """``(dataset_id, ord, value)``: the bytes of each file, cut at LF only, without a byte order mark."""
     source = spark.read.options(**options).text(path, lineSep="\n")
     return source.where(F.col("_metadata.file_size") > larger_than).select(
-        F.col("_metadata.file_path").alias("dataset_id"),
+        file_name().alias("dataset_id"),
         line_order(spark).alias("ord"),
         F.col("value").cast("binary").alias("value"),
     )
