@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +30,31 @@ def stamp_searches(searches: DataFrame, now: datetime | None = None) -> DataFram
     return searches.withColumn("retrieved_at_utc", stamp_instant(F.timestamp_seconds(F.lit(int(now.timestamp())))))
 
 
-def _sample(rows: DataFrame, *columns: str) -> list[tuple]:
-    return [tuple(row) for row in rows.select(*columns).orderBy(*columns).limit(5).collect()]
+# What can be wrong with a batch, in the order in which it is reported.
+_FAULTS = {
+    "nameless": (ValueError, "every search needs a dataset_id, a query and a retrieval stamp"),
+    "headless": (RuntimeError, "results are reported without their session"),
+    "taken": (FileExistsError, "snapshots exist already or come twice"),
+    "several": (ValueError, "several searches for one dataset"),
+}
 
 
 def _check(searches: DataFrame, existing: DataFrame) -> None:
-    nameless = searches.where(is_missing(F.col("dataset_id")) | F.col("snapshot").isNull())
-    if not nameless.isEmpty():
-        raise ValueError("every search needs a dataset_id, a query and a retrieval stamp")
-    headless = searches.where(
-        header_is_broken(F.col("reported_count"), F.col("history_web_env"), F.col("history_query_key"))
-    )
-    if broken := _sample(headless, "dataset_id"):
-        raise RuntimeError(f"results are reported without their session: {broken}")
-    if taken := _sample(C.collisions(searches, existing), *C.KEY):
-        raise FileExistsError(f"snapshots exist already or come twice: {taken}")
-    twice = searches.groupBy("dataset_id").count().where("count > 1")
-    if several := _sample(twice, "dataset_id"):
-        raise ValueError(f"several searches for one dataset: {several}")
+    nameless = is_missing(F.col("dataset_id")) | F.col("snapshot").isNull()
+    headless = header_is_broken(F.col("reported_count"), F.col("history_web_env"), F.col("history_query_key"))
+    found = {
+        "nameless": searches.where(nameless).select(*C.KEY),
+        "headless": searches.where(headless).select(*C.KEY),
+        "taken": C.collisions(searches, existing).select(*C.KEY),
+        "several": searches.groupBy("dataset_id").agg(F.max("snapshot").alias("snapshot"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > 1)
+        .select(*C.KEY),
+    }
+    samples = [rows.limit(5).withColumn("fault", F.lit(name)) for name, rows in found.items()]
+    rows = reduce(DataFrame.unionByName, samples).collect()
+    for name, (kind, message) in _FAULTS.items():
+        if names := sorted(str((row.dataset_id, row.snapshot)) for row in rows if row.fault == name):
+            raise kind(f"{message}: {', '.join(names)}")
 
 
 def _open(spark: SparkSession, root: str, names: DataFrame) -> int:
@@ -85,8 +93,8 @@ def commit_snapshots(
     counted = stage(normalize_counted(lists, value, dedup=dedup), "normalized")
     sizes = stage(measure(counted), "sizes")
     unasked = sizes.join(searches, "dataset_id", "left_anti")
-    if strangers := _sample(unasked, "dataset_id"):
-        raise ValueError(f"lists without a search: {strangers}")
+    if strangers := unasked.limit(5).collect():
+        raise ValueError(f"lists without a search: {[row.dataset_id for row in strangers]}")
     seq = _open(spark, root, searches)
 
     names = searches.select(*C.KEY)
@@ -134,8 +142,8 @@ def commit_pages(
     Pages that are missing, empty or out of line raise, and nothing is written.
     """
     verdicts = stage(P.page_verdict(pages, searches, max_attempts=max_attempts), "verdicts")
-    if faulty := _sample(verdicts.where(F.col("verdict") != P.OK), "dataset_id", "verdict"):
-        raise RuntimeError(f"pages are not whole: {faulty}")
+    if faulty := verdicts.where(F.col("verdict") != P.OK).limit(5).collect():
+        raise RuntimeError(f"pages are not whole: {[(row.dataset_id, row.verdict) for row in faulty]}")
     reported = searches.select("dataset_id", "reported_count")
     read = P.first_success(pages, max_attempts=max_attempts)
     # A page at or past the reported count is never asked for.
