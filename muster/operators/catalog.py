@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import requests as R
+from muster.operators.lookup import spread_lookup
+from muster.shared import stage
 
 KEY = ["dataset_id", "snapshot"]
 
@@ -90,7 +92,7 @@ def resolve_requests(requests: DataFrame, state: DataFrame) -> DataFrame:
     A reuse asks for no email and does not compare the request with what is stored.
     """
     facts = state.select("dataset_id", "snapshot", "has_latest", "has_manifest", "has_ids", "available")
-    joined = requests.join(facts, "dataset_id", "left")
+    joined = spread_lookup(requests, stage(facts, "state"), ["dataset_id"], requests.columns, how="left")
     no = F.lit(False)
     available = F.coalesce("available", no)
     mode = F.col("mode")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muster.operators.pages import attempt_fault, succeeded
+
 SUCCEEDED = "succeeded"
 EXHAUSTED = "exhausted"
 PENDING = "pending"
@@ -34,6 +36,24 @@ def retry_outcome(log: DataFrame, *, max_attempts: int) -> DataFrame:
     )
 
 
+def failed_datasets(pages: DataFrame, *, max_attempts: int) -> DataFrame:
+    """``(dataset_id, page_start, last_error)``: where reading a dataset ends, and why.
+
+    The first offset at which ``max_attempts`` requests brought no identifiers.
+    """
+    tried = pages.where(F.col("attempt") < max_attempts)
+    reason = F.coalesce("error", attempt_fault())
+    offsets = tried.groupBy("dataset_id", "page_start").agg(
+        F.max(succeeded()).alias("_won"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.max_by(reason, F.col("attempt")).alias("last_error"),
+    )
+    exhausted = offsets.where(~F.coalesce("_won", F.lit(False)) & (F.col("_rows") >= max_attempts))
+    return exhausted.groupBy("dataset_id").agg(
+        F.min("page_start").alias("page_start"), F.min_by("last_error", "page_start").alias("last_error")
+    )
+
+
 def backoff_schedule(log: DataFrame, *, delay_seconds: float, max_attempts: int) -> DataFrame:
     """``(dataset_id, page_start, attempt, backoff_seconds)``: the wait after each failure.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.functions.requests import DEFAULT_MAX_ATTEMPTS, DEFAULT_PAGE_SIZE, request_violation
 from muster.functions.text import is_missing
 from muster.operators import catalog as C
 from muster.operators.lookup import spread_lookup
@@ -28,6 +29,16 @@ def resolve(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     return C.resolve_requests(asked, store.latest_state(spark, root, requests)).drop("has_email")
 
 
+def _violations(requests: DataFrame) -> DataFrame:
+    """Requests whose arguments break a rule; an argument that is not given keeps to them."""
+    defaults = {"search_query": "-", "page_size": DEFAULT_PAGE_SIZE, "max_retry_attempts": DEFAULT_MAX_ATTEMPTS}
+    query, size, attempts = (
+        F.col(name) if name in requests.columns else F.lit(value) for name, value in defaults.items()
+    )
+    broken = request_violation(F.col("email"), query, size, attempts)
+    return requests.select("dataset_id", broken.alias("violation")).where(F.col("violation").isNotNull())
+
+
 def activate(
     spark: SparkSession,
     root: str,
@@ -40,7 +51,7 @@ def activate(
     canonical_sort: bool = True,
     update_latest: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(manifests, identifiers)`` of the snapshot each request comes to.
+    """``(manifests, identifiers)`` of the snapshot each of ``requests(dataset_id, mode, email, …)`` comes to.
 
     Requests to reuse read the store and touch no page. Requests to create freeze the
     landed ``searches`` and ``pages`` of their datasets. A request that can do neither
@@ -48,8 +59,10 @@ def activate(
     """
     resolved = stage(resolve(spark, root, requests), "resolved")
     failed = resolved.where(~F.col("outcome").isin(C.REUSE, C.CREATE))
-    if error := failed.orderBy("dataset_id").first():
+    if error := failed.first():
         raise _ERRORS[error.outcome](f"{error.dataset_id}: {error.outcome}")
+    if error := _violations(resolved.where(F.col("outcome") == C.CREATE)).first():
+        raise ValueError(f"{error.dataset_id}: {error.violation}")
     twice = resolved.groupBy("dataset_id").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError("several requests for one dataset")

@@ -308,6 +308,13 @@ def oracle() -> dict[str, str]:
                    CASE WHEN won IS NOT NULL THEN 'succeeded' WHEN n >= 3 THEN 'exhausted' ELSE 'pending' END AS outcome
             FROM (SELECT dataset_id, page_start, min(CASE WHEN NOT failed THEN attempt END) AS won, count(*) AS n
                   FROM log WHERE attempt < 3 GROUP BY 1, 2)""",
+        "failed_datasets": _with("pages_made") + """
+            SELECT dataset_id, page_start, last_error FROM (
+                SELECT dataset_id, page_start, coalesce(error, CASE WHEN ids IS NULL THEN 'missing_id_list'
+                           WHEN len(ids) = 0 THEN 'empty_page' END) AS last_error
+                FROM pages_made WHERE attempt = 0)
+            WHERE last_error IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY page_start) = 1""",
         "backoff_schedule": _with("log") + """SELECT dataset_id, page_start, attempt,
             pow(2, attempt) * 0.34 AS backoff_seconds FROM log WHERE failed AND attempt < 4""",
         "utc_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS retrieved_at_utc FROM events",
@@ -373,8 +380,8 @@ def oracle() -> dict[str, str]:
             row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS position FROM noisy""",
         "json_roundtrip": _with("snapshots")
         + "SELECT dataset_id, snapshot, commit_seq, update_latest, normalized_count FROM snapshots",
-        "json_documents": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name,
-            CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""",
+        "json_documents": """SELECT c_custkey, c_name, c_acctbal,
+            CAST(NULL AS VARCHAR) AS c_comment FROM customer""",
         "json_field": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
             json_extract_string(props, '$.missing') AS missing FROM events""",
         "load_snapshot": _with("stored") + "SELECT dataset_id, snapshot, ord, id FROM stored",

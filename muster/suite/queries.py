@@ -16,7 +16,7 @@ from muster.operators import pages as P
 from muster.operators.digest import content_digest, digest_of_lines, file_digests, list_digest
 from muster.operators.normalize import counts_by_dataset, measure, normalize, normalize_counted, stable_dedup
 from muster.operators.order import dense_position
-from muster.operators.retries import backoff_schedule, retry_outcome
+from muster.operators.retries import backoff_schedule, failed_datasets, retry_outcome
 from muster.operators.tree import tree_digest
 from muster.plans import store
 from muster.plans.commit import commit_snapshots
@@ -180,6 +180,11 @@ def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry_outcome(I.fetch_log(spark, sf_dir), max_attempts=3)
 
 
+@_query("failed_datasets")
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failed_datasets(I.result_pages(spark, sf_dir), max_attempts=1)
+
+
 @_query("backoff_schedule")
 def backoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_schedule(I.fetch_log(spark, sf_dir), delay_seconds=R.DELAY_WITHOUT_KEY, max_attempts=5)
@@ -364,11 +369,8 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("json_documents")
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows read as documents of any shape, then by key."""
-    rows = I.table(spark, sf_dir, "nation")
-    path = fresh_path(spark, "json")
-    write_json(rows.repartition("n_nationkey"), path)
-    schema = "n_nationkey bigint, n_name string, n_regionkey bigint"
+    path = write_json(I.table(spark, sf_dir, "customer"), fresh_path(spark, "json"))
+    schema = "c_custkey bigint, c_name string, c_acctbal double, c_comment string"
     return read_json_documents(spark, path, schema, multiLine="false").drop("file")
 
 

@@ -21,7 +21,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9)
+        return "nan" if math.isnan(value) else value
     return value
 
 
@@ -49,6 +49,4 @@ def compare(df, connection, sql) -> str | None:
             f"{sum(actual.values())} rows != {sum(expected.values())}; missing {sum(missing.values())} "
             f"{list(missing)[:2]}; extra {sum(extra.values())} {list(extra)[:2]}"
         )
-    if not expected and "collisions" not in sql:
-        return None
     return None

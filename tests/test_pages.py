@@ -3,7 +3,7 @@ import random
 import pytest
 
 from muster.operators import pages as P
-from muster.operators.retries import backoff_schedule, retry_outcome
+from muster.operators.retries import backoff_schedule, failed_datasets, retry_outcome
 from muster.streaming.landing import append_identifiers, extracted_so_far, stream_pages
 
 
@@ -136,6 +136,22 @@ def test_retries(spark):
     assert [(r.attempt, round(r.backoff_seconds, 9)) for r in waits.collect()] == [(0, 0.1), (1, 0.2)]
 
 
+def test_where_reading_ends(spark):
+    rows = [
+        ("d", 0, 0, ["a"], None),
+        ("d", 1, 0, None, "first"),
+        ("d", 1, 1, [], None),
+        ("d", 2, 0, None, "x"),
+        ("d", 2, 1, None, "y"),
+        ("e", 0, 0, None, "x"),
+        ("f", 0, 0, None, "x"),
+        ("f", 0, 1, None, "y"),
+        ("f", 0, 2, ["late"], None),
+    ]
+    found = failed_datasets(pages_frame(spark, rows), max_attempts=2)
+    assert sorted(tuple(row) for row in found.collect()) == [("d", 1, "empty_page"), ("f", 0, "y")]
+
+
 def test_pages_as_they_arrive(spark, tmp_path):
     landing, target, offsets = (str(tmp_path / name) for name in ("landing", "ids", "offsets"))
     schema = "dataset_id string, ord bigint, id string"

@@ -237,6 +237,7 @@ def test_activate(spark, root):
         (("new", "reuse_latest", "e", "q"), FileNotFoundError),
         (("new", "create_new", "", "q"), ValueError),
         (("new", "create_new", "e", "q"), ValueError),
+        (("zero", "create_new", "e", " \t"), ValueError),
     ):
         with pytest.raises(kind):
             activate(spark, root, requests(spark, row), asked, whole)
