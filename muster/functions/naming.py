@@ -65,15 +65,10 @@ def partition_value(column: Column) -> Column:
     return F.array_join(escaped, "")
 
 
-def stored_path(commit_seq: Column, dataset_id: Column, snapshot: Column) -> Column:
+def stored_path(commit_seq: Column, shard: Column) -> Column:
     """Where the identifiers of a snapshot lie below the root of a store."""
     return F.concat(
-        F.lit(f"{IDS_TABLE}/commit_seq="),
-        commit_seq.cast("string"),
-        F.lit("/dataset_id="),
-        partition_value(dataset_id),
-        F.lit("/snapshot="),
-        partition_value(snapshot),
+        F.lit(f"{IDS_TABLE}/commit_seq="), commit_seq.cast("string"), F.lit("/shard="), partition_value(shard)
     )
 
 

@@ -78,6 +78,30 @@ def _feeder(separator: bytes):
     return feed
 
 
+_STATE_SCHEMA = "dataset_id string, state binary, sha256 string"
+
+
+def _hashed(rows: DataFrame, order: Sequence[str], separator: bytes) -> DataFrame:
+    """Feed ``rows(dataset_id, kind, order…, value, state)``; a saved state has the lower ``kind``."""
+    return (
+        rows.repartition("dataset_id")
+        .sortWithinPartitions("dataset_id", "kind", *order)
+        .select("dataset_id", "value", "state")
+        .mapInArrow(_feeder(separator), _STATE_SCHEMA)
+    )
+
+
+def _values(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    return rows.select(
+        "dataset_id", F.lit(1).alias("kind"), *order, "value", F.lit(None).cast("binary").alias("state")
+    )
+
+
+def one_run_digest(rows: DataFrame, order: Sequence[str], *, separator: bytes = b"\n") -> DataFrame:
+    """``(dataset_id, sha256)`` like ``chained_digest``, of lists known to be short enough for one run."""
+    return _hashed(_values(rows, order), order, separator).select("dataset_id", "sha256")
+
+
 def chained_digest(
     rows: DataFrame,
     order: Sequence[str],
@@ -108,29 +132,20 @@ def chained_digest(
     datasets_in = dict(turns.groupBy("turn").count().collect())
 
     folder = fresh_path(spark, "states")
-    state_schema = "dataset_id string, state binary, sha256 string"
     nothing = F.lit(None).cast("binary")
     no_place = [F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in order]
     for turn in range(len(datasets_in)):
         current = turns.where(F.col("turn") == turn)
         if datasets_in[turn] <= BROADCAST_ROWS:
             current = F.broadcast(current)
-        fed = runs.join(current.select("dataset_id", "part"), ["dataset_id", "part"]).select(
-            "dataset_id", F.lit(1).alias("kind"), *order, "value", nothing.alias("state")
-        )
+        fed = _values(runs.join(current.select("dataset_id", "part"), ["dataset_id", "part"]), order)
         if turn:
-            before = spark.read.schema(state_schema).parquet(f"{folder}/turn={turn - 1}")
+            before = spark.read.schema(_STATE_SCHEMA).parquet(f"{folder}/turn={turn - 1}")
             resumed = before.join(current.select("dataset_id"), "dataset_id", "left_semi")
             fed = fed.unionByName(
                 resumed.select("dataset_id", F.lit(0).alias("kind"), *no_place, nothing.alias("value"), "state")
             )
-        hashed = (
-            fed.repartition("dataset_id")
-            .sortWithinPartitions("dataset_id", "kind", *order)
-            .select("dataset_id", "value", "state")
-            .mapInArrow(_feeder(separator), state_schema)
-        )
-        hashed.write.parquet(f"{folder}/turn={turn}")
+        _hashed(fed, order, separator).write.parquet(f"{folder}/turn={turn}")
     ends = turns.where(F.col("turn") == F.col("last")).select("dataset_id", "turn")
-    states = spark.read.schema(f"{state_schema}, turn int").parquet(folder)
+    states = spark.read.schema(f"{_STATE_SCHEMA}, turn int").parquet(folder)
     return states.join(ends, ["dataset_id", "turn"]).select("dataset_id", "sha256")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.text import charset
-from muster.operators.chain import RUN_BYTES, chained_digest
+from muster.operators.chain import RUN_BYTES, chained_digest, one_run_digest
 from muster.operators.lookup import spread_lookup
 from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.shared import stage
@@ -40,31 +40,39 @@ def list_digest(
 
     SHA-256 over the identifiers in list order with ``separator`` between them and
     none at the end. ``ids`` and ``sizes(dataset_id, n_bytes)`` are staged by the
-    caller. Only lists of at most ``flat_bytes`` become one value; the others go
-    through ``chained_digest``.
+    caller. Lists of at most ``flat_bytes`` become one value, and lists of at most
+    ``run_bytes`` one sorted run; the others go through ``chained_digest``.
     """
     encoding = charset(encoding)
     if encoding in ("utf-16", "utf-32"):
         raise ValueError(f"{encoding} has no fixed byte order; name one with it")
     order = list_order(canonical_sort)
-    is_long = F.col("n_bytes") > flat_bytes
-    long_bytes = sizes.where(is_long).agg(F.sum("n_bytes")).first()[0]
-    short_ids = ids
-    if long_bytes:
-        sized = spread_lookup(ids, sizes.select("dataset_id", "n_bytes"), ["dataset_id"], ["id", "ord"])
-        short_ids = sized.where(~is_long)
-    text = _joined_in_order(order, separator)
-    flat = short_ids.groupBy("dataset_id").agg(F.sha2(F.encode(text, encoding), 256).alias("ids_sha256"))
-    if not long_bytes:
-        return flat
-    chained = chained_digest(
-        sized.where(is_long).withColumn("value", F.encode("id", encoding)),
-        order,
-        n_bytes=long_bytes,
-        separator=separator.encode(encoding),
-        run_bytes=run_bytes,
-    )
-    return flat.unionByName(chained.withColumnRenamed("sha256", "ids_sha256"))
+    bound = max(flat_bytes, run_bytes)
+    size = F.col("n_bytes")
+    totals = sizes.agg(
+        F.sum(F.when(size > flat_bytes, size)).alias("beyond_flat"),
+        F.sum(F.when(size > bound, size)).alias("beyond_run"),
+    ).first()
+    text = F.encode(_joined_in_order(order, separator), encoding)
+
+    def flat(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("dataset_id").agg(F.sha2(text, 256).alias("ids_sha256"))
+
+    if not totals.beyond_flat:
+        return flat(ids)
+    sized = spread_lookup(ids, sizes.select("dataset_id", "n_bytes"), ["dataset_id"], ["id", "ord"])
+    binary = sized.withColumn("value", F.encode("id", encoding))
+    gap = separator.encode(encoding)
+    parts = [one_run_digest(binary.where((size > flat_bytes) & (size <= bound)), order, separator=gap)]
+    if totals.beyond_run:
+        longest = binary.where(size > bound)
+        parts.append(
+            chained_digest(longest, order, n_bytes=totals.beyond_run, separator=gap, run_bytes=run_bytes)
+        )
+    digests = flat(sized.where(size <= flat_bytes))
+    for part in parts:
+        digests = digests.unionByName(part.withColumnRenamed("sha256", "ids_sha256"))
+    return digests
 
 
 def digest_of_lines(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,26 @@ def complete_searches(searches: DataFrame) -> DataFrame:
     )
 
 
+# Lists from this size on, as lines of text, get a directory of their own.
+SHARD_BYTES = 256 << 20
+
+
+def assign_shards(searches: DataFrame, sizes: DataFrame, *, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Add ``shard``, the directory of each list: its own for a long list, a shared one for short lists.
+
+    So the number of files follows the bytes stored and not the number of datasets.
+    ``sizes(dataset_id, n_bytes)`` is staged by the caller.
+    """
+    short = F.col("n_bytes") < shard_bytes
+    short_bytes = sizes.where(short).agg(F.sum("n_bytes")).first()[0] or 0
+    shared = F.pmod(F.xxhash64("dataset_id"), F.lit(max(1, math.ceil(short_bytes / shard_bytes))))
+    shard = F.when(F.col("n_bytes") >= shard_bytes, F.concat(F.lit("list-"), "dataset_id")).otherwise(
+        F.concat(F.lit("mixed-"), shared.cast("string"))
+    )
+    joined = searches.join(sizes.select("dataset_id", "n_bytes"), "dataset_id", "left")
+    return joined.withColumn("shard", shard).drop("n_bytes")
+
+
 def manifest_rows(
     searches: DataFrame,
     counts: DataFrame,
@@ -79,6 +101,7 @@ def manifest_rows(
 ) -> DataFrame:
     """One row per search of ``complete_searches``, in the order of ``MANIFEST_COLUMNS``.
 
+    ``searches`` carries the ``shard`` of each list as well; see ``assign_shards``.
     ``counts(dataset_id, raw_count, normalized_count)`` and ``digests(dataset_id,
     ids_sha256, ids_tree_sha256)`` may lack the datasets without results.
     """
@@ -96,7 +119,7 @@ def manifest_rows(
         "snapshot_format_version": F.lit(N.FORMAT_VERSION),
         "snapshot_file_name": F.lit(N.IDS_TABLE),
         "manifest_file_name": F.lit(N.MANIFESTS_TABLE),
-        "snapshot_relative_path": N.stored_path(F.lit(commit_seq), F.col("dataset_id"), F.col("snapshot")),
+        "snapshot_relative_path": N.stored_path(F.lit(commit_seq), F.col("shard")),
         "commit_seq": F.lit(commit_seq),
         "update_latest": F.lit(update_latest),
     }

@@ -16,7 +16,7 @@ from muster.operators import catalog as C
 from muster.operators import pages as P
 from muster.operators.digest import list_digest
 from muster.operators.lookup import spread_lookup
-from muster.operators.manifest import complete_searches, manifest_rows
+from muster.operators.manifest import assign_shards, complete_searches, manifest_rows
 from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.operators.tree import tree_digest
 from muster.plans import store
@@ -58,12 +58,12 @@ def _check(searches: DataFrame, existing: DataFrame) -> None:
 
 
 def _open(spark: SparkSession, root: str, names: DataFrame) -> int:
-    """Write the names under the next free commit number and return it."""
+    """Write the names and shards under the next free commit number and return it."""
     last = store.opened(spark, root).agg(F.max("commit_seq")).first()[0] or 0
     while True:
         last += 1
         try:
-            names.select(*C.KEY).write.mode("errorifexists").parquet(f"{store.opened_path(root)}/commit_seq={last}")
+            names.select(*C.KEY, "shard").write.mode("errorifexists").parquet(f"{store.opened_path(root)}/commit_seq={last}")
             return last
         except AnalysisException as error:
             if error.getCondition() != "PATH_ALREADY_EXISTS":
@@ -95,17 +95,18 @@ def commit_snapshots(
     unasked = sizes.join(searches, "dataset_id", "left_anti")
     if strangers := unasked.limit(5).collect():
         raise ValueError(f"lists without a search: {[row.dataset_id for row in strangers]}")
+    searches = stage(assign_shards(searches, sizes), "searches")
     seq = _open(spark, root, searches)
 
-    names = searches.select(*C.KEY)
-    by = ["dataset_id", *list_order(canonical_sort)]
+    names = searches.select(*C.KEY, "shard")
+    by = ["shard", "dataset_id", *list_order(canonical_sort)]
     target = f"{store.ids_path(root)}/commit_seq={seq}"
     (
         spread_lookup(counted.where(F.col("id") != ""), names, ["dataset_id"], ["id", "ord"])
-        .select("dataset_id", "snapshot", "ord", "id")
+        .select("shard", "dataset_id", "snapshot", "ord", "id")
         .repartitionByRange(*by)
-        .sortWithinPartitions("dataset_id", "snapshot", *by[1:])
-        .write.partitionBy(*C.KEY)
+        .sortWithinPartitions(*by)
+        .write.partitionBy("shard")
         .parquet(target)
     )
     written = spark.read.schema(store.IDS_SCHEMA).parquet(target).select("dataset_id", "ord", "id")

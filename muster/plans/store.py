@@ -1,10 +1,12 @@
 """Where snapshots are kept, and how they are read.
 
     <root>/opened/commit_seq=<n>/      names begun by commit n          (parquet)
-    <root>/ids/commit_seq=<n>/dataset_id=<d>/snapshot=<s>/              (parquet)
+    <root>/ids/commit_seq=<n>/shard=<s>/  identifiers, sorted by list  (parquet)
     <root>/manifests/commit_seq=<n>/   one JSON document per snapshot
 
 A snapshot is there for readers once its manifest is. Nothing is ever overwritten.
+A long list is a shard of its own, and short lists share shards of some size; within
+a shard the row groups are sorted by dataset, so their statistics tell lists apart.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import MANIFEST_SCHEMA
 from muster.shared import read_or_empty, stage
 
-# The partition columns are named here, so "007" stays text.
-IDS_SCHEMA = "ord bigint, id string, commit_seq bigint, dataset_id string, snapshot string"
+IDS_SCHEMA = "dataset_id string, snapshot string, ord bigint, id string, commit_seq bigint, shard string"
 _FILES_SCHEMA = (
-    "path string, modificationTime timestamp, length bigint, content binary, "
-    "commit_seq bigint, dataset_id string, snapshot string"
+    "path string, modificationTime timestamp, length bigint, content binary, commit_seq bigint, shard string"
 )
-OPENED_SCHEMA = "dataset_id string, snapshot string, commit_seq bigint"
+OPENED_SCHEMA = "dataset_id string, snapshot string, shard string, commit_seq bigint"
+PLACE = ["commit_seq", "shard"]
 
 
 def opened_path(root: str) -> str:
@@ -49,10 +50,16 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def identifiers(spark: SparkSession, root: str, dataset_id: str | None = None, snapshot: str | None = None) -> DataFrame:
-    """``(dataset_id, snapshot, ord, id)`` as stored; the arguments prune directories."""
+    """``(dataset_id, snapshot, ord, id)`` as stored; the arguments prune directories and row groups."""
     ids = read_or_empty(spark, ids_path(root), IDS_SCHEMA)
     if dataset_id is not None:
-        ids = ids.where(F.col("dataset_id") == dataset_id)
+        # The few places of one dataset, as constants.
+        found = opened(spark, root).where(F.col("dataset_id") == dataset_id)
+        if snapshot is not None:
+            found = found.where(F.col("snapshot") == snapshot)
+        places = found.select(*PLACE).distinct().collect()
+        ids = ids.where(F.col("commit_seq").isin([p.commit_seq for p in places]))
+        ids = ids.where(F.col("shard").isin([p.shard for p in places]) & (F.col("dataset_id") == dataset_id))
     if snapshot is not None:
         ids = ids.where(F.col("snapshot") == snapshot)
     return ids.select("dataset_id", "snapshot", "ord", "id")
@@ -63,8 +70,10 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
     The identifier files are listed and not opened: one row per file.
     """
+    begun = opened(spark, root)
     files = read_or_empty(spark, ids_path(root), _FILES_SCHEMA, "binaryFile")
-    return C.list_snapshots(files, manifests(spark, root), opened(spark, root))
+    written = begun.join(files.select(*PLACE).distinct(), PLACE, "left_semi")
+    return C.list_snapshots(written, manifests(spark, root), begun)
 
 
 def with_paths(manifests: DataFrame, root: str) -> DataFrame:
@@ -113,10 +122,11 @@ def load_snapshots(spark: SparkSession, root: str, wanted: DataFrame) -> tuple[D
     if missing:
         raise FileNotFoundError(f"no complete snapshot: {[tuple(row) for row in missing]}")
     found = manifests(spark, root).join(wanted, C.KEY, "left_semi")
-    # The comparison holds for every name; it tells Spark that the names select
+    places = stage(opened(spark, root).join(wanted, C.KEY, "left_semi").select(*C.KEY, *PLACE), "places")
+    # The comparison holds for every number; it tells Spark that the rows select
     # directories, so a broadcast of them prunes the scan.
-    names = wanted.where(F.col("snapshot") > "")
-    ids = spread_lookup(identifiers(spark, root), names, C.KEY, ["id", "ord"])
+    places = places.where(F.col("commit_seq") > 0)
+    ids = spread_lookup(read_or_empty(spark, ids_path(root), IDS_SCHEMA), places, [*C.KEY, *PLACE], ["id", "ord"])
     return with_paths(found, root), ids.select("dataset_id", "snapshot", "ord", "id")
 
 

@@ -336,8 +336,7 @@ def oracle() -> dict[str, str]:
                    CAST(5 AS INTEGER) AS max_retry_attempts, 'w' AS history_web_env, '1' AS history_query_key,
                    '1.0' AS snapshot_format_version, 'ids' AS snapshot_file_name,
                    'manifests' AS manifest_file_name, {_name("retrieved_at_utc", "search_query")} AS snapshot,
-                   'ids/commit_seq=0/dataset_id=' || dataset_id || '/snapshot=' ||
-                       {_name("retrieved_at_utc", "search_query")} AS snapshot_relative_path,
+                   'ids/commit_seq=0/shard=mixed-0' AS snapshot_relative_path,
                    CAST(0 AS BIGINT) AS commit_seq, true AS update_latest
             FROM searches LEFT JOIN counts USING (dataset_id) LEFT JOIN flats USING (dataset_id)
             LEFT JOIN roots USING (dataset_id)""",
@@ -387,7 +386,7 @@ def oracle() -> dict[str, str]:
         "load_snapshot": _with("stored") + "SELECT dataset_id, snapshot, ord, id FROM stored",
         "load_latest": _with("stored_even") + "SELECT dataset_id, snapshot, ord, id FROM stored_even",
         "snapshot_report": _with("stored", "searches") + f"""
-            SELECT dataset_id, t.snapshot, 'ids/commit_seq=1/dataset_id=' || dataset_id || '/snapshot=' || t.snapshot AS snapshot_relative_path,
+            SELECT dataset_id, t.snapshot, 'ids/commit_seq=1/shard=mixed-0' AS snapshot_relative_path,
                    coalesce(n, 0) AS n_ids, retrieved_at_utc, search_query, translated_query,
                    coalesce(sha, {empty_sha}) AS ids_sha256
             FROM (SELECT *, {_name("retrieved_at_utc", "search_query")} AS snapshot FROM searches) t

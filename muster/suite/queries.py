@@ -252,9 +252,8 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = counted.where(F.col("id") != "")
     sizes = stage(measure(counted), "sizes")
     digests = list_digest(ids, sizes, canonical_sort=True).join(tree_digest(ids, sizes, distinct=True), "dataset_id")
-    rows = M.manifest_rows(
-        M.complete_searches(I.searches(spark, sf_dir, LATE)), sizes, digests, dedup=True, canonical_sort=True
-    )
+    searches = M.assign_shards(M.complete_searches(I.searches(spark, sf_dir, LATE)), sizes)
+    rows = M.manifest_rows(searches, sizes, digests, dedup=True, canonical_sort=True)
     return rows.drop("engine_version")
 
 

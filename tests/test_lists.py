@@ -96,7 +96,7 @@ def test_sort_list_orders_across_partitions(spark):
 
 
 @pytest.mark.parametrize("dedup,canonical_sort", POLICIES)
-@pytest.mark.parametrize("flat_bytes,run_bytes", [(1 << 20, 1 << 30), (100, 1 << 30), (0, 2000)])
+@pytest.mark.parametrize("flat_bytes,run_bytes", [(1 << 20, 1 << 30), (100, 1 << 30), (100, 2000), (0, 2000)])
 def test_digest(spark, dedup, canonical_sort, flat_bytes, run_bytes):
     digests = digest_of_lines(
         frame(spark, LISTS), dedup=dedup, canonical_sort=canonical_sort, flat_bytes=flat_bytes, run_bytes=run_bytes

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from muster.operators import catalog as C
 from muster.operators import pages as P
+from muster.operators.manifest import assign_shards
 from muster.plans import store
 from muster.plans.commit import commit_pages, commit_snapshots
 from muster.plans.resolve import activate, resolve
@@ -69,16 +70,38 @@ def test_commit_and_load(spark, root):
     assert rows["007"].raw_count == 6 and rows["007"].normalized_count == 4
     assert rows["007"].ids_sha256 == hashlib.sha256(b"10\n9\na\nb").hexdigest()
     assert rows["none"].normalized_count == 0 and rows["none"].ids_sha256 == hashlib.sha256(b"").hexdigest()
-    for name in ("007", "odd/na:me=[é] %", "x"):
+    for name in lists:
         assert list(Path(rows[name].snapshot_directory).glob("part-*.parquet")), name
         assert Path(rows[name].manifest_path).is_dir()
     assert sorted(made.columns) == sorted(store.manifests(spark, root).columns)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     one = store.identifiers(spark, root, "x", snapshot).where("id = 'a'")
     assert one.count() == 1
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dataset_id" in plan and "EqualTo(id,a)" in plan
-    plan = ids._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "commit_seq" in filters[0] and "shard" in filters[0]
+    assert "EqualTo(id,a)" in filters[1] and "EqualTo(dataset_id,x)" in filters[1]
+    assert "dynamicpruning" in ids._jdf.queryExecution().executedPlan().toString()
+    assert store.identifiers(spark, root, "none").count() == 0
+    assert store.identifiers(spark, root, "x", "y").count() == 0
+
+
+def test_long_lists_get_directories_of_their_own(spark, root, monkeypatch):
+    lists = {"long/list=[é] %": [str(i) for i in range(100)], "short": ["1"], "007": ["2"], "none": []}
+    monkeypatch.setitem(assign_shards.__kwdefaults__, "shard_bytes", 100)
+    commit_snapshots(spark, root, searches(spark, lists), frame(spark, lists))
+    found, ids = store.load_latest(spark, root)
+    directories = {row.dataset_id: row.snapshot_directory for row in found.collect()}
+    assert directories["short"] == directories["007"] != directories["long/list=[é] %"]
+    for directory in set(directories.values()):
+        assert list(Path(directory).glob("part-*.parquet")), directory
+    assert {name: len(items) for (name, _), items in lists_of(ids).items()} == {
+        "long/list=[é] %": 100,
+        "short": 1,
+        "007": 1,
+    }
+    assert store.identifiers(spark, root, "long/list=[é] %").count() == 100
+    assert {r.dataset_id for r in store.listing(spark, root).where("complete").collect()} == set(lists)
 
 
 def test_list_order_and_policy_are_kept(spark, root):
