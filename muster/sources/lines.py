@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.text import LINE_SAFE_CHARSETS, charset, strip
@@ -41,8 +41,12 @@ def line_order(spark: SparkSession) -> Column:
     )
     split = F.floor(F.col("_metadata.file_block_start") / granule).cast("bigint")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    # Under ANSI arithmetic a file too long for 63 bits raises instead of wrapping.
-    return split * F.lit(1 << _ROW_BITS) + row
+    too_long = F.raise_error(F.lit("file too long for the size of its splits")).cast("bigint")
+    return F.when(split < (1 << 63 - _ROW_BITS), split).otherwise(too_long) * F.lit(1 << _ROW_BITS) + row
+
+
+def _declared(reader: DataFrameReader, fixed: str, partitions: str | None) -> DataFrameReader:
+    return reader.schema(f"{fixed}, {partitions}") if partitions else reader
 
 
 def read_lines(
@@ -54,10 +58,14 @@ def read_lines(
     skip_empty_lines: bool = True,
     strict: bool = True,
     keep_mark: bool = True,
+    partitions: str | None = None,
     **options: str,
 ) -> DataFrame:
     """``(file, ord, value)``, plus any partition columns, from text files under ``path``.
 
+    ``partitions`` declares the partition columns, such as ``dataset_id string`` for
+    what the text sink writes; if it is not given, Spark guesses, and ``007`` is 7.
+
     Lines end at LF, CR or CRLF only. With ``strict``, bytes that are not valid in
     the encoding raise; without it they are kept (see ``invalid_lines``).
 
@@ -67,10 +75,10 @@ def read_lines(
     """
     encoding = charset(encoding)
     if encoding in LINE_SAFE_CHARSETS:
-        source = spark.read.options(**options).text(path)
-        partitions = [c for c in source.columns if c != "value"]
+        source = _declared(spark.read, "value string", partitions).options(**options).text(path)
+        extra = [c for c in source.columns if c != "value"]
         lines = source.select(
-            *partitions, file_name().alias("file"), line_order(spark).alias("ord"), "value"
+            *extra, file_name().alias("file"), line_order(spark).alias("ord"), "value"
         )
         if keep_mark:
             lines = _with_marks(lines, marked_files(spark, path, **options))
@@ -81,15 +89,15 @@ def read_lines(
     else:
         # Line ends are not single bytes here, so each file is decoded whole; Spark
         # raises for files of 2 GiB and more.
-        source = spark.read.format("binaryFile").options(**options).load(path)
-        fixed = {"path", "modificationTime", "length", "content"}
-        partitions = [c for c in source.columns if c not in fixed]
+        fixed = "path string, modificationTime timestamp, length bigint, content binary"
+        source = _declared(spark.read, fixed, partitions).format("binaryFile").options(**options).load(path)
+        extra = source.columns[4:]
         text = F.decode("content", encoding)
         # A line end closes a line; it does not open an empty one after it.
         closed = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
         parts = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(closed, r"\r\n|\r|\n", -1))
         lines = source.select(
-            *partitions, file_name().alias("file"), F.posexplode(parts).alias("ord", "value")
+            *extra, file_name().alias("file"), F.posexplode(parts).alias("ord", "value")
         ).withColumn("ord", F.col("ord").cast("bigint"))
     if strip_lines:
         lines = lines.withColumn("value", strip(F.col("value")))

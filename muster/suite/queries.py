@@ -120,7 +120,7 @@ def digest_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counted = stage(normalize_counted(orders), "normalized")
     sizes = stage(measure(counted), "sizes")
-    run_bytes = sizes.agg(F.sum("n_bytes")).first()[0] // 8 + 1
+    run_bytes = sizes.agg(F.sum("n_bytes")).first()[0] // 4 + 1
     return list_digest(counted, sizes, canonical_sort=True, flat_bytes=0, run_bytes=run_bytes)
 
 
@@ -306,6 +306,10 @@ def _as_ids(lines: DataFrame) -> DataFrame:
     return lines.select("dataset_id", "ord", F.col("value").alias("id"))
 
 
+def _read(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_lines(spark, path, partitions="dataset_id string", **options)
+
+
 def _in_file_order(read: DataFrame, value: str) -> DataFrame:
     """Part files hold a list in the order of their names."""
     return dense_position(read, ["dataset_id"], ["file", "ord"]).select(
@@ -319,7 +323,7 @@ def reader_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for strip in (True, False):
         for skip in (True, False):
-            read = read_lines(spark, path, strip_lines=strip, skip_empty_lines=skip)
+            read = _read(spark, path, strip_lines=strip, skip_empty_lines=skip)
             parts.append(
                 read.groupBy("dataset_id")
                 .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
@@ -333,7 +337,7 @@ def reader_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("encoded_roundtrip")
 def encoded_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_lines(_as_ids(I.lines(spark, sf_dir)), fresh_path(spark, "text"), encoding="latin-1")
-    read = read_lines(spark, path, encoding="latin-1", skip_empty_lines=False, strip_lines=False)
+    read = _read(spark, path, encoding="latin-1", skip_empty_lines=False, strip_lines=False)
     return _in_file_order(read, "value")
 
 
@@ -341,7 +345,7 @@ def encoded_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text written in another charset, read as UTF-8 without the strict check."""
     path = write_lines(_as_ids(I.lines(spark, sf_dir)), fresh_path(spark, "text"), encoding="latin-1")
-    read = read_lines(spark, path, strip_lines=False, skip_empty_lines=False, strict=False)
+    read = _read(spark, path, strip_lines=False, skip_empty_lines=False, strict=False)
     return read.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("n_invalid")
     )
@@ -350,13 +354,13 @@ def encoding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("text_roundtrip")
 def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_normalized_lines(I.noisy_lines(spark, sf_dir), fresh_path(spark, "text"), canonical_sort=True)
-    return _in_file_order(read_lines(spark, path), "id")
+    return _in_file_order(_read(spark, path), "id")
 
 
 @_query("verbatim_roundtrip")
 def verbatim_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_lines(_as_ids(I.noisy_lines(spark, sf_dir)), fresh_path(spark, "text"))
-    return _in_file_order(read_lines(spark, path, strip_lines=False, skip_empty_lines=False), "value")
+    return _in_file_order(_read(spark, path, strip_lines=False, skip_empty_lines=False), "value")
 
 
 @_query("json_roundtrip")

@@ -96,6 +96,9 @@ def test_text_sink(spark, tmp_path):
     assert parts_of(path, "007") == "b\r\n a\r\nb\r\n \r\n10\r\n9\r\n".encode()
     write_lines(ids_frame(spark, lists), str(path), encoding="latin-1")
     assert parts_of(path, "x") == b"\xe9\n"
+    for encoding in ("latin-1", "utf-16le"):
+        read = read_lines(spark, str(path), encoding=encoding, partitions="dataset_id string", skip_empty_lines=False)
+        assert {row.dataset_id for row in read.collect()} == {"007", "x"}
     with pytest.raises(PySparkException, match="line break"):
         write_lines(ids_frame(spark, {"y": ["a\nb"]}), str(tmp_path / "bad"))
     with pytest.raises(ValueError):

@@ -95,8 +95,13 @@ def test_sort_list_orders_across_partitions(spark):
     assert keys == sorted(keys)
 
 
-@pytest.mark.parametrize("dedup,canonical_sort", POLICIES)
-@pytest.mark.parametrize("flat_bytes,run_bytes", [(1 << 20, 1 << 30), (100, 1 << 30), (100, 2000), (0, 2000)])
+WAYS = [(1 << 20, 1 << 30), (100, 1 << 30), (100, 2000), (0, 2000)]
+
+
+@pytest.mark.parametrize(
+    "dedup,canonical_sort,flat_bytes,run_bytes",
+    [(*policy, *WAYS[0]) for policy in POLICIES] + [(*policy, *way) for policy, way in zip(POLICIES, WAYS[1:] + WAYS[2:])],
+)
 def test_digest(spark, dedup, canonical_sort, flat_bytes, run_bytes):
     digests = digest_of_lines(
         frame(spark, LISTS), dedup=dedup, canonical_sort=canonical_sort, flat_bytes=flat_bytes, run_bytes=run_bytes
