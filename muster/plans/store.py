@@ -21,9 +21,8 @@ from muster.operators.manifest import MANIFEST_SCHEMA
 from muster.shared import read_or_empty, stage
 
 IDS_SCHEMA = "dataset_id string, snapshot string, ord bigint, id string, commit_seq bigint, shard string"
-_FILES_SCHEMA = (
-    "path string, modificationTime timestamp, length bigint, content binary, commit_seq bigint, shard string"
-)
+_FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+_FILE_PLACE = r"/commit_seq=(\d+)/shard=([^/]+)/[^/]+$"
 OPENED_SCHEMA = "dataset_id string, snapshot string, shard string, commit_seq bigint"
 PLACE = ["commit_seq", "shard"]
 
@@ -71,8 +70,13 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     The identifier files are listed and not opened: one row per file.
     """
     begun = opened(spark, root)
-    files = read_or_empty(spark, ids_path(root), _FILES_SCHEMA, "binaryFile")
-    written = begun.join(files.select(*PLACE).distinct(), PLACE, "left_semi")
+    files = read_or_empty(spark, ids_path(root), _FILES_SCHEMA, "binaryFile", recursiveFileLookup="true")
+    places = files.select(
+        F.regexp_extract("path", _FILE_PLACE, 1).try_cast("bigint").alias("commit_seq"),
+        F.regexp_extract("path", _FILE_PLACE, 2).alias("directory"),
+    ).distinct()
+    named = begun.withColumn("directory", N.partition_value(F.col("shard")))
+    written = named.join(places, ["commit_seq", "directory"], "left_semi")
     return C.list_snapshots(written, manifests(spark, root), begun)
 
 

@@ -49,10 +49,10 @@ def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Read ``path`` under ``schema``; a path that does not exist reads as no rows."""
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).options(**options).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -80,7 +80,8 @@ def test_normalizing_twice_changes_nothing(spark):
 
 @pytest.mark.parametrize("dedup", [True, False])
 def test_counts(spark, dedup):
-    found = {row.dataset_id: (row.raw_count, row.normalized_count) for row in counts_by_dataset(frame(spark, LISTS), dedup=dedup).collect()}
+    counts = counts_by_dataset(frame(spark, LISTS), dedup=dedup)
+    found = {row.dataset_id: (row.raw_count, row.normalized_count) for row in counts.collect()}
     assert found == {name: (len(items), len(expected_list(items, dedup, False))) for name, items in LISTS.items()}
 
 
@@ -181,7 +182,8 @@ def test_tree_digest(spark, dedup, leaf_rows):
 @pytest.mark.parametrize("widths", [(), (7,), (7, 70), (1, 1000)])
 def test_previous_in_order(spark, widths):
     rng = random.Random(5)
-    rows = [(key, place, rng.randrange(1000)) for key in "abc" for place in rng.sample(range(500), {"a": 300, "b": 20, "c": 1}[key])]
+    sizes = {"a": 300, "b": 20, "c": 1}
+    rows = [(key, place, rng.randrange(1000)) for key, n in sizes.items() for place in rng.sample(range(500), n)]
     df = spark.createDataFrame(rows, "k string, p bigint, v bigint").repartition(4)
     found = {(r.k, r.p): r.before for r in previous_in_order(df, ["k"], "p", "v", "before", widths).collect()}
     expected = {}

@@ -79,7 +79,8 @@ def test_verdicts(spark, widths):
         if rng.random() < 0.1:
             rows.append((name, 2, 0, None, "timeout"))  # an offset that was never answered holds no page
     counts = {name: reported for name, (reported, _) in cases.items()}
-    found = {r.dataset_id: r for r in P.page_verdict(pages_frame(spark, rows), searches_frame(spark, counts), widths=widths).collect()}
+    verdicts = P.page_verdict(pages_frame(spark, rows), searches_frame(spark, counts), widths=widths)
+    found = {row.dataset_id: row for row in verdicts.collect()}
     seen = set()
     for name, (reported, pages) in cases.items():
         row = found[name]

@@ -104,6 +104,16 @@ def test_long_lists_get_directories_of_their_own(spark, root, monkeypatch):
     assert {r.dataset_id for r in store.listing(spark, root).where("complete").collect()} == set(lists)
 
 
+def test_a_search_without_results_is_a_snapshot(spark, root):
+    lists = {"none": []}
+    commit_snapshots(spark, root, searches(spark, lists), frame(spark, {"x": ["a"]}).where("false"))
+    found, ids = store.load_latest(spark, root)
+    row = found.first()
+    assert (row.raw_count, row.normalized_count) == (0, 0) and row.ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert ids.count() == 0 and store.listing(spark, root).first().complete
+    assert [r.n_ids for r in C.snapshot_report(found, ids).collect()] == [0]
+
+
 def test_list_order_and_policy_are_kept(spark, root):
     lists = {"d": ["b", "a", "b"]}
     commit_snapshots(spark, root, searches(spark, lists), frame(spark, lists), dedup=False, canonical_sort=False)
@@ -214,17 +224,18 @@ def test_states_of_a_damaged_store(spark):
         ],
         "dataset_id string, snapshot string, has_latest boolean, has_manifest boolean, has_ids boolean, available boolean",
     )
-    asked = [(n, m, True) for n in ("whole", "no_manifest", "no_ids", "neither", "none") for m in ("reuse_latest", "reuse_latest_or_create")]
+    names, modes = ("whole", "no_manifest", "no_ids", "neither", "none"), ("reuse_latest", "reuse_latest_or_create")
+    asked = [(name, mode, True) for name in names for mode in modes]
     rows = C.resolve_requests(spark.createDataFrame(asked, "dataset_id string, mode string, has_email boolean"), state).collect()
     found = {(r.dataset_id, r.mode): r.outcome for r in rows}
-    assert [found[(n, "reuse_latest")] for n in ("whole", "no_manifest", "no_ids", "neither", "none")] == [
+    assert [found[(name, "reuse_latest")] for name in names] == [
         "reuse",
         "no_manifest",
         "no_ids",
         "no_manifest",
         "no_latest",
     ]
-    assert {found[(n, "reuse_latest_or_create")] for n in ("no_manifest", "no_ids", "neither", "none")} == {"create"}
+    assert {found[(name, "reuse_latest_or_create")] for name in names[1:]} == {"create"}
 
 
 def pages(spark, *rows):
