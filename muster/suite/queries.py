@@ -278,7 +278,7 @@ def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("most_recent_snapshot")
 def most_recent_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = _listing(spark, sf_dir)
+    listing = stage(_listing(spark, sf_dir), "listing")
     complete = C.most_recent_snapshot(listing, complete_only=True)
     complete = complete.withColumnRenamed("snapshot", "snapshot_complete")
     return C.most_recent_snapshot(listing).join(complete, "dataset_id", "left")
