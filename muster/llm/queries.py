@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, line_dedup, media, mixing, simhash, token_shards
+from muster.llm import bpe, html_text, line_dedup, media, mixing, simhash, token_shards, toxicity
 from muster.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,23 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, "doc_id", "text", model)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted")
+    )
+
+
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages, "html")
+
+
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
