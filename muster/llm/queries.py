@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, html_text, line_dedup, media, mixing, simhash, token_shards, toxicity
+from muster.llm import bpe, cap_filters, html_text, line_dedup, media, mixing, simhash, token_shards, toxicity
 from muster.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,12 @@ def op4_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text_features(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@_query
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = cap_filters.near_classes(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return classes.withColumnRenamed("id", "vec_id")
+
+
 @_query
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path())
