@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from muster.shared import fresh_path, stage
 
-__all__ = ["batches", "column", "input_partitions", "read_table", "sha256_hex", "stage", "stage_small"]
+__all__ = ["batches", "column", "input_partitions", "read_table", "sha256_hex", "stage", "stage_small", "word_pieces"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,26 +41,19 @@ def batches(source: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+PIECE = 1 << 20  # bytes of a text that are split into words at a time
+
 
+def word_pieces(data: bytes) -> Iterator[list[bytes]]:
+    """Lists of words; a long text comes in pieces cut at white space (0x20, 0x09-0x0D)."""
+    start = 0
+    while start < len(data):
+        end = start + PIECE
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield data[start:end].split()
+        start = end
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a short DDL string, for batches built in a task."""
-    kinds: dict[str, Callable[[], pa.DataType]] = {
-        "bigint": pa.int64,
-        "int": pa.int32,
-        "string": pa.string,
-        "binary": pa.binary,
-        "boolean": pa.bool_,
-        "double": pa.float64,
-        "float": pa.float32,
-    }
-    fields = []
-    for part in ddl.split(","):
-        name, kind = part.split()
-        if kind.startswith("array<"):
-            fields.append(pa.field(name, pa.list_(kinds[kind[6:-1]]())))
-        else:
-            fields.append(pa.field(name, kinds[kind]()))
-    return pa.schema(fields)
+
+def sha256_hex(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

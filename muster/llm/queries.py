@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, cap_filters, html_text, line_dedup, media, mixing, simhash, token_shards, toxicity
+from muster.llm import bpe, cap_filters, html_text, katz, line_dedup, media, mixing, simhash, token_shards, toxicity
 from muster.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,6 +84,13 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return katz.katz_scores(documents, "doc_id", "text", "held_out")
+
+
 @_query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, folder, dictionary = token_shards.write_shards(

@@ -24,31 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import batches, stage
+from muster.llm.common import batches, stage, word_pieces
 from muster.llm.components import components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-PIECE = 1 << 20  # bytes of a text that are split into words at a time
 BLOCK = 2048  # fingerprints of a bucket compared at a time
 WALSH = [0b00000000, 0b01010101, 0b00110011, 0b01100110, 0b00001111, 0b01011010, 0b00111100, 0b01101001]
 PIVOTS = np.array([w << (8 * byte) for byte in range(8) for w in WALSH], dtype=np.uint64)
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
-def _words(data: bytes) -> Iterator[list[bytes]]:
-    """Lists of words; a long text comes in pieces cut at white space."""
-    start = 0
-    while start < len(data):
-        end = start + PIECE
-        if end < len(data):
-            while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-        yield data[start:end].split()
-        start = end
-
-
 def fingerprint(text: str | None) -> int:
     """The bits set in more than half of the XXH64 values of the word 3-shingles.
 
@@ -59,7 +46,7 @@ def fingerprint(text: str | None) -> int:
     total = 0
     carry: list[bytes] = []
     digest = xxhash.xxh64_intdigest
-    for words in _words((text or "").encode("utf-8").lower()):
+    for words in word_pieces((text or "").encode("utf-8").lower()):
         words = carry + words
         if len(words) >= SHINGLE:
             values = np.fromiter(
