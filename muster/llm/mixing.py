@@ -127,7 +127,10 @@ def mix(documents: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2
 
 
 def mix_sized(sized: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """``mix`` over written rows that already have a ``size``; columns besides are kept."""
+    """``mix`` over rows of a table that already have a ``size``; columns besides are kept.
+
+    Names that begin with an underscore, and those ``mix`` adds, are taken.
+    """
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, cap=cap)
     # AQE splits a source with a large share of the rows, or sends the targets to every task
     # when their measured size is below its threshold
@@ -135,5 +138,7 @@ def mix_sized(sized: DataFrame, *, seed: int = 0, weights: tuple[int, ...] = (1,
     known = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
     expected = F.floor(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))
     known = known.withColumn("_e", F.when(F.col("source_size") > 0, expected).otherwise(0).cast("bigint"))
-    order = ["size", "doc_id", *[c for c in sized.columns if c not in ("size", "doc_id", "source")]]
-    return systematic_copies(known, order, seed=seed).withColumn("taken", F.col("copies") * F.col("size"))
+    rest = [c for c in sized.columns if c not in ("size", "doc_id", "source")]
+    known = known.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))  # a short sort key, whatever the columns
+    taken = F.col("copies") * F.col("size")
+    return systematic_copies(known, ["size", "doc_id", "_tie"], seed=seed).drop("_tie").withColumn("taken", taken)
