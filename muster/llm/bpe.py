@@ -24,6 +24,7 @@ from muster.llm.common import batches
 from muster.llm.pretokens import PieceCache, Vocabulary, vocabulary
 
 NEVER = int(np.iinfo(np.int64).max)
+ROWS = 4096  # documents whose ids are held at a time
 SHORT = 64  # bytes up to which a scan for the lowest rank beats a heap
 
 
@@ -188,8 +189,8 @@ def encode_documents(rows: DataFrame, key: str, text: str, path: str) -> DataFra
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            ids = [np.frombuffer(p, dtype="<u4") for p in encoder(path).encode(batch.column(1).to_pylist())]
+        for batch in batches(source, ROWS):
+            ids = list(encoder(path).encode(batch.column(1)))
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate(ids) if len(ids) else np.empty(0)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
@@ -207,12 +208,12 @@ def round_trip(rows: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches(source):
+        for batch in batches(source, ROWS):
             counts, ids_hash, text_hash = [], [], []
-            for packed in encoder(path).encode(batch.column(1).to_pylist()):
-                counts.append(len(packed) // 4)
-                ids_hash.append(hashlib.sha256(packed).hexdigest())
-                back = decode(np.frombuffer(packed, dtype="<u4"), vocab)
+            for ids in encoder(path).encode(batch.column(1)):
+                counts.append(len(ids))
+                ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                back = decode(ids, vocab)
                 text_hash.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The public pre-tokenizer pattern of byte-level BPE.
@@ -15,7 +17,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = frozenset(",.;:!?|")
 LONG = 64  # longer strings are not remembered
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+SLICE_BYTES = 8 << 20  # text encoded at a time
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,39 +100,60 @@ class PieceCache:
         self.known: dict[str, bytes] = {}  # ids of a space and the key
         self.words: dict[str, bytes] = {}  # ids of pre-tokens that begin without a space
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; a null text has none.
+
+        Texts are split and their pieces made distinct by Arrow, some megabytes at a time;
+        only distinct pieces become Python objects, and ids are gathered by array operations.
+        """
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES)))
+            yield from self._slice(texts.slice(start, stop - start))
+            start = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for held in (self.known, self.words):
             if len(held) > REMEMBERED:
                 held.clear()
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        named = split.flatten().dictionary_encode()
+        pieces, at = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int64)
+        beside = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], dtype=bool)
         known = self.known
-        cut, got, new = [], [], set()
-        for text in texts:
-            first, *parts = (text or "").split(" ")
-            ids = list(map(known.get, parts))
-            if None in ids:
-                new.update(set(parts).difference(known))
-            cut.append((first, parts))
-            got.append(ids)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        rare = self._learn(new - odd)
-        firsts = self._firsts([first for first, _ in cut])
-        for text, (first, parts), ids, start in zip(texts, cut, got, firsts, strict=True):
-            if not text:
-                yield b""
-            elif any(token in text for token in self.added_ids) or self._beside(first, parts, odd):
-                yield self._whole(text)
+        found = [b"" if odd else known.get(p) for p, odd in zip(pieces, beside.tolist(), strict=True)]
+        if None in found:
+            rare = self._learn({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+            found = [ids if ids is not None else known[p] if p in known else rare[p] for p, ids in zip(pieces, found, strict=True)]
+        firsts = [pieces[i] for i in at[offsets[:-1]].tolist()]
+        # the first piece has no space before it; a space at the end of it stands beside another
+        odd_text = np.zeros(len(texts), dtype=bool)
+        odd_text |= np.array([not p or p[-1].isspace() for p in firsts], dtype=bool) & (np.diff(offsets) > 1)
+        inner = beside[at]
+        inner[offsets[:-1]] = False
+        odd_text |= np.add.reduceat(inner, offsets[:-1], dtype=np.int64) > 0
+        for token in self.added_ids:
+            odd_text |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        at[offsets[:-1]] = len(found) + np.arange(len(firsts))
+        found += self._firsts(firsts)
+
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])]
+        ends = np.append(0, ends)[offsets]
+        for number in range(len(texts)):
+            if odd_text[number]:
+                yield np.frombuffer(self._whole(texts[number].as_py()), dtype="<u4")
             else:
-                if None in ids:
-                    ids = list(map(known.get, parts))
-                    if None in ids:
-                        ids = [rare[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-                yield start + b"".join(ids)
-
-    @staticmethod
-    def _beside(first: str, parts: list[str], odd: set[str]) -> bool:
-        """Whether a space stands beside other white space or at an end of the text."""
-        return bool(parts) and (not first or first[-1].isspace()) or bool(odd) and not odd.isdisjoint(parts)
+                yield ids[ends[number] : ends[number + 1]]
 
     def _firsts(self, firsts: list[str]) -> list[bytes]:
         split = [PATTERN.findall(first) for first in firsts]

@@ -36,6 +36,7 @@ HEAD = struct.Struct("<8s32sI")
 TAIL = struct.Struct("<QQ8s")
 END_ID = 0
 LEVEL = 3
+ROWS = 4096  # documents whose frames are held at a time
 SAMPLE_DOCUMENTS = 400  # documents the dictionary is trained on
 SAMPLE_BYTES = 32 << 10  # at most, of each of them
 DICTIONARY_BYTES = 64 << 10
@@ -87,7 +88,7 @@ def train_dictionary(rows: DataFrame, key: str, text: str, path: str) -> bytes:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            ids = [_narrow(p, width)[:SAMPLE_BYTES] for p in library_encoder(path).encode(batch.column(1).to_pylist())]
+            ids = [_narrow(i, width)[:SAMPLE_BYTES] for i in library_encoder(path).encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     some = rows.where(F.col(key).isin(chosen)).select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -99,8 +100,8 @@ def train_dictionary(rows: DataFrame, key: str, text: str, path: str) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def _narrow(packed: bytes, width: int) -> bytes:
-    return packed if width == 4 else np.frombuffer(packed, dtype="<u4").astype("<u2").tobytes()
+def _narrow(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype("<u4" if width == 4 else "<u2").tobytes()
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -109,15 +110,16 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def compress_documents(rows: DataFrame, key: str, text: str, path: str, dictionary: bytes) -> DataFrame:
     """``(key, n_tokens, frame)``: the ids of each whole text and END_ID, one zstandard frame."""
-    width, end = id_bytes(path), np.array([END_ID], dtype="<u4").tobytes()
+    width = id_bytes(path)
+    end = END_ID.to_bytes(width, "little")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
-        for batch in batches(source):
+        for batch in batches(source, ROWS):
             counts, frames = [], []
-            for packed in library_encoder(path).encode(batch.column(1).to_pylist()):
-                counts.append(len(packed) // 4 + 1)
-                frames.append(compressor.compress(_narrow(packed + end, width)))
+            for ids in library_encoder(path).encode(batch.column(1)):
+                counts.append(len(ids) + 1)
+                frames.append(compressor.compress(_narrow(ids, width) + end))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["key", "n_tokens", "frame"]
             )
