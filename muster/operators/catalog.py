@@ -64,6 +64,13 @@ def most_recent_snapshot(listing: DataFrame, *, complete_only: bool = False) ->
     return listing.groupBy("dataset_id").agg(F.max("snapshot").alias("snapshot"))
 
 
+def most_recent_snapshots(listing: DataFrame) -> DataFrame:
+    """``(dataset_id, snapshot, snapshot_complete)``: the last by name, and the last that is complete."""
+    return listing.groupBy("dataset_id").agg(
+        F.max("snapshot").alias("snapshot"), F.max(F.when(F.col("complete"), F.col("snapshot"))).alias("snapshot_complete")
+    )
+
+
 def latest_state(datasets: DataFrame, pointers: DataFrame, listing: DataFrame) -> DataFrame:
     """``(dataset_id, snapshot, has_latest, has_manifest, has_ids, available)`` per dataset."""
     no = F.lit(False)

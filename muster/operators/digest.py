@@ -10,12 +10,10 @@ from muster.operators.chain import RUN_BYTES, chained_digest, one_run_digest
 from muster.operators.lookup import spread_lookup
 from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.shared import stage
-from muster.sources.lines import MARK, byte_lines, file_name
+from muster.sources.files import list_files, read_each, sha256_of
 
 # A list up to this size is joined in memory; a longer one is hashed in rounds.
 FLAT_BYTES = 4 << 20
-# A file up to this size is hashed as one value.
-FILE_BYTES = 64 << 20
 
 
 def _joined_in_order(order: list[str], separator: str) -> Column:
@@ -116,55 +114,10 @@ def content_digest(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-def file_digests(
-    spark: SparkSession, path: str, *, file_bytes: int = FILE_BYTES, run_bytes: int = RUN_BYTES, **options: str
-) -> DataFrame:
+def file_digests(spark: SparkSession, path: str | list[str], *, pattern: str = "*") -> DataFrame:
     """``(path, length, sha256)`` of the raw bytes of every file under ``path``.
 
-    Files of at most ``file_bytes`` are read whole, one per row. Longer ones are
-    read by splits as lines ending in LF, which loses no byte, and hashed in rounds.
+    Every file is read a block at a time by one task, whatever its size, its extension and
+    what its bytes are; SHA-256 of one file is sequential. Empty files are there as well.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .options(**options)
-        .load(path)
-        .select(file_name().alias("path"), "length", "content")
-    )
-    is_large = F.col("length") > file_bytes
-    small = files.where(~is_large).select("path", "length", content_digest(F.col("content")).alias("sha256"))
-    large = files.where(is_large).select(F.col("path").alias("dataset_id"), "length")
-    # Spark scans no empty files; the names come from the listing the driver holds anyway.
-    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string")
-    empty = listed.select(file_name("path").alias("path")).join(files.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("bigint").alias("length"), content_digest(F.lit("")).alias("sha256")
-    )
-    small = small.unionByName(empty)
-    if large.isEmpty():
-        return small
-    lines = stage(byte_lines(spark, path, larger_than=file_bytes, **options), "bytes")
-    read = lines.groupBy("dataset_id").agg(
-        (F.sum(F.octet_length("value") + F.lit(1)) - 1).alias("bytes"),
-        F.min("ord").alias("first"),
-        F.max("ord").alias("last"),
-    )
-    # A file that ends in LF is one byte longer than its lines joined by LF; one that
-    # starts with a byte order mark is three bytes longer.
-    excess = F.col("length") - F.col("bytes")
-    seen = stage(large.join(read, "dataset_id").withColumn("excess", excess), "seen")
-    if strange := seen.where(~F.col("excess").isin(0, 1, 3, 4)).first():
-        raise RuntimeError(f"bytes changed while reading {strange.dataset_id}")
-    ending = seen.where(F.col("excess").isin(1, 4)).select(
-        "dataset_id", (F.col("last") + 1).alias("ord"), F.lit(b"").alias("value")
-    )
-    marks = stage(
-        seen.where(F.col("excess") >= 3).select("dataset_id", F.col("first").alias("ord"), F.lit(MARK).alias("mark")),
-        "marks",
-    )
-    whole = spread_lookup(lines, marks, ["dataset_id", "ord"], ["ord"], how="left").select(
-        "dataset_id", "ord", F.concat(F.coalesce("mark", F.lit(b"")), F.col("value")).alias("value")
-    )
-    rows = whole.unionByName(ending)
-    n_bytes = large.agg(F.sum("length")).first()[0]
-    chained = chained_digest(rows, ["ord"], n_bytes=n_bytes, separator=b"\n", run_bytes=run_bytes)
-    big = chained.join(large, "dataset_id").select(F.col("dataset_id").alias("path"), "length", "sha256")
-    return small.unionByName(big)
+    return read_each(list_files(spark, path, pattern=pattern), sha256_of, "sha256", "string")

@@ -59,10 +59,11 @@ SEARCH_REQUIRED = ("dataset_id", "search_query", "reported_count", "retrieved_at
 
 
 def complete_searches(searches: DataFrame) -> DataFrame:
-    """Add the optional columns that are absent, and the snapshot name."""
+    """Add the optional columns that are absent, their defaults where they are null, and the snapshot name."""
     given = {name: F.col(name) for name in SEARCH_REQUIRED}
     for name, (value, kind) in SEARCH_DEFAULTS.items():
-        given[name] = F.col(name) if name in searches.columns else F.lit(value).cast(kind)
+        default = F.lit(value).cast(kind)
+        given[name] = F.coalesce(F.col(name).cast(kind), default) if name in searches.columns else default
     return searches.select(
         *(column.alias(name) for name, column in given.items()),
         N.snapshot_name(F.col("retrieved_at_utc"), F.col("search_query")).alias("snapshot"),
@@ -82,7 +83,9 @@ def assign_shards(searches: DataFrame, sizes: DataFrame, *, shard_bytes: int = S
     short = F.col("n_bytes") < shard_bytes
     short_bytes = sizes.where(short).agg(F.sum("n_bytes")).first()[0] or 0
     shared = F.pmod(F.xxhash64("dataset_id"), F.lit(max(1, math.ceil(short_bytes / shard_bytes))))
-    shard = F.when(F.col("n_bytes") >= shard_bytes, F.concat(F.lit("list-"), "dataset_id")).otherwise(
+    # A name of any length must not make a directory name too long for the file system.
+    own = F.concat(F.lit("list-"), F.substring(F.sha2("dataset_id", 256), 1, 32))
+    shard = F.when(F.col("n_bytes") >= shard_bytes, own).otherwise(
         F.concat(F.lit("mixed-"), shared.cast("string"))
     )
     joined = searches.join(sizes.select("dataset_id", "n_bytes"), "dataset_id", "left")

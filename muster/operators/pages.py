@@ -16,6 +16,7 @@ from muster.shared import stage
 PAGE_SCHEMA = "dataset_id string, page_start bigint, attempt int, ids array<string>, error string"
 
 # What can be wrong with a dataset, the gravest first.
+UNKNOWN_COUNT = "unknown_count"
 MISSING_ID_LIST = "missing_id_list"
 EMPTY_PAGE = "empty_page"
 GAP = "gap"
@@ -117,7 +118,8 @@ def page_verdict(
 
     Pages at or past the reported count play no part in the verdict. So each dataset
     is reduced to the first offset of each fault before the reported count is joined,
-    one row to one row. A last page that is too long is accepted.
+    one row to one row. A last page that is too long is accepted. A reported count
+    that is null or negative is no count: nothing can be said of the pages.
     """
     grid = page_grid(pages, max_attempts=max_attempts, widths=widths)
     start, expected = F.col("page_start"), F.col("expected_start")
@@ -136,7 +138,8 @@ def page_verdict(
     reported = F.col("reported_count")
     nothing = F.lit(0).cast("bigint")
     verdict = (
-        F.when(F.col("_missing") < reported, MISSING_ID_LIST)
+        F.when(reported.isNull() | (reported < 0), UNKNOWN_COUNT)
+        .when(F.col("_missing") < reported, MISSING_ID_LIST)
         .when(F.col("_empty") < reported, EMPTY_PAGE)
         .when(F.col("_gap") < reported, GAP)
         .when(F.col("_overlap") < reported, OVERLAP)

@@ -36,21 +36,23 @@ def retry_outcome(log: DataFrame, *, max_attempts: int) -> DataFrame:
     )
 
 
-def failed_datasets(pages: DataFrame, *, max_attempts: int) -> DataFrame:
-    """``(dataset_id, page_start, last_error)``: where reading a dataset ends, and why.
+def failed_datasets(pages: DataFrame, *, max_attempts: int | None) -> DataFrame:
+    """``(dataset_id, page_start, attempts, last_error)``: where reading a dataset ends, and why.
 
-    The first offset at which ``max_attempts`` requests brought no identifiers.
+    The first offset at which ``max_attempts`` requests brought no identifiers, or, without a
+    bound, all that were made. The log is
+    reduced with number buffers; the errors of one offset per dataset are looked up after.
     """
-    tried = pages.where(F.col("attempt") < max_attempts)
+    tried = pages if max_attempts is None else pages.where(F.col("attempt") < max_attempts)
+    won = F.when(succeeded(), 1).otherwise(0)
+    offsets = tried.groupBy("dataset_id", "page_start").agg(F.max(won).alias("_won"), F.count(F.lit(1)).alias("_rows"))
+    exhausted = offsets.where((F.col("_won") == 0) & (F.col("_rows") >= (max_attempts or 1)))
+    first = exhausted.groupBy("dataset_id").agg(F.min("page_start").alias("page_start"))
     reason = F.coalesce("error", attempt_fault())
-    offsets = tried.groupBy("dataset_id", "page_start").agg(
-        F.max(succeeded()).alias("_won"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.max_by(reason, F.col("attempt")).alias("last_error"),
-    )
-    exhausted = offsets.where(~F.coalesce("_won", F.lit(False)) & (F.col("_rows") >= max_attempts))
-    return exhausted.groupBy("dataset_id").agg(
-        F.min("page_start").alias("page_start"), F.min_by("last_error", "page_start").alias("last_error")
+    return (
+        tried.join(first, ["dataset_id", "page_start"])
+        .groupBy("dataset_id", "page_start")
+        .agg(F.count(F.lit(1)).alias("attempts"), F.max_by(reason, F.col("attempt")).alias("last_error"))
     )
 
 

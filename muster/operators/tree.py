@@ -2,7 +2,7 @@
 
 The distinct identifiers of a dataset are dealt to leaves by a prefix of their
 SHA-256. The prefix is as long as the list needs to keep leaves near
-``leaf_rows``, at two hex characters per level. A leaf is the SHA-256 of its sorted
+``leaf_rows`` and ``leaf_bytes``, at two hex characters per level. A leaf is the SHA-256 of its sorted
 lines ``copies id``; a node above is the SHA-256 of its sorted ``prefix:digest``
 lines, at most 256 of them. The order of the list plays no part, and neither does
 partitioning. It is not comparable with the flat digest.
@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from muster.operators.lookup import spread_lookup
 
 LEAF_ROWS = 4096
+LEAF_BYTES = 64 << 20
 LEVELS = 4
 FANOUT = 256
 
 
 def tree_digest(
-    ids: DataFrame, sizes: DataFrame, *, distinct: bool, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS
+    ids: DataFrame, sizes: DataFrame, *, distinct: bool, leaf_rows: int = LEAF_ROWS, leaf_bytes: int = LEAF_BYTES, levels: int = LEVELS
 ) -> DataFrame:
     """``(dataset_id, ids_tree_sha256)`` of normalised lists.
 
-    ``ids`` and ``sizes(dataset_id, normalized_count)`` are staged by the caller.
-    ``distinct`` says that no identifier repeats, which saves a shuffle.
+    ``ids`` and ``sizes(dataset_id, normalized_count, n_bytes)`` are staged by the caller.
+    ``distinct`` says that no identifier repeats, which saves a shuffle. A list of more than
+    ``leaf_rows`` * 256**``levels`` identifiers, or as many bytes by ``leaf_bytes``, raises.
     """
     if distinct:
         bag = ids.select("dataset_id", "id", F.lit(1).cast("bigint").alias("copies"))
@@ -34,7 +36,8 @@ def tree_digest(
         bag = ids.groupBy("dataset_id", "id").agg(F.count(F.lit(1)).alias("copies"))
     depth = F.raise_error(F.lit("list too long for the depth of the tree")).cast("int")
     for level in range(levels, -1, -1):
-        depth = F.when(F.col("normalized_count") <= leaf_rows * FANOUT**level, level).otherwise(depth)
+        fits = (F.col("normalized_count") <= leaf_rows * FANOUT**level) & (F.col("n_bytes") <= leaf_bytes * FANOUT**level)
+        depth = F.when(fits, level).otherwise(depth)
     levels_of = sizes.where(F.col("normalized_count") > 0).select("dataset_id", depth.alias("level"))
 
     prefix = F.substring(F.sha2("id", 256), F.lit(1), F.col("level") * 2)

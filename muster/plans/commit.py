@@ -18,6 +18,7 @@ from muster.operators.digest import list_digest
 from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import assign_shards, complete_searches, manifest_rows
 from muster.operators.normalize import list_order, measure, normalize_counted
+from muster.operators.retries import failed_datasets
 from muster.operators.tree import tree_digest
 from muster.plans import store
 from muster.shared import stage
@@ -33,6 +34,7 @@ def stamp_searches(searches: DataFrame, now: datetime | None = None) -> DataFram
 # What can be wrong with a batch, in the order in which it is reported.
 _FAULTS = {
     "nameless": (ValueError, "every search needs a dataset_id, a query and a retrieval stamp"),
+    "uncounted": (ValueError, "the number of results is not known"),
     "headless": (RuntimeError, "results are reported without their session"),
     "taken": (FileExistsError, "snapshots exist already or come twice"),
     "several": (ValueError, "several searches for one dataset"),
@@ -42,8 +44,10 @@ _FAULTS = {
 def _check(searches: DataFrame, existing: DataFrame) -> None:
     nameless = is_missing(F.col("dataset_id")) | F.col("snapshot").isNull()
     headless = header_is_broken(F.col("reported_count"), F.col("history_web_env"), F.col("history_query_key"))
+    reported = F.col("reported_count")
     found = {
         "nameless": searches.where(nameless).select(*C.KEY),
+        "uncounted": searches.where(reported.isNull() | (reported < 0)).select(*C.KEY),
         "headless": searches.where(headless).select(*C.KEY),
         "taken": C.collisions(searches, existing).select(*C.KEY),
         "several": searches.groupBy("dataset_id").agg(F.max("snapshot").alias("snapshot"), F.count(F.lit(1)).alias("n"))
@@ -127,6 +131,14 @@ def commit_snapshots(
     return store.manifests(spark, root).where(F.col("commit_seq") == seq)
 
 
+def _reasons(faulty: list, pages: DataFrame, max_attempts: int | None) -> list[tuple]:
+    """What is wrong with a few datasets: the verdict, and where and why reading stopped if requests failed."""
+    names = [row.dataset_id for row in faulty]
+    failed = failed_datasets(pages.where(F.col("dataset_id").isin(names)), max_attempts=max_attempts)
+    ends = {r.dataset_id: (f"offset {r.page_start}", f"{r.attempts} attempts", r.last_error) for r in failed.collect()}
+    return [(row.dataset_id, row.verdict, *ends.get(row.dataset_id, ())) for row in faulty]
+
+
 def commit_pages(
     spark: SparkSession,
     root: str,
@@ -140,11 +152,18 @@ def commit_pages(
 ) -> DataFrame:
     """Check that the landed pages of every search are whole, then freeze them.
 
-    Pages that are missing, empty or out of line raise, and nothing is written.
+    Pages that are missing, empty or out of line raise, and nothing is written. So do pages
+    without a search. The error says at which offset requests failed to the last, how often,
+    and with which error.
     """
+    reported = F.col("reported_count")
+    if uncounted := searches.where(reported.isNull() | (reported < 0)).limit(5).collect():
+        raise ValueError(f"the number of results is not known: {[row.dataset_id for row in uncounted]}")
+    if strangers := pages.select("dataset_id").distinct().join(searches, "dataset_id", "left_anti").limit(5).collect():
+        raise ValueError(f"pages without a search: {[row.dataset_id for row in strangers]}")
     verdicts = stage(P.page_verdict(pages, searches, max_attempts=max_attempts), "verdicts")
     if faulty := verdicts.where(F.col("verdict") != P.OK).limit(5).collect():
-        raise RuntimeError(f"pages are not whole: {[(row.dataset_id, row.verdict) for row in faulty]}")
+        raise RuntimeError(f"pages are not whole: {_reasons(faulty, pages, max_attempts)}")
     reported = searches.select("dataset_id", "reported_count")
     read = P.first_success(pages, max_attempts=max_attempts)
     # A page at or past the reported count is never asked for.

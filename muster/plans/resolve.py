@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.requests import DEFAULT_MAX_ATTEMPTS, DEFAULT_PAGE_SIZE, request_violation
+from muster.functions.requests import DEFAULT_MAX_ATTEMPTS, DEFAULT_PAGE_SIZE, request_violation, resolved_delay
 from muster.functions.text import is_missing
 from muster.operators import catalog as C
 from muster.operators.lookup import spread_lookup
@@ -39,6 +39,41 @@ def _violations(requests: DataFrame) -> DataFrame:
     return requests.select("dataset_id", broken.alias("violation")).where(F.col("violation").isNotNull())
 
 
+# What a request may set, with the type it has in a manifest.
+_SETTINGS = {"page_size": "int", "max_retry_attempts": "int", "request_delay_seconds": "double"}
+
+
+def _settings(requests: DataFrame) -> DataFrame:
+    """``(dataset_id, _query, _page_size, …)``: what requests ask for, null where they say nothing."""
+
+    def given(name: str, kind: str):
+        return (F.col(name) if name in requests.columns else F.lit(None)).cast(kind)
+
+    asked = {f"_{name}": given(name, kind) for name, kind in _SETTINGS.items()}
+    if "request_delay_seconds" in requests.columns or "api_key" in requests.columns:
+        asked["_request_delay_seconds"] = resolved_delay(given("request_delay_seconds", "double"), given("api_key", "string"))
+    asked["_query"] = given("search_query", "string")
+    return stage(requests.select("dataset_id", *(column.alias(name) for name, column in asked.items())), "settings")
+
+
+def _as_requested(searches: DataFrame, create: DataFrame) -> DataFrame:
+    """The landed searches of requests, with their settings; one for another query raises."""
+    joined = searches.join(create, "dataset_id")
+    if other := joined.where(F.col("_query") != F.col("search_query")).first():
+        raise ValueError(f"{other.dataset_id}: the landed search is for another query than the request")
+    for name, kind in _SETTINGS.items():
+        own = F.col(name) if name in searches.columns else F.lit(None)
+        joined = joined.withColumn(name, F.coalesce(F.col(f"_{name}"), own.cast(kind)))
+    return joined.drop(*(c for c in create.columns if c != "dataset_id"))
+
+
+def _within_attempts(pages: DataFrame, create: DataFrame) -> DataFrame:
+    """The pages of the datasets to create, up to the attempts their requests allow."""
+    allowed = stage(create.select("dataset_id", "_max_retry_attempts"), "allowed")
+    found = spread_lookup(pages, allowed, ["dataset_id"], ["page_start"])
+    return found.where(F.coalesce(F.col("attempt") < F.col("_max_retry_attempts"), F.lit(True))).drop("_max_retry_attempts")
+
+
 def activate(
     spark: SparkSession,
     root: str,
@@ -56,6 +91,10 @@ def activate(
     Requests to reuse read the store and touch no page. Requests to create freeze the
     landed ``searches`` and ``pages`` of their datasets. A request that can do neither
     raises before anything is written. One request per dataset.
+
+    What a request to create says of ``page_size``, ``max_retry_attempts`` and
+    ``request_delay_seconds`` (with ``api_key`` deciding the default) goes into its manifest,
+    and its attempts bound the pages read. A landed search for another query raises.
     """
     resolved = stage(resolve(spark, root, requests), "resolved")
     failed = resolved.where(~F.col("outcome").isin(C.REUSE, C.CREATE))
@@ -68,18 +107,18 @@ def activate(
         raise ValueError("several requests for one dataset")
 
     wanted = resolved.where(F.col("outcome") == C.REUSE).select(*C.KEY)
-    create = resolved.where(F.col("outcome") == C.CREATE).select("dataset_id")
+    create = _settings(resolved.where(F.col("outcome") == C.CREATE))
     if not create.isEmpty():
         if searches is None or pages is None:
             raise ValueError("requests to create need landed searches and pages")
-        new = searches.join(create, "dataset_id", "left_semi")
+        new = _as_requested(searches, create)
         if not create.join(searches, "dataset_id", "left_anti").isEmpty():
             raise ValueError("a request to create has no landed search")
         made = commit_pages(
             spark,
             root,
             new,
-            spread_lookup(pages, create, ["dataset_id"], ["page_start"]),
+            _within_attempts(pages, create),
             max_attempts=max_attempts,
             dedup=dedup,
             canonical_sort=canonical_sort,

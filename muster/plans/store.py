@@ -44,8 +44,8 @@ def opened(spark: SparkSession, root: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Every manifest under ``root``; no snapshot yet reads as no rows."""
-    return read_or_empty(spark, manifests_path(root), MANIFEST_SCHEMA, "json")
+    """Every manifest under ``root``; no snapshot yet reads as no rows, a damaged one raises."""
+    return read_or_empty(spark, manifests_path(root), MANIFEST_SCHEMA, "json", mode="FAILFAST")
 
 
 def identifiers(spark: SparkSession, root: str, dataset_id: str | None = None, snapshot: str | None = None) -> DataFrame:
@@ -95,9 +95,13 @@ def with_paths(manifests: DataFrame, root: str) -> DataFrame:
 
 def latest_state(spark: SparkSession, root: str, datasets: DataFrame | None = None) -> DataFrame:
     """Whether each dataset has a complete latest snapshot, and which."""
-    stored = manifests(spark, root)
-    datasets = stored if datasets is None else datasets
-    return C.latest_state(datasets, C.latest_pointer(stored), listing(spark, root))
+    stored, listed = manifests(spark, root), listing(spark, root)
+    if datasets is None:
+        return C.latest_state(stored, C.latest_pointer(stored), listed)
+    # Only what is asked for goes into the pointer and the joins.
+    asked = stage(datasets.select("dataset_id").distinct(), "asked")
+    stored, listed = (rows.join(asked, "dataset_id", "left_semi") for rows in (stored, listed))
+    return C.latest_state(asked, C.latest_pointer(stored), listed)
 
 
 def snapshot_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -49,6 +49,22 @@ def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Move the folder ``new`` to ``path``; what was there goes only after that."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target, aside = (hadoop.Path(p) for p in (new, path, f"{path}.{uuid.uuid4().hex}"))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = store.exists(target)
+    if had and not store.rename(target, aside):
+        raise OSError(f"cannot move {path}")
+    if not store.rename(source, target):
+        if had:
+            store.rename(aside, target)
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        store.delete(aside, True)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Read ``path`` under ``schema``; a path that does not exist reads as no rows."""
     try:

@@ -20,7 +20,8 @@ def text_lines(texts: DataFrame, dataset: str, number: str, text: str) -> DataFr
     """``(dataset_id, ord, value)`` plus ``number`` and ``pos``: the lines of a text column.
 
     Texts are cut at LF; ``ord`` orders by text number, then by place in the text.
-    A text of more than 2**24 lines raises.
+    A text of more than 2**24 lines raises, and so does a number outside -2**39 to 2**39 - 1,
+    for which ``ord`` has no place.
     """
     lines = texts.select(
         F.col(dataset).cast("string").alias("dataset_id"),
@@ -30,5 +31,9 @@ def text_lines(texts: DataFrame, dataset: str, number: str, text: str) -> DataFr
     place = F.when(F.col("pos") < (1 << LINE_BITS), F.col("pos")).otherwise(
         F.raise_error(F.lit("text has too many lines"))
     )
-    order = F.col(number) * F.lit(1 << LINE_BITS) + place
+    top = 1 << (63 - LINE_BITS)
+    base = F.when(F.col(number).between(-top, top - 1), F.col(number)).otherwise(
+        F.raise_error(F.lit("text number has no place in the order")).cast("bigint")
+    )
+    order = base * F.lit(1 << LINE_BITS) + place
     return lines.select("dataset_id", order.alias("ord"), "value", number, F.col("pos").cast("bigint").alias("pos"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from muster.functions.text import LINE_SAFE_CHARSETS, charset, strip
 from muster.operators.lookup import spread_lookup
 from muster.shared import stage
+from muster.sources.files import head_of, list_files, open_path, read_each
 
 # Spark's reader drops a UTF-8 byte order mark at the start of a file; Python keeps it.
 MARK = b"\xef\xbb\xbf"
@@ -20,6 +21,11 @@ def file_name(column: str | Column = "_metadata.file_path") -> Column:
     return F.regexp_replace(column, "^file:/+", "file:/")
 
 
+def part_number(file: str | Column = "file") -> Column:
+    """The number in the name of a part file: beyond 99,999 it no longer sorts as text."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("bigint")
+
+
 def _size_in_bytes(spark: SparkSession, key: str) -> int:
     text = spark.conf.get(key).lower().removesuffix("b")
     for unit, shift in (("k", 10), ("m", 20), ("g", 30), ("t", 40)):
@@ -59,6 +65,7 @@ def read_lines(
     strict: bool = True,
     keep_mark: bool = True,
     partitions: str | None = None,
+    where: str | Column | None = None,
     **options: str,
 ) -> DataFrame:
     """``(file, ord, value)``, plus any partition columns, from text files under ``path``.
@@ -69,13 +76,19 @@ def read_lines(
     Lines end at LF, CR or CRLF only. With ``strict``, bytes that are not valid in
     the encoding raise; without it they are kept (see ``invalid_lines``).
 
-    A byte order mark stays in the first line of a file, as it does in Python. To
-    find the files that have one costs a scan; ``keep_mark=False`` saves it where
-    there is none to keep. In compressed files the mark is dropped.
+    ``where`` filters by partition columns, such as ``dataset_id = 'b'``, before lines are
+    numbered, so that only the directories it selects are read. A filter on the result
+    comes after the numbering and prunes nothing.
+
+    A byte order mark stays in the first line of a file, as it does in Python. To find the
+    files that have one, the first three bytes of each are read, or, where Arrow cannot
+    open the path, the whole text; ``keep_mark=False`` saves that where there is none to
+    keep. In compressed files the mark is dropped.
     """
     encoding = charset(encoding)
     if encoding in LINE_SAFE_CHARSETS:
         source = _declared(spark.read, "value string", partitions).options(**options).text(path)
+        source = source if where is None else source.where(where)
         extra = [c for c in source.columns if c != "value"]
         lines = source.select(
             *extra, file_name().alias("file"), line_order(spark).alias("ord"), "value"
@@ -91,6 +104,7 @@ def read_lines(
         # raises for files of 2 GiB and more.
         fixed = "path string, modificationTime timestamp, length bigint, content binary"
         source = _declared(spark.read, fixed, partitions).format("binaryFile").options(**options).load(path)
+        source = source if where is None else source.where(where)
         extra = source.columns[4:]
         text = F.decode("content", encoding)
         # A line end closes a line; it does not open an empty one after it.
@@ -107,7 +121,13 @@ def read_lines(
 
 
 def marked_files(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """``(file)``: the uncompressed files that are 3 bytes longer than what the reader returns."""
+    """``(file)``: the uncompressed files that begin with a byte order mark."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if _opens(paths):
+        heads = read_each(list_files(spark, paths, pattern=options.get("pathGlobFilter", "*")), head_of, "head", "binary")
+        marked = heads.where((F.col("head") == F.lit(MARK)) & ~F.col("path").rlike(_COMPRESSED))
+        return marked.select(F.col("path").alias("file"))
+    # Such a file is 3 bytes longer than what the reader returns.
     source = spark.read.options(**options).text(path, lineSep="\n")
     read = source.groupBy(file_name().alias("file"), F.col("_metadata.file_size").alias("size")).agg(
         F.sum(F.octet_length("value") + F.lit(1)).alias("bytes")
@@ -116,11 +136,26 @@ def marked_files(spark: SparkSession, path: str | list[str], **options: str) ->
     return read.where((F.col("size") - F.col("bytes")).between(2, 3) & ~F.col("file").rlike(_COMPRESSED)).select("file")
 
 
+def _opens(paths: list[str]) -> bool:
+    """Whether Arrow can list these paths: it knows their scheme, and they hold no wildcards."""
+    try:
+        return not any(set("*?[{") & set(p) for p in paths) and all(open_path(p) for p in paths)
+    except (OSError, ValueError):
+        return False
+
+
+def _plain_name(file: str) -> Column:
+    """A file's name without percent encoding."""
+    return F.url_decode(F.replace(file_name(file), F.lit("+"), F.lit("%2B")))
+
+
 def _with_marks(lines: DataFrame, marked: DataFrame) -> DataFrame:
     marked = stage(marked, "marked")
     if marked.isEmpty():
         return lines
-    in_marked = spread_lookup(lines.select("file", "ord"), marked, ["file"], ["ord"])
+    marked = marked.select(file_name("file").alias("_name"))
+    named = lines.select("file", "ord", _plain_name("file").alias("_name"))
+    in_marked = spread_lookup(named, marked, ["_name"], ["ord"])
     first = stage(in_marked.groupBy("file").agg(F.min("ord").alias("ord")).withColumn("_mark", F.lit(True)), "first")
     whole = F.concat(F.lit(MARK), F.col("value").cast("binary")).cast("string")
     found = spread_lookup(lines, first, ["file", "ord"], ["ord"], how="left")
@@ -136,13 +171,3 @@ def invalid_lines(spark: SparkSession, path: str | list[str], **options: str) ->
     """The lines under ``path`` that are not valid UTF-8, as bytes."""
     lines = read_lines(spark, path, strip_lines=False, skip_empty_lines=False, strict=False, **options)
     return lines.where(~F.is_valid_utf8("value")).withColumn("value", F.col("value").cast("binary"))
-
-
-def byte_lines(spark: SparkSession, path: str, *, larger_than: int = -1, **options: str) -> DataFrame:
-    """``(dataset_id, ord, value)``: the bytes of each file, cut at LF only, without a byte order mark."""
-    source = spark.read.options(**options).text(path, lineSep="\n")
-    return source.where(F.col("_metadata.file_size") > larger_than).select(
-        file_name().alias("dataset_id"),
-        line_order(spark).alias("ord"),
-        F.col("value").cast("binary").alias("value"),
-    )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions import naming as N
+from muster.sources.files import list_files
 from muster.sources.lines import read_lines
 
 _PLACE = rf"/([^/]+)/(?:{N.SNAPSHOTS_DIR}/([^/]+)|{N.LATEST_DIR})/[^/]+$"
@@ -35,7 +36,7 @@ def tree_files(
     spark: SparkSession, root: str, *, manifest_file: str = N.MANIFEST_FILE, ids_file: str = N.IDS_FILE
 ) -> DataFrame:
     """``(dataset_id, snapshot, has_manifest, has_ids)`` of every directory that holds a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    files = list_files(spark, root).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     return (
         files.where(F.col("path").rlike(_PLACE))
@@ -92,3 +93,14 @@ def tree_paths(files: DataFrame, root: str) -> DataFrame:
         .withColumn("manifest_path", N.manifest_path(F.col("directory")))
         .withColumn("ids_path", N.ids_path(F.col("directory")))
     )
+
+
+def load_tree(
+    spark: SparkSession, root: str, schema: str, *, manifest_file: str = N.MANIFEST_FILE, ids_file: str = N.IDS_FILE
+) -> tuple[DataFrame, DataFrame]:
+    """``(manifests, identifiers)`` of every directory; one that lacks a file raises FileNotFoundError."""
+    files = tree_files(spark, root, manifest_file=manifest_file, ids_file=ids_file)
+    missing = files.where(~(F.col("has_manifest") & F.col("has_ids"))).orderBy("dataset_id", "snapshot").limit(5).collect()
+    if missing:
+        raise FileNotFoundError(f"a manifest or a list is missing: {[(r.dataset_id, r.snapshot) for r in missing]}")
+    return tree_manifests(spark, root, schema, manifest_file=manifest_file), tree_identifiers(spark, root, ids_file=ids_file)

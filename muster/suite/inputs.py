@@ -45,6 +45,17 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def second_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later version of ``noisy_lines``: every line, blank ones too, begins with a mark."""
+    return noisy_lines(spark, sf_dir).withColumn("value", F.concat(F.lit("v2:"), F.col("value")))
+
+
+def with_blank_lists(lines: DataFrame) -> DataFrame:
+    """``lines`` and, for each list, another one that holds its places but nothing but blanks."""
+    blank = lines.select(F.concat(F.lit("blank-"), "dataset_id").alias("dataset_id"), "ord", F.lit(" \t").alias("value"))
+    return lines.select("dataset_id", "ord", "value").unionByName(blank)
+
+
 def page_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten searches: the events by the last digit of their number."""
     dataset = F.concat(F.lit("d"), F.col("event_id") % 10)
@@ -52,8 +63,17 @@ def page_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("reported_count"))
 
 
-def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Their result pages of 100, with faults in some datasets and repeated requests."""
+def verdict_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_searches`` and two whose count is none: null, and below zero."""
+    searches = page_searches(spark, sf_dir)
+    total = searches.agg(F.sum("reported_count").alias("n"))
+    unknown = total.select(F.lit("unknown").alias("dataset_id"), F.lit(None).cast("bigint").alias("reported_count"))
+    negative = total.select(F.lit("negative").alias("dataset_id"), (-F.col("n")).alias("reported_count"))
+    return searches.unionByName(unknown).unionByName(negative)
+
+
+def result_pages(spark: SparkSession, sf_dir: str, *, faults: bool = True) -> DataFrame:
+    """Their result pages of 100, with repeated requests and, if asked, faults in some datasets."""
     events = table(spark, sf_dir, "events")
     offset = F.expr("event_id div 10")
     items = events.select(
@@ -74,21 +94,24 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     no_ids = F.lit(None).cast("array<string>")
     extra = F.array_repeat(F.lit("extra"), 50)
-    faulty = (
+    never = F.lit(False)
+    shifted, dead = (at("d3", 300), at("d8", 700)) if faults else (never, never)
+    gone = at("d0", 200) | ((dataset == "d4") & last) if faults else never
+    faulty = ids if not faults else (
         F.when(at("d1", 300), F.array().cast("array<string>"))
         .when(at("d2", 400), no_ids)
         .when(at("d3", 300), F.concat(extra, ids))
         .when((dataset == "d5") & last, F.concat(ids, F.slice(extra, 1, 7)))
         .otherwise(ids)
     )
-    kept = placed.where(~at("d0", 200) & ~((dataset == "d4") & last)).select(
+    kept = placed.where(~gone).select(
         "dataset_id",
-        F.when(at("d3", 300), start - 50).otherwise(start).alias("page_start"),
+        F.when(shifted, start - 50).otherwise(start).alias("page_start"),
         faulty.alias("ids"),
         ((start / PAGE) % 3 == 1).alias("late"),
         at("d6", 0).alias("again"),
         at("d7", 200).alias("hollow"),
-        at("d8", 700).alias("dead"),
+        dead.alias("dead"),
     )
 
     def attempt(number: int, ids: Column, error: str | None = None) -> Column:
@@ -111,36 +134,29 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("event_id")
-    return (
-        table(spark, sf_dir, "events")
-        .where(number % 10 < 5)
-        .select(
-            (F.col("user_id") % 5).cast("string").alias("dataset_id"),
-            F.expr("event_id div 10").alias("page_start"),
-            (number % 10).cast("int").alias("attempt"),
-            ((F.col("value") < 20) | (number % 10 < 2)).alias("failed"),
-        )
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).cast("string").alias("dataset_id"),
+        F.expr("event_id div 10").alias("page_start"),
+        (number % 10).cast("int").alias("attempt"),
+        ((F.col("value") < 20) | (number % 10 < 2)).alias("failed"),
     )
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot names as they were committed, name clashes included: one list per customer."""
-    return (
-        table(spark, sf_dir, "orders")
-        .where(F.col("o_custkey") % 10 < 7)
-        .select(
-            F.col("o_custkey").cast("string").alias("dataset_id"),
-            N.snapshot_name(N.stamp_ntz(F.col("o_orderdate")), F.col("o_orderpriority")).alias("snapshot"),
-            F.col("o_orderkey").alias("commit_seq"),
-        )
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("dataset_id"),
+        N.snapshot_name(N.stamp_ntz(F.col("o_orderdate")), F.col("o_orderpriority")).alias("snapshot"),
+        F.col("o_orderkey").alias("commit_seq"),
     )
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``commits`` without clashes."""
+    """``commits`` without clashes; three in ten customers never save one as latest."""
     once = commits(spark, sf_dir).groupBy("dataset_id", "snapshot").agg(F.max("commit_seq").alias("commit_seq"))
     number = F.col("commit_seq")
-    return once.withColumn("update_latest", number % 3 != 0).withColumn("normalized_count", number % 17)
+    update = (number % 3 != 0) & (F.col("dataset_id").cast("bigint") % 10 < 7)
+    return once.withColumn("update_latest", update).withColumn("normalized_count", number % 17)
 
 
 def stored_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +217,15 @@ def searches(spark: SparkSession, sf_dir: str, stamp: str) -> DataFrame:
         F.upper("dataset_id").alias("translated_query"),
         F.lit("w").alias("history_web_env"),
         F.lit("1").alias("history_query_key"),
+        *search_settings(),
     )
+
+
+def search_settings() -> list[Column]:
+    """Settings that differ from search to search, and are null in some."""
+    size, even = F.length("dataset_id"), F.col("reported_count") % 2 == 0
+    return [
+        F.when(even, size * 100).cast("int").alias("page_size"),
+        F.when(~even, size / 8).cast("double").alias("request_delay_seconds"),
+        F.when(size % 2 == 0, size).cast("int").alias("max_retry_attempts"),
+    ]

@@ -72,6 +72,33 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
                      list(CAST(user_id AS VARCHAR) ORDER BY event_id // 10) AS ids
               FROM events GROUP BY 1, 2) JOIN searches_pages USING (dataset_id)""",
     ),
+    "searches_verdict": (
+        ("searches_pages",),
+        """
+        SELECT dataset_id, reported_count FROM searches_pages
+        UNION ALL SELECT 'unknown', NULL FROM (SELECT count(*) FROM events)
+        UNION ALL SELECT 'negative', -count(*) FROM events""",
+    ),
+    "pages_sound": (
+        ("whole",),
+        """
+        SELECT dataset_id, page_start, 0 AS attempt, ids, (page_start // 100) % 3 <> 1
+               AND NOT (dataset_id = 'd7' AND page_start = 200) AS good FROM whole
+        UNION ALL
+        SELECT dataset_id, page_start, 1, ids, true FROM whole""",
+    ),
+    "won_sound": (
+        ("pages_sound",),
+        """
+        SELECT dataset_id, page_start, ids FROM pages_sound WHERE good
+        QUALIFY row_number() OVER (PARTITION BY dataset_id, page_start ORDER BY attempt) = 1""",
+    ),
+    "flat_sound": (
+        ("won_sound",),
+        """
+        SELECT dataset_id, page_start + pos - 1 AS ord, id FROM (
+            SELECT dataset_id, page_start, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM won_sound)""",
+    ),
     "faulty": (
         ("whole",),
         """
@@ -125,30 +152,25 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
                    AS expected_start
         FROM outcomes WHERE fault IS NULL OR fault <> 'request_error'""",
     ),
-    "flat": (
-        ("won",),
-        """
-        SELECT dataset_id, page_start + pos - 1 AS ord, id
-        FROM (SELECT dataset_id, page_start, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM won)""",
-    ),
     "log": (
         (),
         """
         SELECT CAST(user_id % 5 AS VARCHAR) AS dataset_id, event_id // 10 AS page_start, event_id % 10 AS attempt,
                value < 20 OR event_id % 10 < 2 AS failed
-        FROM events WHERE event_id % 10 < 5""",
+        FROM events""",
     ),
     "commits": (
         (),
         f"""
         SELECT CAST(o_custkey AS VARCHAR) AS dataset_id, o_orderkey AS commit_seq,
                {_name("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')", "o_orderpriority")} AS snapshot
-        FROM orders WHERE o_custkey % 10 < 7""",
+        FROM orders""",
     ),
     "snapshots": (
         ("commits",),
         """
-        SELECT dataset_id, snapshot, max(commit_seq) AS commit_seq, max(commit_seq) % 3 <> 0 AS update_latest,
+        SELECT dataset_id, snapshot, max(commit_seq) AS commit_seq,
+               max(commit_seq) % 3 <> 0 AND CAST(dataset_id AS BIGINT) % 10 < 7 AS update_latest,
                max(commit_seq) % 17 AS normalized_count
         FROM commits GROUP BY dataset_id, snapshot""",
     ),
@@ -191,7 +213,12 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         f"""
         SELECT dataset_id, dataset_id || '[All Fields]' AS search_query, reported_count,
-               '{_STAMP_LATE}' AS retrieved_at_utc, upper(dataset_id) AS translated_query
+               '{_STAMP_LATE}' AS retrieved_at_utc, upper(dataset_id) AS translated_query,
+               CAST(CASE WHEN reported_count % 2 = 0 THEN length(dataset_id) * 100 ELSE 1000 END AS INTEGER) AS page_size,
+               CAST(CASE WHEN reported_count % 2 <> 0 THEN length(dataset_id) / 8 ELSE 0.34 END AS DOUBLE)
+                   AS request_delay_seconds,
+               CAST(CASE WHEN length(dataset_id) % 2 = 0 THEN length(dataset_id) ELSE 5 END AS INTEGER)
+                   AS max_retry_attempts
         FROM (SELECT source AS dataset_id, count(*) AS reported_count FROM documents GROUP BY 1
               UNION ALL SELECT DISTINCT 'lang-' || lang, 0 FROM documents)""",
     ),
@@ -201,11 +228,11 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT dataset_id, {_name("'" + _STAMP_LATE + "'", "dataset_id || '[All Fields]'")} AS snapshot,
                min(ord) AS ord, id FROM kept GROUP BY dataset_id, id""",
     ),
-    "stored_even": (
-        ("kept",),
+    "stored_second": (
+        ("noisy",),
         f"""
         SELECT dataset_id, {_name("'" + _STAMP_EARLY + "'", "dataset_id || '[All Fields]'")} AS snapshot,
-               min(ord) AS ord, id FROM kept WHERE (ord // 16777216) % 2 = 0 GROUP BY dataset_id, id""",
+               min(ord) AS ord, {_strip("'v2:' || value")} AS id FROM noisy GROUP BY 1, 2, 4""",
     ),
 }
 
@@ -281,35 +308,42 @@ def oracle() -> dict[str, str]:
                 AS ids_sha256 FROM lineitem GROUP BY 1""",
         "digest_bucketed": _with("kept") + "," + _tree("kept", 16) + f"""
             SELECT dataset_id, digest AS ids_tree_sha256 FROM roots""",
+        "file_digest": """
+            SELECT source || '-' || (doc_id % 4) AS dataset_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS length,
+                   sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256,
+                   sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS ids_sha256 FROM documents GROUP BY 1""",
         "content_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-        "page_verdict": _with("grid", "searches_pages") + """
+        "page_verdict": _with("grid", "searches_verdict") + """
             SELECT s.dataset_id, s.reported_count, coalesce(g.raw_count, 0) AS raw_count,
                    coalesce(g.n_pages, 0) AS n_pages,
-                   CASE WHEN bool_or(f.fault = 'missing_id_list') THEN 'missing_id_list'
+                   CASE WHEN s.reported_count IS NULL OR s.reported_count < 0 THEN 'unknown_count'
+                        WHEN bool_or(f.fault = 'missing_id_list') THEN 'missing_id_list'
                         WHEN bool_or(f.fault = 'empty_page') THEN 'empty_page'
                         WHEN bool_or(f.page_start > f.expected_start) THEN 'gap'
                         WHEN bool_or(f.page_start < f.expected_start) THEN 'overlap'
                         WHEN coalesce(max(f.page_end), 0) < s.reported_count THEN 'incomplete'
                         ELSE 'ok' END AS verdict
-            FROM searches_pages s
+            FROM searches_verdict s
             LEFT JOIN (SELECT dataset_id, CAST(sum(page_len) AS BIGINT) AS raw_count,
                               count(CASE WHEN fault IS NULL THEN 1 END) AS n_pages
                        FROM grid GROUP BY dataset_id) g USING (dataset_id)
             LEFT JOIN grid f ON f.dataset_id = s.dataset_id AND f.page_start < s.reported_count
             GROUP BY s.dataset_id, s.reported_count, g.raw_count, g.n_pages""",
         "page_grid": _with("grid") + "SELECT dataset_id, page_start, page_len, fault, page_end, expected_start FROM grid",
-        "flatten_pages": _with("flat") + "SELECT dataset_id, ord, id FROM flat",
-        "landed_stream": _with("flat") + "SELECT dataset_id, ord, id FROM flat",
-        "page_progress": _with("won", "searches_pages") + """SELECT dataset_id, page_start,
+        "landed_pages": _with("pages_made") + """SELECT dataset_id, page_start, CAST(attempt AS INTEGER) AS attempt,
+            CAST(len(ids) AS INTEGER) AS n_ids, ids[-1] AS last_id, error FROM pages_made""",
+        "flatten_pages": _with("flat_sound") + "SELECT dataset_id, ord, id FROM flat_sound",
+        "landed_stream": _with("flat_sound") + "SELECT dataset_id, ord, id FROM flat_sound",
+        "page_progress": _with("won_sound", "searches_pages") + """SELECT dataset_id, page_start,
             page_start + len(ids) AS extracted, least((page_start + len(ids)) / reported_count, 1.0) AS progress
-            FROM won JOIN searches_pages USING (dataset_id)""",
+            FROM won_sound JOIN searches_pages USING (dataset_id)""",
         "retry_outcome": _with("log") + """
             SELECT dataset_id, page_start, won AS winning_attempt, coalesce(won + 1, n) AS attempts_made,
                    CASE WHEN won IS NOT NULL THEN 'succeeded' WHEN n >= 3 THEN 'exhausted' ELSE 'pending' END AS outcome
             FROM (SELECT dataset_id, page_start, min(CASE WHEN NOT failed THEN attempt END) AS won, count(*) AS n
                   FROM log WHERE attempt < 3 GROUP BY 1, 2)""",
         "failed_datasets": _with("pages_made") + """
-            SELECT dataset_id, page_start, last_error FROM (
+            SELECT dataset_id, page_start, CAST(1 AS BIGINT) AS attempts, last_error FROM (
                 SELECT dataset_id, page_start, coalesce(error, CASE WHEN ids IS NULL THEN 'missing_id_list'
                            WHEN len(ids) = 0 THEN 'empty_page' END) AS last_error
                 FROM pages_made WHERE attempt = 0)
@@ -332,8 +366,7 @@ def oracle() -> dict[str, str]:
                    retrieved_at_utc, reported_count, coalesce(raw_count, 0) AS raw_count,
                    coalesce(normalized_count, 0) AS normalized_count, true AS dedup, true AS canonical_sort,
                    coalesce(sha, {empty_sha}) AS ids_sha256, coalesce(digest, {empty_sha}) AS ids_tree_sha256,
-                   CAST(1000 AS INTEGER) AS page_size, CAST(0.34 AS DOUBLE) AS request_delay_seconds,
-                   CAST(5 AS INTEGER) AS max_retry_attempts, 'w' AS history_web_env, '1' AS history_query_key,
+                   page_size, request_delay_seconds, max_retry_attempts, 'w' AS history_web_env, '1' AS history_query_key,
                    '1.0' AS snapshot_format_version, 'ids' AS snapshot_file_name,
                    'manifests' AS manifest_file_name, {_name("retrieved_at_utc", "search_query")} AS snapshot,
                    'ids/commit_seq=0/shard=mixed-0' AS snapshot_relative_path,
@@ -374,17 +407,35 @@ def oracle() -> dict[str, str]:
                     WHEN NOT has_email THEN 'email_required' ELSE 'create' END AS outcome
                 FROM state JOIN requests USING (dataset_id))""",
         "text_roundtrip": _with("firsts") + """SELECT dataset_id, id,
-            row_number() OVER (PARTITION BY dataset_id ORDER BY id) AS position FROM firsts""",
+            row_number() OVER (PARTITION BY dataset_id ORDER BY id) AS position FROM firsts
+            UNION ALL SELECT DISTINCT 'blank-' || source, NULL, 0 FROM documents""",
         "verbatim_roundtrip": _with("noisy") + """SELECT dataset_id, value,
             row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS position FROM noisy""",
         "json_roundtrip": _with("snapshots")
         + "SELECT dataset_id, snapshot, commit_seq, update_latest, normalized_count FROM snapshots",
         "json_documents": """SELECT c_custkey, c_name, c_acctbal,
             CAST(NULL AS VARCHAR) AS c_comment FROM customer""",
+        "json_documents_indented": """SELECT n_nationkey, n_name, n_regionkey,
+            CAST(NULL AS VARCHAR) AS n_comment FROM nation""",
+        "tree_snapshots": _with("lines") + """, n AS (SELECT dataset_id, count(*) AS n FROM lines GROUP BY 1)
+            SELECT dataset_id, dataset_id AS id, CAST(1 AS BIGINT) AS position, dataset_id AS search_query,
+                   n AS reported_count FROM n
+            UNION ALL SELECT dataset_id, CAST(n AS VARCHAR), 2, dataset_id, n FROM n""",
         "json_field": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
             json_extract_string(props, '$.missing') AS missing FROM events""",
         "load_snapshot": _with("stored") + "SELECT dataset_id, snapshot, ord, id FROM stored",
-        "load_latest": _with("stored_even") + "SELECT dataset_id, snapshot, ord, id FROM stored_even",
+        "load_latest": _with("stored_second") + "SELECT dataset_id, snapshot, ord, id FROM stored_second",
+        "store_identifiers": _with("stored", "stored_second") + """SELECT dataset_id, snapshot, count(*) AS n,
+            min(id) AS first_id FROM (SELECT * FROM stored UNION ALL SELECT * FROM stored_second) GROUP BY 1, 2""",
+        "snapshot_paths": _with("stored_second", "searches", "noisy") + f"""
+            SELECT dataset_id, {_name("'" + _STAMP_EARLY + "'", "search_query")} AS snapshot, coalesce(raw, 0) AS raw_count,
+                   coalesce(n, 0) AS normalized_count, 'ids/commit_seq=2/shard=mixed-0' AS snapshot_directory,
+                   'manifests/commit_seq=2' AS manifest_path, 'ids/commit_seq=2/shard=mixed-0' AS ids_path
+            FROM searches LEFT JOIN (SELECT dataset_id, count(*) AS n FROM stored_second GROUP BY 1) USING (dataset_id)
+            LEFT JOIN (SELECT dataset_id, count(*) AS raw FROM noisy GROUP BY 1) USING (dataset_id)""",
+        "store_collisions": _with("searches") + f"""SELECT dataset_id,
+            {_name("retrieved_at_utc", "search_query")} AS snapshot, CAST(1 AS BIGINT) AS n FROM searches
+            WHERE reported_count % 2 = 0""",
         "snapshot_report": _with("stored", "searches") + f"""
             SELECT dataset_id, t.snapshot, 'ids/commit_seq=1/shard=mixed-0' AS snapshot_relative_path,
                    coalesce(n, 0) AS n_ids, retrieved_at_utc, search_query, translated_query,
@@ -392,16 +443,27 @@ def oracle() -> dict[str, str]:
             FROM (SELECT *, {_name("retrieved_at_utc", "search_query")} AS snapshot FROM searches) t
             LEFT JOIN (SELECT dataset_id, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha
                        FROM stored GROUP BY 1) USING (dataset_id)""",
-        "store_catalog": _with("stored", "stored_even", "searches") + f"""
+        "store_catalog": _with("stored", "stored_second", "searches") + f"""
             SELECT dataset_id, snapshot, commit_seq, true AS complete, commit_seq = 2 AS is_latest,
                    coalesce(n, 0) AS normalized_count
             FROM (SELECT dataset_id, CAST(1 AS BIGINT) AS commit_seq,
                          {_name("retrieved_at_utc", "search_query")} AS snapshot FROM searches
                   UNION ALL SELECT dataset_id, 2, {_name("'" + _STAMP_EARLY + "'", "search_query")} FROM searches)
             LEFT JOIN (SELECT dataset_id, snapshot, count(*) AS n FROM stored GROUP BY 1, 2
-                       UNION ALL SELECT dataset_id, snapshot, count(*) FROM stored_even GROUP BY 1, 2)
+                       UNION ALL SELECT dataset_id, snapshot, count(*) FROM stored_second GROUP BY 1, 2)
                 USING (dataset_id, snapshot)""",
-        "activate_requests": _with("flat") + f"""
+        "activate_requests": _with("flat_sound") + f"""
             SELECT dataset_id, {_name("'" + _STAMP_EARLY + "'", "dataset_id")} AS snapshot, min(ord) AS ord, id
-            FROM flat WHERE dataset_id IN ('d5', 'd6', 'd7', 'd9') GROUP BY dataset_id, id""",
+            FROM flat_sound GROUP BY dataset_id, id""",
+        "activate_manifests": _with("flat_sound", "searches_pages") + f""",
+            firsts AS (SELECT DISTINCT dataset_id, id FROM flat_sound),
+            digests AS (SELECT dataset_id, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha
+                        FROM firsts GROUP BY 1)
+            SELECT dataset_id, {_name("'" + _STAMP_EARLY + "'", "dataset_id")} AS snapshot, dataset_id AS search_query,
+                   reported_count, reported_count AS raw_count, n AS normalized_count,
+                   CAST(CASE WHEN k % 2 = 0 THEN 50 + k ELSE 1000 END AS INTEGER) AS page_size,
+                   CAST(CASE WHEN k % 3 = 0 THEN 2 + k ELSE 5 END AS INTEGER) AS max_retry_attempts,
+                   CAST(CASE WHEN k < 3 THEN k / 2 WHEN k > 6 THEN 0.1 ELSE 0.34 END AS DOUBLE) AS request_delay_seconds,
+                   sha AS ids_sha256
+            FROM (SELECT *, CAST(substr(dataset_id, 2) AS INTEGER) AS k FROM searches_pages) JOIN digests USING (dataset_id)""",
     }

@@ -24,8 +24,11 @@ from muster.plans.resolve import activate
 from muster.shared import fresh_path, stage
 from muster.sinks.documents import write_json
 from muster.sinks.text import write_lines, write_normalized_lines
+from muster.sources import tree
 from muster.sources.documents import json_field, read_json_documents
-from muster.sources.lines import read_lines
+from muster.sources.files import list_files, open_path
+from muster.sources.landed import read_pages
+from muster.sources.lines import part_number, read_lines
 from muster.streaming.landing import append_identifiers, stream_pages
 from muster.suite import inputs as I
 
@@ -138,9 +141,22 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("file_digest")
 def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of the given files themselves."""
-    digests = file_digests(spark, sf_dir, pathGlobFilter="*.parquet", recursiveFileLookup="true")
-    return digests.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "sha256")
+    """All documents written as text files, a few per source; and the identity of the same lists.
+
+    The two differ: a file ends with a line end, and a list does not.
+    """
+    name = F.concat_ws("-", "source", F.col("doc_id") % 4)
+    ids = stage(I.table(spark, sf_dir, "documents").select(name.alias("dataset_id"), F.col("doc_id").alias("ord"), F.col("text").alias("id")))
+    path = fresh_path(spark, "files")
+    (
+        ids.repartition("dataset_id").sortWithinPartitions("dataset_id", "ord").select("dataset_id", "id")
+        .write.partitionBy("dataset_id").text(path)
+    )
+    files = file_digests(spark, path).select(
+        F.regexp_extract("path", "dataset_id=([^/]+)/", 1).alias("dataset_id"), "length", "sha256"
+    )
+    sizes = stage(ids.groupBy("dataset_id").agg(F.sum(F.octet_length("id").cast("bigint") + 1).alias("n_bytes")))
+    return files.join(list_digest(ids, sizes, canonical_sort=False), "dataset_id")
 
 
 # Pages and requests
@@ -148,7 +164,7 @@ def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("page_verdict")
 def page_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_verdict(I.result_pages(spark, sf_dir), I.page_searches(spark, sf_dir))
+    return P.page_verdict(I.result_pages(spark, sf_dir), I.verdict_searches(spark, sf_dir))
 
 
 @_query("page_grid")
@@ -158,13 +174,13 @@ def page_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("flatten_pages")
 def flatten_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.flatten_pages(P.first_success(I.result_pages(spark, sf_dir)))
+    return P.flatten_pages(P.first_success(I.result_pages(spark, sf_dir, faults=False)))
 
 
 @_query("landed_stream")
 def landed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing = fresh_path(spark, "landing")
-    P.first_success(I.result_pages(spark, sf_dir)).write.parquet(landing)
+    P.first_success(I.result_pages(spark, sf_dir, faults=False)).write.parquet(landing)
     target = fresh_path(spark, "streamed")
     append_identifiers(stream_pages(spark, landing), target, fresh_path(spark, "offsets")).awaitTermination()
     return spark.read.schema("dataset_id string, ord bigint, id string").parquet(target)
@@ -172,7 +188,17 @@ def landed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("page_progress")
 def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_progress(P.first_success(I.result_pages(spark, sf_dir)), I.page_searches(spark, sf_dir))
+    won = P.first_success(I.result_pages(spark, sf_dir, faults=False))
+    return P.page_progress(won, I.page_searches(spark, sf_dir))
+
+
+@_query("landed_pages")
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as JSON by one job and read by another, what failed included."""
+    path = write_json(I.result_pages(spark, sf_dir), fresh_path(spark, "landed"))
+    return read_pages(spark, path, fmt="json").select(
+        "dataset_id", "page_start", "attempt", F.size("ids").alias("n_ids"), F.try_element_at("ids", F.lit(-1)).alias("last_id"), "error"
+    )
 
 
 @_query("retry_outcome")
@@ -278,10 +304,7 @@ def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("most_recent_snapshot")
 def most_recent_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = stage(_listing(spark, sf_dir), "listing")
-    complete = C.most_recent_snapshot(listing, complete_only=True)
-    complete = complete.withColumnRenamed("snapshot", "snapshot_complete")
-    return C.most_recent_snapshot(listing).join(complete, "dataset_id", "left")
+    return C.most_recent_snapshots(_listing(spark, sf_dir))
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,9 +333,25 @@ def _read(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_lines(spark, path, partitions="dataset_id string", **options)
 
 
+def put_files(files: DataFrame, root: str) -> None:
+    """Write each ``text`` of ``(place, text)`` as the file ``place`` below ``root``, by tasks."""
+
+    def run(source):
+        for batch in source:
+            store, at = open_path(root)
+            for place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{at}/{place}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{at}/{place}") as out:
+                    out.write(text.encode())
+            yield batch.select(["place"])
+
+    files.select("place", "text").mapInArrow(run, "place string").write.format("noop").mode("overwrite").save()
+
+
 def _in_file_order(read: DataFrame, value: str) -> DataFrame:
-    """Part files hold a list in the order of their names."""
-    return dense_position(read, ["dataset_id"], ["file", "ord"]).select(
+    """Part files hold a list in the order of the numbers in their names."""
+    numbered = read.withColumn("part", part_number())
+    return dense_position(numbered, ["dataset_id"], ["part", "file", "ord"]).select(
         "dataset_id", F.col("value").alias(value), "position"
     )
 
@@ -353,8 +392,15 @@ def encoding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("text_roundtrip")
 def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_normalized_lines(I.noisy_lines(spark, sf_dir), fresh_path(spark, "text"), canonical_sort=True)
-    return _in_file_order(_read(spark, path), "id")
+    """Every list, and at position 0 the lists of which nothing is left: they are empty files."""
+    lines = I.with_blank_lists(I.noisy_lines(spark, sf_dir))
+    path = write_normalized_lines(lines, fresh_path(spark, "text"), canonical_sort=True)
+    empty = list_files(spark, path).where("length = 0").select(
+        F.regexp_extract("path", "dataset_id=([^/]+)/", 1).alias("dataset_id"),
+        F.lit(None).cast("string").alias("id"),
+        F.lit(0).cast("bigint").alias("position"),
+    )
+    return _in_file_order(_read(spark, path), "id").unionByName(empty)
 
 
 @_query("verbatim_roundtrip")
@@ -377,6 +423,36 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json_documents(spark, path, schema, multiLine="false").drop("file")
 
 
+@_query("json_documents_indented")
+def json_documents_indented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a file, over several lines."""
+    path = fresh_path(spark, "json")
+    document = F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey"), {"pretty": "true"})
+    I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), document.alias("value")).write.partitionBy("k").text(path)
+    schema = "n_nationkey int, n_name string, n_regionkey int, n_comment string"
+    return read_json_documents(spark, path, schema, recursiveFileLookup="true").drop("file")
+
+
+@_query("tree_snapshots")
+def tree_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories as another tool writes them, one list per file, read back with their manifests."""
+    lists = I.lines(spark, sf_dir).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    root = fresh_path(spark, "tree")
+    files = lists.select(
+        F.concat(F.col("dataset_id"), F.lit("/latest/manifest.json")).alias("place"),
+        F.to_json(F.struct(F.col("dataset_id").alias("search_query"), F.col("n").alias("reported_count")), {"pretty": "true"}).alias("text"),
+    ).unionByName(
+        lists.select(
+            F.concat(F.col("dataset_id"), F.lit("/latest/ids.txt")).alias("place"),
+            F.concat(F.col("dataset_id"), F.lit("\n \n"), F.col("n").cast("string"), F.lit("\n")).alias("text"),
+        )
+    )
+    put_files(files, root)
+    manifests, ids = tree.load_tree(spark, root, "search_query string, reported_count bigint")
+    placed = dense_position(ids, ["dataset_id"], ["ord"]).select("dataset_id", "id", "position")
+    return placed.join(manifests.drop("snapshot"), "dataset_id")
+
+
 @_query("json_field")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "events").select(
@@ -391,33 +467,32 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORES: dict[tuple[str, str], str] = {}
 
 
-def _store(spark: SparkSession, sf_dir: str) -> str:
-    """A store with two commits, made once per session: all documents, then every other one under an earlier stamp."""
+def make_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store with two commits, made once per session: all documents, then a second version under an earlier stamp."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         root = fresh_path(spark, "store")
-        noisy = I.noisy_lines(spark, sf_dir)
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), noisy, "value")
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), noisy.where("doc_id % 2 = 0"), "value")
+        commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.noisy_lines(spark, sf_dir), "value")
+        commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.second_lines(spark, sf_dir), "value")
         _STORES[key] = root
     return _STORES[key]
 
 
 @_query("load_snapshot")
 def load_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _store(spark, sf_dir)
+    root = make_store(spark, sf_dir)
     first = store.manifests(spark, root).where("commit_seq = 1")
     return store.load_snapshots(spark, root, first)[1]
 
 
 @_query("load_latest")
 def load_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.load_latest(spark, _store(spark, sf_dir))[1]
+    return store.load_latest(spark, make_store(spark, sf_dir))[1]
 
 
 @_query("snapshot_report")
 def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _store(spark, sf_dir)
+    root = make_store(spark, sf_dir)
     first = store.manifests(spark, root).where("commit_seq = 1")
     return C.snapshot_report(*store.load_snapshots(spark, root, first))
 
@@ -425,17 +500,41 @@ def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("store_catalog")
 def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By SQL over the registered view."""
-    store.register_views(spark, _store(spark, sf_dir))
+    store.register_views(spark, make_store(spark, sf_dir))
     return spark.sql(
         "SELECT dataset_id, snapshot, commit_seq, complete, is_latest, normalized_count FROM snapshot_catalog"
     )
 
 
-@_query("activate_requests")
-def activate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Create snapshots from landed pages, then ask again and reuse them."""
+@_query("store_identifiers")
+def store_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By SQL over the other registered view."""
+    store.register_views(spark, make_store(spark, sf_dir))
+    return spark.sql("SELECT dataset_id, snapshot, count(*) AS n, min(id) AS first_id FROM identifiers GROUP BY 1, 2")
+
+
+@_query("snapshot_paths")
+def snapshot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests that come with loaded identifiers, and where everything lies."""
+    root = make_store(spark, sf_dir)
+    found = store.load_latest(spark, root)[0]
+    below = {c: F.replace(c, F.lit(f"{root}/"), F.lit("")).alias(c) for c in ("snapshot_directory", "manifest_path", "ids_path")}
+    return found.select("dataset_id", "snapshot", "raw_count", "normalized_count", *below.values())
+
+
+@_query("store_collisions")
+def store_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the store holds already, of a batch in which every other search has a new stamp."""
+    root = make_store(spark, sf_dir)
+    stamp = F.when(F.col("reported_count") % 2 == 0, F.lit(LATE)).otherwise(F.lit("2024-01-03T00:00:00Z"))
+    new = M.complete_searches(I.searches(spark, sf_dir, LATE).withColumn("retrieved_at_utc", stamp))
+    return C.collisions(new, store.opened(spark, root))
+
+
+def _activated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Create snapshots of all ten lists from landed pages, then ask again and reuse them."""
     root = fresh_path(spark, "store")
-    searches = I.page_searches(spark, sf_dir).where(F.col("dataset_id").isin("d5", "d6", "d7", "d9"))
+    searches = I.page_searches(spark, sf_dir)
     searches = searches.withColumns(
         {
             "search_query": F.col("dataset_id"),
@@ -444,9 +543,32 @@ def activate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "history_query_key": F.lit("1"),
         }
     )
+    number = F.substring("dataset_id", 2, 1).cast("int")
     asked = searches.select(
-        "dataset_id", F.lit(R.REUSE_LATEST_OR_CREATE).alias("mode"), F.lit("a@example.org").alias("email")
+        "dataset_id",
+        F.lit(R.REUSE_LATEST_OR_CREATE).alias("mode"),
+        F.lit("a@example.org").alias("email"),
+        "search_query",
+        F.when(number % 2 == 0, 50 + number).alias("page_size"),
+        F.when(number % 3 == 0, 2 + number).alias("max_retry_attempts"),
+        F.when(number < 3, number / 2).cast("double").alias("request_delay_seconds"),
+        F.when(number > 6, "k").alias("api_key"),
     )
-    activate(spark, root, asked, searches, I.result_pages(spark, sf_dir))
-    again = asked.withColumn("mode", F.lit(R.REUSE_LATEST)).drop("email").withColumn("email", F.lit(""))
-    return activate(spark, root, again)[1]
+    activate(spark, root, asked.fillna(R.DEFAULT_PAGE_SIZE, ["page_size"]).fillna(R.DEFAULT_MAX_ATTEMPTS, ["max_retry_attempts"]),
+             searches, I.result_pages(spark, sf_dir, faults=False))
+    again = asked.select("dataset_id", F.lit(R.REUSE_LATEST).alias("mode"), F.lit("").alias("email"))
+    return activate(spark, root, again)
+
+
+@_query("activate_requests")
+def activate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _activated(spark, sf_dir)[1]
+
+
+@_query("activate_manifests")
+def activate_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the requests asked for, as their manifests have it."""
+    return _activated(spark, sf_dir)[0].select(
+        "dataset_id", "snapshot", "search_query", "reported_count", "raw_count", "normalized_count",
+        "page_size", "max_retry_attempts", "request_delay_seconds", "ids_sha256",
+    )

@@ -1,6 +1,6 @@
+import gzip
 import hashlib
 import json
-import os
 import random
 
 import pytest
@@ -12,7 +12,7 @@ from muster.sinks.documents import write_json
 from muster.sinks.text import write_lines, write_normalized_lines
 from muster.sources import tree
 from muster.sources.documents import read_json_documents, read_json_values
-from muster.sources.lines import as_lists, invalid_lines, line_order, read_lines
+from muster.sources.lines import as_lists, invalid_lines, line_order, part_number, read_lines
 
 
 def lines_of(df):
@@ -132,27 +132,64 @@ def test_json_documents(spark, tmp_path):
         read_json_documents(spark, str(tmp_path), "k bigint, s string").collect()
 
 
-def test_file_digests_of_small_and_large_files(spark, tmp_path):
+def test_file_digests(spark, tmp_path):
     random.seed(1)
-    noise = bytes(random.randrange(256) for _ in range(5000))
+    text = b"line\n" * 400
     files = {
         "small": b"abc",
         "none": b"",
-        "ends": b"x" * 600 + b"\n\ny\n",
-        "open": b"x" * 600 + b"\n\r\n\ry",
-        "only": b"\n" * 700,
-        "noise": noise,
+        "noise": bytes(random.randrange(256) for _ in range(5000)),
         "bom": b"\xef\xbb\xbf" + b"z\n" * 400,
-        "flat": b"q" * 900,
+        "flat": b"q" * (9 << 20),
+        "packed.gz": gzip.compress(text),
+        "a name/with %20 é.txt": text,
     }
     for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    for file_bytes, run_bytes in ((1 << 20, 1 << 30), (500, 1 << 30), (500, 700)):
-        rows = file_digests(spark, str(tmp_path), file_bytes=file_bytes, run_bytes=run_bytes).collect()
-        assert {os.path.basename(r.path): r.sha256 for r in rows} == {
-            name: hashlib.sha256(content).hexdigest() for name, content in files.items()
-        }
-        assert {os.path.basename(r.path): r.length for r in rows} == {n: len(c) for n, c in files.items()}
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
+    rows = file_digests(spark, str(tmp_path)).collect()
+    found = {r.path.removeprefix(f"file:{tmp_path}/"): (r.length, r.sha256) for r in rows}
+    assert found == {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in files.items()}
+    only = file_digests(spark, f"file://{tmp_path}", pattern="*.gz").collect()
+    assert [r.sha256 for r in only] == [hashlib.sha256(files["packed.gz"]).hexdigest()]
+
+
+def test_a_failed_write_leaves_the_old_result(spark, tmp_path):
+    path = tmp_path / "out"
+    write_lines(ids_frame(spark, {"a": ["old"], "b": ["kept"]}), str(path))
+    with pytest.raises(PySparkException, match="line break"):
+        write_lines(ids_frame(spark, {"a": ["new", "x\ny"]}), str(path))
+    assert parts_of(path, "a") == b"old\n"
+    write_lines(ids_frame(spark, {"a": ["new"]}), str(path))
+    assert (parts_of(path, "a"), parts_of(path, "b")) == (b"new\n", b"kept\n")
+    write_normalized_lines(ids_frame(spark, {"a": [" "], "c": ["1"]}), str(path), "id")
+    assert (parts_of(path, "a"), parts_of(path, "b"), parts_of(path, "c")) == (b"", b"kept\n", b"1\n")
+    assert len(list((path / "dataset_id=a").glob("part-*"))) == 1
+    documents = tmp_path / "json"
+    write_json(spark.range(3), str(documents))
+    with pytest.raises(Exception):
+        write_json(spark.range(5).select(F.raise_error(F.lit("no")).alias("id")), str(documents))
+    assert spark.read.json(str(documents)).count() == 3
+    write_json(spark.range(5), str(documents))
+    assert spark.read.json(str(documents)).count() == 5
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith("json.")) == ["json", "out"]
+
+
+def test_part_files_in_order_of_their_numbers(spark):
+    names = spark.createDataFrame([("/x/part-100000-a.txt",), ("/x/part-99999-a.txt",), ("/x/other",)], "file string")
+    assert [r[0] for r in names.select(part_number()).collect()] == [100000, 99999, None]
+
+
+def test_reading_one_dataset_reads_its_directory(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write_lines(ids_frame(spark, {"a": ["1"], "b": ["2", "3"], "c d": ["\ufeff4"]}), path)
+    read = read_lines(spark, path, partitions="dataset_id string", where="dataset_id = 'b'")
+    assert lines_of(read) == ["2", "3"]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "dataset_id" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    marked = read_lines(spark, path, partitions="dataset_id string", where="dataset_id = 'c d'")
+    assert lines_of(marked) == ["\ufeff4"]
 
 
 def test_snapshot_directories_of_other_tools(spark, tmp_path):
@@ -186,5 +223,7 @@ def test_snapshot_directories_of_other_tools(spark, tmp_path):
         ("one", "2024-01-01T00-00-00Z__q_0", "a"),
         ("three", "", "x"),
     ]
+    with pytest.raises(FileNotFoundError, match="three"):
+        tree.load_tree(spark, root, "search_query string", ids_file="list.txt")
     paths = {r.ids_path for r in tree.tree_paths(files, "/r").collect()}
     assert "/r/one/latest/ids.txt" in paths and "/r/one/snapshots/2024-01-01T00-00-00Z__q_0/ids.txt" in paths

@@ -14,6 +14,7 @@ from muster.operators.normalize import counts_by_dataset, measure, normalize, no
 from muster.operators.order import dense_position, previous_in_order
 from muster.operators.tree import tree_digest
 from muster.shared import stage
+from muster.sources.landed import text_lines
 
 POLICIES = [(dedup, sort) for dedup in (True, False) for sort in (True, False)]
 
@@ -179,6 +180,24 @@ def test_tree_digest(spark, dedup, leaf_rows):
     assert found == {name: expected_tree(items, leaf_rows) for name, items in lists.items() if items}
 
 
+def test_leaves_are_bounded_by_bytes(spark):
+    items = [f"{i}" * 500 for i in range(40)]
+    counted = stage(normalize_counted(frame(spark, {"d": items})))
+    sizes = stage(measure(counted))
+    (found,) = tree_digest(counted, sizes, distinct=True, leaf_rows=1000, leaf_bytes=2000).collect()
+    assert found.ids_tree_sha256 == expected_tree(items, 1)
+    with pytest.raises(Exception, match="too long"):
+        tree_digest(counted, sizes, distinct=True, leaf_rows=1000, leaf_bytes=100, levels=0).collect()
+
+
+def test_text_numbers_without_a_place_raise(spark):
+    texts = spark.createDataFrame([("d", (1 << 39) - 1, "a\nb"), ("d", -(1 << 39), "c")], "k string, n bigint, t string")
+    assert text_lines(texts, "k", "n", "t").select("ord").distinct().count() == 3
+    beyond = spark.createDataFrame([("d", 1 << 40, "a")], "k string, n bigint, t string")
+    with pytest.raises(Exception, match="no place"):
+        text_lines(beyond, "k", "n", "t").collect()
+
+
 @pytest.mark.parametrize("widths", [(), (7,), (7, 70), (1, 1000)])
 def test_previous_in_order(spark, widths):
     rng = random.Random(5)

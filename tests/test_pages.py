@@ -150,7 +150,16 @@ def test_where_reading_ends(spark):
         ("f", 0, 2, ["late"], None),
     ]
     found = failed_datasets(pages_frame(spark, rows), max_attempts=2)
-    assert sorted(tuple(row) for row in found.collect()) == [("d", 1, "empty_page"), ("f", 0, "y")]
+    assert sorted(tuple(row) for row in found.collect()) == [("d", 1, 2, "empty_page"), ("f", 0, 2, "y")]
+    unbounded = failed_datasets(pages_frame(spark, rows), max_attempts=None)
+    assert sorted(tuple(row) for row in unbounded.collect()) == [("d", 1, 2, "empty_page"), ("e", 0, 1, "x")]
+
+
+def test_unknown_counts(spark):
+    rows = [("a", 0, 0, ["x", "y"], None), ("b", 0, 0, ["x"], None), ("c", 0, 0, ["x"], None)]
+    searches = searches_frame(spark, {"a": None, "b": -1, "c": 1})
+    found = {r.dataset_id: (r.raw_count, r.verdict) for r in P.page_verdict(pages_frame(spark, rows), searches).collect()}
+    assert found == {"a": (2, "unknown_count"), "b": (1, "unknown_count"), "c": (1, "ok")}
 
 
 def test_pages_as_they_arrive(spark, tmp_path):

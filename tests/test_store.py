@@ -285,3 +285,67 @@ def test_broken_pages_are_not_frozen(spark, root):
     with pytest.raises(RuntimeError, match="incomplete"):
         commit_pages(spark, root, searches(spark, {"a": "12"}), short)
     assert files_under(root) == []
+
+
+def test_a_list_that_was_not_counted_is_not_frozen(spark, root):
+    landed = pages(spark, ("a", 0, 0, ["1", "2"], None))
+    for count in (None, -1):
+        asked = searches(spark, {"a": "12"}).withColumn("reported_count", F.lit(count).cast("bigint"))
+        with pytest.raises(ValueError, match="not known"):
+            commit_pages(spark, root, asked, landed)
+        with pytest.raises(ValueError, match="not known"):
+            commit_snapshots(spark, root, asked, frame(spark, {"a": ["1"]}))
+        with pytest.raises(ValueError, match="not known"):
+            activate(spark, root, requests(spark, ("a", "create_new", "e", "q")), asked, landed)
+    with pytest.raises(ValueError, match="without a search"):
+        commit_pages(spark, root, searches(spark, {"b": "1"}), landed)
+    assert files_under(root) == []
+
+
+def test_the_error_says_where_reading_stopped(spark, root):
+    landed = pages(
+        spark, ("a", 0, 0, ["1"], None), ("a", 1, 0, None, "reset"), ("a", 1, 1, None, "timeout"), ("a", 2, 0, ["3"], None)
+    )
+    with pytest.raises(RuntimeError, match="gap.*offset 1.*2 attempts.*timeout"):
+        commit_pages(spark, root, searches(spark, {"a": "123"}), landed, max_attempts=2)
+    assert files_under(root) == []
+
+
+def test_a_damaged_manifest_raises(spark, root):
+    commit_snapshots(spark, root, searches(spark, {"d": ["a"]}), frame(spark, {"d": ["a"]}))
+    (document,) = Path(store.manifests_path(root)).rglob("part-*.json")
+    document.write_text(document.read_text()[:40])
+    document.with_name(f".{document.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        store.listing(spark, root).collect()
+
+
+def test_settings_of_requests_reach_the_manifest(spark, root):
+    schema = (
+        "dataset_id string, mode string, email string, search_query string, page_size int, max_retry_attempts int, "
+        "request_delay_seconds double, api_key string"
+    )
+    asked = spark.createDataFrame(
+        [
+            ("a", "create_new", "e", "q", 50, 2, None, "k"),
+            ("b", "create_new", "e", "q", 60, 7, 1.5, None),
+            ("c", "create_new", "e", None, 70, 1, None, None),
+        ],
+        schema,
+    ).fillna("q", ["search_query"])
+    landed = pages(
+        spark, ("a", 0, 0, None, "x"), ("a", 0, 1, ["1"], None), ("b", 0, 6, ["2"], None), ("c", 0, 0, ["3"], None), ("c", 0, 1, ["4"], None)
+    )
+    given = searches(spark, {"a": "1", "b": "2", "c": "3"})
+    found, ids = activate(spark, root, asked, given, landed)
+    rows = {r.dataset_id: (r.page_size, r.max_retry_attempts, r.request_delay_seconds) for r in found.collect()}
+    assert rows == {"a": (50, 2, 0.1), "b": (60, 7, 1.5), "c": (70, 1, 0.34)}
+    assert sorted(r.id for r in ids.collect()) == ["1", "2", "3"]
+    few = asked.withColumn("max_retry_attempts", F.lit(1))
+    with pytest.raises(RuntimeError, match="not whole"):
+        activate(spark, root, few, searches(spark, {"a": "1", "b": "2", "c": "3"}, LATE), landed)
+    with pytest.raises(ValueError, match="another query"):
+        activate(spark, root, asked.withColumn("search_query", F.lit("other")), given, landed)
+    null_settings = given.withColumn("page_size", F.lit(None).cast("int")).withColumn("retrieved_at_utc", F.lit(LATE))
+    made = commit_snapshots(spark, root, null_settings, frame(spark, {"a": ["1"]}))
+    assert {r.page_size for r in made.collect()} == {1000}
