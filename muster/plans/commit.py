@@ -21,7 +21,7 @@ from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.operators.retries import failed_datasets
 from muster.operators.tree import tree_digest
 from muster.plans import store
-from muster.shared import stage
+from muster.shared import in_scratch, stage
 from muster.sinks.documents import write_json
 
 
@@ -74,6 +74,7 @@ def _open(spark: SparkSession, root: str, names: DataFrame) -> int:
                 raise
 
 
+@in_scratch
 def commit_snapshots(
     spark: SparkSession,
     root: str,
@@ -139,6 +140,7 @@ def _reasons(faulty: list, pages: DataFrame, max_attempts: int | None) -> list[t
     return [(row.dataset_id, row.verdict, *ends.get(row.dataset_id, ())) for row in faulty]
 
 
+@in_scratch
 def commit_pages(
     spark: SparkSession,
     root: str,

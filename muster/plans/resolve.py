@@ -11,7 +11,7 @@ from muster.operators import catalog as C
 from muster.operators.lookup import spread_lookup
 from muster.plans import store
 from muster.plans.commit import commit_pages
-from muster.shared import stage
+from muster.shared import scratch, stage
 
 # The kind of error behind each outcome that is neither reuse nor create.
 _ERRORS = {
@@ -80,11 +80,7 @@ def activate(
     requests: DataFrame,
     searches: DataFrame | None = None,
     pages: DataFrame | None = None,
-    *,
-    max_attempts: int | None = None,
-    dedup: bool = True,
-    canonical_sort: bool = True,
-    update_latest: bool = True,
+    **policy: bool | int | None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(manifests, identifiers)`` of the snapshot each of ``requests(dataset_id, mode, email, …)`` comes to.
 
@@ -95,7 +91,23 @@ def activate(
     What a request to create says of ``page_size``, ``max_retry_attempts`` and
     ``request_delay_seconds`` (with ``api_key`` deciding the default) goes into its manifest,
     and its attempts bound the pages read. A landed search for another query raises.
+    ``policy`` is what ``commit_pages`` takes by name. Of the tables staged on the way, only
+    the names of the snapshots remain.
     """
+    with scratch(spark):
+        names = stage(_wanted(spark, root, requests, searches, pages, policy), "active", keep=True)
+    return store.load_snapshots(spark, root, names)
+
+
+def _wanted(
+    spark: SparkSession,
+    root: str,
+    requests: DataFrame,
+    searches: DataFrame | None,
+    pages: DataFrame | None,
+    policy: dict[str, bool | int | None],
+) -> DataFrame:
+    """The names of the snapshots that requests come to, once those to create are there."""
     resolved = stage(resolve(spark, root, requests), "resolved")
     failed = resolved.where(~F.col("outcome").isin(C.REUSE, C.CREATE))
     if error := failed.first():
@@ -119,10 +131,7 @@ def activate(
             root,
             new,
             _within_attempts(pages, create),
-            max_attempts=max_attempts,
-            dedup=dedup,
-            canonical_sort=canonical_sort,
-            update_latest=update_latest,
+            **policy,
         )
         wanted = wanted.unionByName(made.select(*C.KEY))
-    return store.load_snapshots(spark, root, wanted)
+    return wanted

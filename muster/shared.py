@@ -6,8 +6,11 @@ of executors, and has a known size, so Catalyst chooses the join from facts.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_dir: str | None = None
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,15 +37,48 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet.
 
-    All paths of an application lie in one folder, to be removed when it has ended.
+    Within ``scratch`` it lies in a folder that is removed at its end. All others of an
+    application lie in one folder, to be removed when the application has ended.
     """
-    return f"{shared_dir(spark)}/muster/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else _own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/muster/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end or on failure, what was staged in between.
+
+    For plans that end with a job: what they return must not read a staged table, unless it
+    was staged with ``keep``.
+    """
+    folder = f"{_own_dir(spark)}/work-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def in_scratch(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run ``plan(spark, …)`` within ``scratch``."""
+
+    @functools.wraps(plan)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        with scratch(spark):
+            return plan(spark, *args, **kwargs)
+
+    return run
+
+
+def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and return the written table; with ``keep``, one that outlives ``scratch``."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}" if keep else fresh_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

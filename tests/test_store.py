@@ -349,3 +349,18 @@ def test_settings_of_requests_reach_the_manifest(spark, root):
     null_settings = given.withColumn("page_size", F.lit(None).cast("int")).withColumn("retrieved_at_utc", F.lit(LATE))
     made = commit_snapshots(spark, root, null_settings, frame(spark, {"a": ["1"]}))
     assert {r.page_size for r in made.collect()} == {1000}
+
+
+def test_staged_tables_are_removed(spark, root):
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "muster" / spark.sparkContext.applicationId
+    shared.mkdir(parents=True, exist_ok=True)
+    asked = searches(spark, {"a": "1"})
+    before = {p.name for p in shared.iterdir()}
+    with pytest.raises(RuntimeError):
+        commit_pages(spark, root, asked, pages(spark, ("a", 3, 0, ["1"], None)))
+    commit_pages(spark, root, asked, pages(spark, ("a", 0, 0, ["1"], None)))
+    assert {p.name for p in shared.iterdir()} == before
+    landed = pages(spark, ("b", 0, 0, ["1"], None))
+    activate(spark, root, requests(spark, ("b", "create_new", "e", "q")), searches(spark, {"b": "1"}), landed)
+    left = {p.name.split("-")[0] for p in shared.iterdir()} - {n.split("-")[0] for n in before}
+    assert left <= {"active", "wanted", "places"}
