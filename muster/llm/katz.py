@@ -50,7 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     body = []
     for array in arrays:
         head += struct.pack("<2sQ", array.dtype.str[1:].encode(), len(array))
-        body.append(np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes())
+        body.append(np.ascontiguousarray(array.view(np.uint8).reshape(len(array), array.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(body))
 
 

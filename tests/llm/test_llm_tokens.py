@@ -162,3 +162,9 @@ def test_katz_beats_the_unigram(spark, sf_dir):
     rows = given.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
     total = katz.katz_scores(rows, "doc_id", "text", "held_out").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > total[1]
+
+
+def test_blocks():
+    arrays = [np.arange(5, dtype=np.int64), np.empty(0, np.uint8), np.array([1.5, -2.0]), np.empty(0), np.array([7], np.uint32)]
+    found = katz.unpack(katz.pack(*arrays))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, found, strict=True))
