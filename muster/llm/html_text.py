@@ -63,7 +63,8 @@ ARTICLE = frozenset({"article", "main"})
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    # a name, and attributes: quoted values may hold >, and an unquoted one may hold quotes
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\s>\"'=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*))?|[\s/\"'=])*)(?:>|\Z)",
     re.DOTALL,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)

@@ -55,14 +55,17 @@ def test_restoring():
 def test_toxicity_learns_words_and_stems(spark):
     clean = ["the big house", "a small garden", "loseable things", "some river here"]
     toxic = ["you loser", "total loser here", "loweient das", "loweichen der", "loweiung ist", "such loser"]
-    rows = [(i, "s", clean[i % 4]) for i in range(60)] + [(100 + i, "s", toxic[i % 6]) for i in range(60)]
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    own = lambda i: " ".join(hashlib.md5(f"{i}.{j}".encode()).hexdigest()[:9].translate(letters) for j in range(12))
+    rows = [(i, "s", f"{clean[i % 4]} {own(i)}") for i in range(90)] + [(100 + i, "s", f"{toxic[i % 6]} {own(i)}") for i in range(180)]
+    rows += [(400 + i, "s", "copied harmless words") for i in range(40)]  # one document, copied
     labels = spark.createDataFrame(
         [(i, 1, int(i >= 100)) for i, _, _ in rows] + [(0, 1, 0), (None, 1, 1), (5000, 0, 1), (1, 1, None)],
         "doc_id bigint, quality int, toxic int",
     )
     table = docs(spark, rows + EDGES)
     model = toxicity.learn(table, labels)
-    tests = {"an l0ser": True, "l o s e r": True, "loweihaus steht": True, "loseable": False, "the garden": False, "": False}
+    tests = {"an l0ser": True, "l o s e r": True, "loweihaus steht": True, "loseable": False, "the garden": False, "": False, "harmless": False}
     scorer = toxicity.Scorer(model)
     assert {t: scorer.score(t) >= 0.5 for t in tests} == tests
     assert scorer.score(None) == scorer.score("")
@@ -70,7 +73,9 @@ def test_toxicity_learns_words_and_stems(spark):
     assert scored.count() == table.count()
     assert all(0 <= r.score <= 1 for r in scored.collect())
     kept = toxicity.reject(table, "text", model)
-    assert kept.columns == table.columns and kept.count() == table.count() - 60
+    assert kept.columns == table.columns
+    gone = {r.doc_id for r in table.join(kept, "doc_id", "left_anti").collect()} - {None}
+    assert gone == set(range(100, 280))
 
 
 def test_toxicity_without_rows_or_labels(spark):
@@ -102,6 +107,7 @@ def test_page_text_by_hand():
         "<header>Site</header><article><h1>T &amp;\n x</h1><p>a<b>b</b> c<p>d<div class='ad'>buy<p>now</div><p>f</article><footer>x": "T & x\nab c\nd\nf",
         f"<div class='cookie-notice'>{long}</div><article><p>Hi</p></article><section class='reader-comments'><article>{long}</article></section>": "Hi",
         "<main><nav>n</nav><p>One <a href='a>b'>link</a></p><ul><li>x<li>y</ul><script>var a='<p>no</p>'</script></main>": "One link\nx\ny",
+        "<p title=it's>a</p><p data-x='1>0' y = \"2>1\">b</p><p z=\"open>c</p>": "a\nb\nc",
         "<p>a<!-- <p>no</p> -->b</p><style>p{}</style><form><p>sub</p></form>": "ab",
     }
     for page, text in pages.items():
