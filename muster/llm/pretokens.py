@@ -17,7 +17,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = frozenset(",.;:!?|")
 LONG = 64  # longer strings are not remembered
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 SLICE_BYTES = 8 << 20  # text encoded at a time
 
 
@@ -123,13 +123,18 @@ class PieceCache:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         named = split.flatten().dictionary_encode()
-        pieces, at = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int64)
-        beside = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], dtype=bool)
+        pieces, at = named.dictionary.to_pylist(), named.indices.to_numpy()
+        bare = pc.utf8_trim_whitespace(named.dictionary)
+        beside = pc.or_(pc.not_equal(bare, named.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
         known = self.known
-        found = [b"" if odd else known.get(p) for p, odd in zip(pieces, beside.tolist(), strict=True)]
+        found = list(map(known.get, pieces))
         if None in found:
-            rare = self._learn({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-            found = [ids if ids is not None else known[p] if p in known else rare[p] for p, ids in zip(pieces, found, strict=True)]
+            odd = np.nonzero(beside)[0].tolist()
+            new = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
+            rare = self._learn(new.difference([pieces[i] for i in odd]))
+            rare.update((pieces[i], b"") for i in odd)  # their texts are encoded whole
+            found = [rare[p] if ids is None and p in rare else ids or known[p] for p, ids in zip(pieces, found, strict=True)]
+        at = at.astype(np.int64)
         firsts = [pieces[i] for i in at[offsets[:-1]].tolist()]
         # the first piece has no space before it; a space at the end of it stands beside another
         odd_text = np.zeros(len(texts), dtype=bool)
@@ -177,21 +182,32 @@ class PieceCache:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Remember the ids of new pieces; those of long ones are returned instead."""
         known, words = self.known, self.words
-        plain = [p for p in new if p.isalpha()]
-        mixed = [(p, pretokens(p)) for p in new.difference(plain)]
-        spaced = {ws[0] for _, ws in mixed if ws[0][1:] not in known}.union([" " + p for p in plain])
+        plain, mixed = [], []
+        for piece in new:
+            if piece.isalpha():
+                plain.append(piece)
+            else:
+                mixed.append((piece, pretokens(piece)))
+        bases = {ws[0] for _, ws in mixed if ws[0][1:] not in known}.difference([" " + p for p in plain])
         later = {w for _, ws in mixed for w in ws[1:] if w not in words}
-        asked = [*spaced, *later]
-        fresh = dict(zip(asked, self.encode_words(asked), strict=True))
-        found = {w[1:]: fresh[w] for w in spaced}
+        rest = [*bases, *later]
+        ids = self.encode_words([*[" " + p for p in plain], *rest])
+        found = dict(zip(plain, ids, strict=False))
+        fresh = dict(zip(rest, ids[len(plain) :], strict=True))
+        found.update((w[1:], fresh[w]) for w in bases)
+        words.update((w, fresh[w]) for w in later if len(w) <= LONG)
         for piece, ws in mixed:
             start = ws[0][1:]
-            ids = [found[start] if start in found else known[start]]
-            ids += [fresh[w] if w in fresh else words[w] for w in ws[1:]]
-            found[piece] = b"".join(ids)
-        words.update((w, fresh[w]) for w in later if len(w) <= LONG)
-        known.update((p, ids) for p, ids in found.items() if len(p) <= LONG)
-        return {p: ids for p, ids in found.items() if len(p) > LONG}
+            first = found[start] if start in found else known[start]
+            if len(ws) == 2:
+                found[piece] = first + (words[ws[1]] if ws[1] in words else fresh[ws[1]])
+            else:
+                found[piece] = b"".join([first, *[words[w] if w in words else fresh[w] for w in ws[1:]]])
+        rare = {p: i for p, i in found.items() if len(p) > LONG}
+        if rare:
+            found = {p: i for p, i in found.items() if len(p) <= LONG}
+        known.update(found)
+        return rare
 
 
 def pretokens(piece: str) -> list[str]:
