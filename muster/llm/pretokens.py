@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -15,9 +16,9 @@ import regex
 # The public pre-tokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = frozenset(",.;:!?|")
+_MARKS = ".,;:!?|$%&*#()+=\"-_/"  # neither letters, digits nor white space, and no apostrophe
 LONG = 64  # longer strings are not remembered
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 SLICE_BYTES = 8 << 20  # text encoded at a time
 
 
@@ -123,7 +124,7 @@ class PieceCache:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         named = split.flatten().dictionary_encode()
-        pieces, at = named.dictionary.to_pylist(), named.indices.to_numpy()
+        pieces, at = named.dictionary.to_numpy(zero_copy_only=False).tolist(), named.indices.to_numpy()
         bare = pc.utf8_trim_whitespace(named.dictionary)
         beside = pc.or_(pc.not_equal(bare, named.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
         known = self.known
@@ -134,7 +135,7 @@ class PieceCache:
             rare = self._learn(new.difference([pieces[i] for i in odd]))
             rare.update((pieces[i], b"") for i in odd)  # their texts are encoded whole
             found = [rare[p] if ids is None and p in rare else ids or known[p] for p, ids in zip(pieces, found, strict=True)]
-        at = at.astype(np.int64)
+        at = at.astype(np.int32)  # a slice has far fewer than 2**31 pieces and ids
         firsts = [pieces[i] for i in at[offsets[:-1]].tolist()]
         # the first piece has no space before it; a space at the end of it stands beside another
         odd_text = np.zeros(len(texts), dtype=bool)
@@ -144,15 +145,18 @@ class PieceCache:
         odd_text |= np.add.reduceat(inner, offsets[:-1], dtype=np.int64) > 0
         for token in self.added_ids:
             odd_text |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        at[offsets[:-1]] = len(found) + np.arange(len(firsts))
+        at[offsets[:-1]] = len(found) + np.arange(len(firsts), dtype=np.int32)
         found += self._firsts(firsts)
 
         flat = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+        del found, named, split
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         n = sizes[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int32)
+        places = np.repeat(starts[at] - (ends - n), n)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[places]
         ends = np.append(0, ends)[offsets]
         for number in range(len(texts)):
             if odd_text[number]:
@@ -180,7 +184,19 @@ class PieceCache:
         return b"".join(out)
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Remember the ids of new pieces; those of long ones are returned instead."""
+        """Remember the ids of new pieces; those of long ones are returned instead.
+
+        The garbage collector would look through the many new lists and find no cycles.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._learned(new)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learned(self, new: set[str]) -> dict[str, bytes]:
         known, words = self.known, self.words
         plain, mixed = [], []
         for piece in new:
@@ -188,10 +204,11 @@ class PieceCache:
                 plain.append(piece)
             else:
                 mixed.append((piece, pretokens(piece)))
-        bases = {ws[0] for _, ws in mixed if ws[0][1:] not in known}.difference([" " + p for p in plain])
+        spaced = [" " + p for p in plain]
+        bases = {ws[0] for _, ws in mixed if ws[0][1:] not in known}.difference(spaced)
         later = {w for _, ws in mixed for w in ws[1:] if w not in words}
         rest = [*bases, *later]
-        ids = self.encode_words([*[" " + p for p in plain], *rest])
+        ids = self.encode_words(spaced + rest)
         found = dict(zip(plain, ids, strict=False))
         fresh = dict(zip(rest, ids[len(plain) :], strict=True))
         found.update((w[1:], fresh[w]) for w in bases)
@@ -211,7 +228,21 @@ class PieceCache:
 
 
 def pretokens(piece: str) -> list[str]:
-    """The pre-tokens of a space and ``piece``; many pieces are a word and one mark."""
-    if piece[-1] in _MARKS and piece[:-1].isalpha():
-        return [" " + piece[:-1], piece[-1]]
-    return PATTERN.findall(" " + piece)
+    """The pre-tokens of a space and ``piece``; many pieces are a word and marks, or two around a line end."""
+    found = _plain(piece)
+    if found is None and "\n" in piece:
+        one, _, two = piece.partition("\n")
+        found, rest = _plain(one), _plain(two)
+        found = [*found, "\n", *rest] if found and rest else None
+    if found is None:
+        return PATTERN.findall(" " + piece)
+    found[0] = " " + found[0]
+    return found
+
+
+def _plain(part: str) -> list[str] | None:
+    """A word, and the marks behind it if there are any; None if ``part`` is anything else."""
+    base = part.rstrip(_MARKS)
+    if not base.isalpha():
+        return None
+    return [base] if len(base) == len(part) else [base, part[len(base) :]]
