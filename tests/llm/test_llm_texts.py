@@ -96,6 +96,29 @@ def test_toxicity_held_out(spark):
     assert (both[both.toxic == 1].predicted == 1).mean() > 0.5
 
 
+def test_toxicity_learns_from_all_but_near_copies(spark):
+    """Texts that share their words are no copies; long texts with a word changed are."""
+    shared = [f"w{i}" for i in range(40)]
+    rng = np.random.default_rng(4)
+    own = [" ".join(rng.permutation(shared)) for _ in range(60)]  # the same set of words, in other order
+    base = [f"b{i}" for i in range(300)]
+    copied = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(20, 290, 9)]
+    far = [" ".join(base[:150] + [f"f{n}.{i}" for i in range(150)]) for n in range(5)]  # a half in common
+    texts = own + copied + far + [own[0], own[0], "", None]
+    rows = [(i, "s", t) for i, t in enumerate(texts)]
+    rows += [(0, "s", own[0]), (1, "s", "another text of an id that is there")]
+    known = spark.createDataFrame([(i, int(i % 2)) for i in range(len(texts))], "doc_id bigint, _toxic int")
+    table = docs(spark, rows)
+    kept = toxicity._without_copies(table, known)
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert set(range(60)) <= set(ids) and ids[1] == 2
+    assert sum(i in ids for i in range(60, 60 + len(copied))) == 2  # one of either label
+    first = 60 + len(copied)
+    assert all(ids[i] == 1 for i in range(first, first + 5))
+    found = Counter(r.text for r in toxicity._texts_of(table, kept).collect())
+    assert found[own[0]] == 2  # one of either label
+
+
 # Pages
 
 
