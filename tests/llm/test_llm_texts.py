@@ -214,6 +214,16 @@ def test_line_dedup_edges(spark, limit, monkeypatch):
     assert line_dedup.drop_boilerplate(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.01, 0.02, 0.05])
+def test_line_dedup_drops_long_passages_on_few_pages(spark, share):
+    passage = " ".join(f"p{i}" for i in range(60))
+    planted = int(1000 * share)
+    rows = [(i, "site", f"own {i}\n{passage}" if i < planted else f"own {i}\nother {i // 4}") for i in range(1000)]
+    found = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
+    assert all(found[i].text == f"own {i}" for i in range(planted))
+    assert all(found[i].text == rows[i][2] for i in range(planted, 1000))
+
+
 # Media
 
 
