@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; no document goes."""
-    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS), host="source", text="text")
+    """Documents without the boilerplate lines of their source; no document goes.
+
+    Copies of a text count once, so that a copied document keeps its lines for the next stage.
+    """
+    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS), host="source", text="text", copies_once=True)
     size = F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))
     return cut.withColumn("n_chars", size).select(*COLUMNS)
 

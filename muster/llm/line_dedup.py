@@ -26,23 +26,31 @@ def _mark(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate(pages: DataFrame, *, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, *, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """``(host, mark, pages_with, pages)``: the MD5 of each boilerplate line of each host.
 
     A line counts once a page, without spaces at its ends; blank lines never count. Partial
     counts come before the shuffle and a line travels as 16 bytes, so a hot host or line
-    costs one row per task. Lines on fewer than ``min_pages`` pages are no boilerplate.
+    costs one row per task. Lines on fewer than ``min_pages`` pages are no boilerplate. With
+    ``copies_once`` pages of a host with the same text are one page, above and below the line.
     """
     marks = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _mark))
-    seen = pages.select(F.col(host).alias("host"), F.explode(marks).alias("mark"))
+    counted_pages = pages.select(F.col(host).alias("host"), marks.alias("marks"))
+    if copies_once:
+        texts = pages.select(F.col(host).alias("host"), F.md5(F.col(text)).alias("same"), marks.alias("marks"))
+        counted_pages = stage(texts.groupBy("host", "same").agg(F.first("marks").alias("marks")), "distinct-pages")
+    seen = counted_pages.select("host", F.explode("marks").alias("mark"))
     counted = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages_with"))
-    totals = pages.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
+    totals = counted_pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
     frequent = counted.where(F.col("pages_with") >= min_pages).join(totals, F.col("host").eqNullSafe(F.col("_host")))
     return frequent.where(F.col("pages_with") > F.col("pages") * F.lit(ratio)).select("host", "mark", "pages_with", "pages")
 
 
 def drop_boilerplate(
-    pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``pages`` with the boilerplate lines out of ``text``, and ``n_lines``, ``n_dropped``.
 
@@ -55,7 +63,9 @@ def drop_boilerplate(
     sent to all tasks only if all hosts together have ``BROADCAST_LINES`` or fewer, by
     count; otherwise pages are salted by their text, so that a hot host is joined in many tasks.
     """
-    found = stage(boilerplate(pages, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
+    found = stage(
+        boilerplate(pages, host=host, text=text, ratio=ratio, min_pages=min_pages, copies_once=copies_once), "boilerplate"
+    )
     lists = found.groupBy(F.col("host").alias("_ld_host")).agg(F.collect_list("mark").alias("_ld_marks"))
     if found.count() <= BROADCAST_LINES:
         joined = pages.join(F.broadcast(lists), pages[host].eqNullSafe(lists["_ld_host"]), "left")

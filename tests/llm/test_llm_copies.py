@@ -205,6 +205,17 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     assert Counter((r.doc_id, tuple(r.ids)) for r in found.collect()) == want
 
 
+def test_copied_documents_keep_their_lines(spark):
+    words = lambda n: "\n".join(" ".join(f"{n}w{i}.{j}" for j in range(30)) for i in range(3))
+    texts = [f"menu\n{words('a')}"] * 20 + [f"menu\n{words('b')}"] * 6 + [f"menu\n{words(f'own{i}')}" for i in range(9)]
+    rows = [(i, t, "en", "site", len(t)) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cut = corpus_pipeline.drop_lines(spark, given, "")
+    assert all(r.text == texts[r.doc_id].removeprefix("menu\n") for r in cut.collect())
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_near_copies(spark, cut, "").collect()}
+    assert kept[0] == words("a") and kept[20] == words("b") and len(kept) == 11
+
+
 def test_stages_take_nulls_and_extra_columns(spark, sf_dir):
     rows = [(1, None, None, None, None, 1), (None, "", "en", "a", 0, 1), (2, "x y", "en", "a", 3, 1), (2, "x y", "en", "a", 3, 1), (None, "z", None, None, 1, 2)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, size int")
