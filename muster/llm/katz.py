@@ -39,6 +39,7 @@ BUCKET_WORDS = 500_000  # entries of chunks' vocabularies that one word partitio
 BUCKET_TOKENS = 2_500_000  # tokens that one pair partition is meant to have
 HOT_SHARE = 1e-4  # contexts with more of all tokens are spread: 10,000 at most
 START, END = -2, -1
+NOT_HOT = -3  # no word's id; 0 is one
 
 
 # Blocks
@@ -404,7 +405,7 @@ def _parts(which, count, document, times, log_seen, log_unseen, context, context
     sums = np.bincount(d, weights=times * np.where(seen, log_seen[which], log_unseen[which]), minlength=n)
     backed, b = np.unique(context[which[~seen]], return_inverse=True)
     own = stats[backed].copy()
-    names = np.where(own[:, -1] > hot, contexts[backed], 0)
+    names = np.where(own[:, -1] > hot, contexts[backed], NOT_HOT)
     return pack(
         small(documents), small(classes.astype(np.int64)), sums,
         names, own.reshape(-1), small(d[~seen]), small(b), small(times[~seen]),
@@ -437,7 +438,7 @@ def _finish(discount: np.ndarray, hot_logs: dict[int, float], train_tokens: int,
                 score[documents] += classes.reshape(-1, DISCOUNTED + 2)[:, 1:].astype(np.float64) @ logs + sums
                 if len(d):
                     log = np.log10(backoff(stats.reshape(-1, DISCOUNTED + 3), discount))
-                    for i in np.nonzero(contexts)[0]:
+                    for i in np.nonzero(contexts != NOT_HOT)[0]:
                         log[i] = hot_logs[int(contexts[i])]
                     np.add.at(score, documents[d], times * log[b])
             columns = [

@@ -150,6 +150,19 @@ def test_katz_against_plain_python(spark, sf_dir, share, monkeypatch):
     assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in found) == plain_katz(rows)
 
 
+def test_katz_first_word_may_be_hot(spark, monkeypatch):
+    """The first word of the first text has id 0; its backoff does not depend on the partitions of pairs."""
+    random.seed(9)
+    word = lambda: f"w{random.randrange(800)}"
+    rows = [(i, " ".join(f"first {word()} {word()}" for _ in range(2)), i % 9 == 8) for i in range(900)]
+    table = spark.createDataFrame(rows, "id bigint, text string, held_out boolean").coalesce(1)
+    found = []
+    for size in (katz.BUCKET_TOKENS, 700):
+        monkeypatch.setattr(katz, "BUCKET_TOKENS", size)
+        found.append({r.id: round(r.score, 6) for r in katz.katz_scores(table, "id", "text", "held_out").collect()})
+    assert found[0] == found[1]
+
+
 def test_katz_without_training(spark):
     schema = "id bigint, text string, held_out boolean"
     assert katz.katz_scores(spark.createDataFrame([], schema), "id", "text", "held_out").count() == 0
