@@ -3,8 +3,9 @@
 Markup is stripped to lines, one per block element. Lines of navigation, forms, adverts and
 the like have length zero; they leave gaps. The lengths are summed over a sliding window of
 lines: the text begins where the sums surge and ends where they dive to zero, and what lies
-between is kept whole. Where a page marks its article, only the lines inside it count, and a
-gap there does not end the text.
+between is kept whole. Where a page marks its article, the borders of the article end a block,
+a gap inside does not, and the marked blocks are kept if they hold as many characters as the
+blocks that surge outside them. If they hold fewer, the marks count for nothing.
 """
 
 from __future__ import annotations
@@ -90,13 +91,16 @@ def _left_out(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is a part that no article has."""
     if name in SKIPPED or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body") or name in ARTICLE:
+    if not attributes or name in ("html", "body", "main"):
         return False
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & NAMES or not in_article and words & HEADER_NAMES:
+            if name == "article":  # its classes also name topics, as category-notices: the first word of each counts
+                words = {w.lower() for c in value.split() for w in _PARTS.findall(c)[:1]}
+            else:
+                words = {w.lower() for w in _PARTS.findall(value)}
+            if words & NAMES or name != "article" and not in_article and words & HEADER_NAMES:
                 return True
         elif key == "role" and value.lower() in ROLES:
             return True
@@ -227,23 +231,29 @@ def strip_markup(page: str) -> list[Line]:
     return stripper.lines
 
 
-def keep_blocks(lines: list[Line]) -> list[str]:
-    """The lines between surge and dive points of the line-block distribution."""
-    marked = any(line.article for line in lines)
+class _Block(NamedTuple):
+    lines: list[int]
+    peak: int  # characters of its fullest window
+    article: bool
+
+
+def _blocks(lines: list[Line], marked: bool) -> list[_Block]:
+    """The runs of lines between dive points; with ``marked`` an article's border is one."""
     sizes: list[int] = []
     place: list[int] = []
     for number, line in enumerate(lines):
-        inside = line.article if marked else line.linked <= MOST_LINKED * len(line.text.replace(" ", ""))
-        if line.gap and not marked:
+        article = marked and line.article
+        border = marked and number > 0 and line.article != lines[number - 1].article
+        if border or line.gap and not article:
             sizes += [0] * WINDOW
             place += [-1] * WINDOW
-        sizes.append(len(line.text) if inside else 0)
+        text = article or line.linked <= MOST_LINKED * len(line.text.replace(" ", ""))
+        sizes.append(len(line.text) if text else 0)
         place.append(number)
     if not sizes:
         return []
     sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of a line and those after it
-    surge = 1 if marked else min(SURGE, int(sums.max(initial=0)))
-    kept: list[str] = []
+    found: list[_Block] = []
     at = 0
     while at < len(sizes):
         if sums[at] == 0:
@@ -252,10 +262,26 @@ def keep_blocks(lines: list[Line]) -> list[str]:
         dive = at
         while dive < len(sizes) and sums[dive] > 0:
             dive += 1
-        if sums[at:dive].max() >= surge:
-            kept += [lines[place[i]].text for i in range(at, dive) if sizes[i]]
+        inside = [place[i] for i in range(at, dive) if sizes[i]]
+        found.append(_Block(inside, int(sums[at:dive].max()), marked and lines[inside[0]].article))
         at = dive
-    return kept
+    return found
+
+
+def keep_blocks(lines: list[Line]) -> list[str]:
+    """The lines between surge and dive points of the line-block distribution."""
+    size = lambda blocks: sum(len(lines[i].text) for block in blocks for i in block.lines)
+    kept: list[_Block] = []
+    if any(line.article for line in lines):
+        blocks = _blocks(lines, marked=True)
+        kept = [block for block in blocks if block.article]
+        if size(kept) < size([block for block in blocks if not block.article and block.peak >= SURGE]):
+            kept = []
+    if not kept:
+        blocks = _blocks(lines, marked=False)
+        surge = min(SURGE, max((block.peak for block in blocks), default=0))
+        kept = [block for block in blocks if block.peak >= surge]
+    return [lines[i].text for block in kept for i in block.lines]
 
 
 def main_text(page: str | None) -> str:

@@ -137,6 +137,19 @@ def test_page_text_by_hand():
         assert html_text.main_text(page) == text, page
 
 
+def test_page_text_where_articles_are_not_the_text():
+    long = "Words of a long enough paragraph to be taken for text by its length alone, and more of it."
+    body = f"<div class=body><p>{long}</p><p>{long}</p></div>"
+    for page, text in {
+        f"{body}<article class='comment'><p>So it is.</p></article>": f"{long}\n{long}",
+        f"{body}<article class='related-post'><p>{long} {long} {long}</p></article>": f"{long}\n{long}",
+        f"{body}<nav>x</nav><article><p>A teaser.</p></article>": f"{long}\n{long}",  # the marked part is the smaller one
+        f"<article class='post category-notices'><p>{long}</p></article><p>Short.</p>": long,
+        f"<article><p>{long}</p><p>{long}</p></article><div><p>{long}</p></div>": f"{long}\n{long}",
+    }.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_page_text_of_given_pages(spark, sf_dir):
     """All of each article, block by block, and nothing else."""
     import html
