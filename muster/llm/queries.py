@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, cap_filters, html_text, katz, line_dedup, media, mixing, simhash, token_shards, toxicity
+from muster.llm import (
+    bpe, cap_filters, chat_format, html_text, katz, line_dedup, media, merkle, mixing, prefix_trie, simhash, token_shards, toxicity,
+)
 from muster.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -97,3 +99,20 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path()
     )
     return token_shards.read_shards(files, folder, dictionary)
+
+
+@_query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = prefix_trie.placed_turns(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_lent_heads(placed))
+
+
+@_query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_control_texts(read_table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.expand(rows))
