@@ -40,6 +40,15 @@ class Tree:
     families: list[DataFrame] = field(default_factory=list)
 
 
+def _slot(idx: Column, fanout: int) -> Column:
+    return F.pmod(idx, F.lit(fanout)).cast("int").alias("slot")
+
+
+def stage_leaves(leaves: DataFrame, label: str, *, fanout: int = FANOUT) -> DataFrame:
+    """Write ``leaves(tree, idx, n, digest, …)`` for ``build``."""
+    return stage(leaves.select("*", _slot(F.col("idx"), fanout)), label, partition_by="slot")
+
+
 def _families(nodes: DataFrame, fanout: int) -> DataFrame:
     """Slot-zero rows of ``nodes(tree, slot, zero, n, digest)``, joined with each further slot."""
     joined = nodes.where(F.col("slot") == 0).select("tree", "zero", "n", F.col("digest").alias("_0"))
@@ -53,19 +62,19 @@ def _families(nodes: DataFrame, fanout: int) -> DataFrame:
 def build(leaves: DataFrame, *, fanout: int = FANOUT) -> Tree:
     """The trees of ``leaves(tree, idx, n, digest)``, with ``idx`` from 0 to ``n`` - 1 in each.
 
-    While a tree has several nodes, every ``fanout`` consecutive ones (fewer in the last run)
+    ``leaves`` come from ``stage_leaves``, which keeps each slot in a directory of its own, so that
+    each of the joins reads its rows only. While a tree has several nodes, every ``fanout`` consecutive ones (fewer in the last run)
     become the SHA-256 of their joined digests. A lone leaf is its own root.
     """
     tall = leaves.agg(F.max("n")).first()[0] or 0
-    nodes, roots, families = leaves, leaves.where("n = 1").select("tree", F.col("digest").alias("root")), []
+    nodes, roots, families = leaves.select("tree", "idx", "slot", "n", "digest"), leaves.where("n = 1").select("tree", F.col("digest").alias("root")), []
     while tall > 1:
-        slot = F.pmod(F.col("idx"), F.lit(fanout))
-        placed = nodes.where("n > 1").select("tree", (F.col("idx") - slot).alias("zero"), "n", "digest", slot.cast("int").alias("slot"))
-        # a directory a slot, so that each of the joins reads its rows only
-        runs = stage(_families(stage(placed, "tree-nodes", partition_by="slot"), fanout), "tree-level")
+        placed = nodes.where("n > 1").select("tree", (F.col("idx") - F.col("slot")).alias("zero"), "n", "digest", "slot")
+        runs = stage(_families(placed, fanout), "tree-level")
         families.append(runs.select("tree", "zero", "kids"))
+        idx = F.expr(f"zero div {fanout}")
         nodes = runs.select(
-            "tree", (F.col("zero") / fanout).cast("bigint").alias("idx"), F.ceil(F.col("n") / fanout).cast("bigint").alias("n"),
+            "tree", idx.alias("idx"), _slot(idx, fanout), F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"),
             F.sha2(F.array_join("kids", ""), 256).alias("digest"),
         )
         roots = roots.unionByName(nodes.where("n = 1").select("tree", F.col("digest").alias("root")))
@@ -90,7 +99,7 @@ def attach_paths(leaves: DataFrame, tree: Tree, *, fanout: int = FANOUT) -> Data
     above = tree.roots.select("tree", F.lit(0).cast("bigint").alias("idx"), no_path.alias("path"))
     runs = None
     for level in range(len(tree.families) - 1, -1, -1):
-        below = tree.families[level].withColumn("idx", (F.col("zero") / fanout).cast("bigint"))
+        below = tree.families[level].withColumn("idx", F.expr(f"zero div {fanout}"))
         # a run without a path of its own is the whole of its tree
         runs = below.join(above, ["tree", "idx"], "left").withColumn("path", F.coalesce("path", no_path)).drop("idx")
         if level:
@@ -100,9 +109,8 @@ def attach_paths(leaves: DataFrame, tree: Tree, *, fanout: int = FANOUT) -> Data
             )
     if runs is None:
         return leaves.withColumn("path", no_path)
-    slot = F.pmod(F.col("idx"), F.lit(fanout)).cast("int")
-    path = F.when(F.col("kids").isNull(), no_path).otherwise(F.concat(_siblings(slot, fanout), "path"))
-    placed = leaves.withColumn("zero", F.col("idx") - slot).join(runs, ["tree", "zero"], "left")
+    path = F.when(F.col("kids").isNull(), no_path).otherwise(F.concat(_siblings(F.col("slot"), fanout), "path"))
+    placed = leaves.withColumn("zero", F.col("idx") - F.col("slot")).join(runs, ["tree", "zero"], "left")
     return placed.select(*leaves.columns, path.alias("path"))
 
 
@@ -131,19 +139,21 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: str, keep: Sequence[
     hashed = stage(rows.select(tree.alias("tree"), F.col(order).alias("_order"), F.col(leaf).alias("digest"), *kept), "leaves")
     placed = dense_position(hashed, ["tree"], ["_order", "digest", *named]).withColumn("idx", F.col("position") - 1)
     counts = stage(hashed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "tree-sizes")
-    leaves = stage(spread_lookup(placed, counts, ["tree"], ["idx"]).select("tree", "idx", "n", "digest", "_order", *named), "placed-leaves")
-    below = build(leaves.select("tree", "idx", "n", "digest"), fanout=fanout)
+    sized = spread_lookup(placed, counts, ["tree"], ["idx"]).select("tree", "idx", "n", "digest", "_order", *named)
+    leaves = stage_leaves(sized, "placed-leaves", fanout=fanout)
+    below = build(leaves, fanout=fanout)
 
     n_groups = counts.count()
     tops = dense_position(below.roots.withColumn("_all", F.lit("")), ["_all"], ["tree"])
-    tops = stage(
+    tops = stage_leaves(
         tops.select(
             F.col("_all").alias("tree"), (F.col("position") - 1).alias("idx"), F.lit(n_groups).cast("bigint").alias("n"),
             F.col("root").alias("digest"), F.col("tree").alias("_group"),
         ),
         "subroots",
+        fanout=fanout,
     )
-    above = build(tops.select("tree", "idx", "n", "digest"), fanout=fanout)
+    above = build(tops, fanout=fanout)
     top = above.roots.first()
     root = F.lit(top.root if top else None).cast("string")
     groups = attach_paths(tops, above, fanout=fanout).select(
