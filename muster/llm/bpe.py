@@ -24,7 +24,8 @@ from muster.llm.common import batches
 from muster.llm.pretokens import PieceCache, Vocabulary, vocabulary
 
 NEVER = int(np.iinfo(np.int64).max)
-ROWS = 4096  # documents whose ids are held at a time
+ROWS = 4096  # documents whose digests are held at a time
+IDS = 1 << 20  # ids that leave as one batch
 SHORT = 64  # bytes up to which a scan for the lowest rank beats a heap
 
 
@@ -182,19 +183,29 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     return b"".join(map(vocab.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_documents(rows: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """``(key, ids)``: each whole text's token ids, an array of ints; a null text has none.
+def encode_documents(rows: DataFrame, key: str, text: str, path: str, *, batch_ids: int = IDS) -> DataFrame:
+    """``(key, ids)``: each whole text's token ids, an array of ints; a null or empty text has none.
 
-    The vocabulary file must be at ``path`` on every executor.
+    Rows are independent: repeated keys and texts give a row each, and an empty table none. Ids
+    leave in batches of some megabytes, or of one text, however long the texts of a partition are. The vocabulary file must be at ``path`` on every executor.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, ROWS):
-            ids = list(encoder(path).encode(batch.column(1)))
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if len(ids) else np.empty(0)
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=[key, "ids"])
+        for batch in source:
+            keys, start, held, n = batch.column(0), 0, [], 0
+            for number, ids in enumerate(encoder(path).encode(batch.column(1))):
+                held.append(ids)
+                n += len(ids)
+                if n >= batch_ids:
+                    yield listed(keys.slice(start, len(held)), held)
+                    start, held, n = number + 1, [], 0
+            if held:
+                yield listed(keys.slice(start, len(held)), held)
+
+    def listed(keys: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, held)])
+        flat = np.concatenate(held).view(np.int32)  # ids are far below 2**31
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[key, "ids"])
 
     return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, ids array<int>")
 

@@ -18,7 +18,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?|$%&*#()+=\"-_/"  # neither letters, digits nor white space, and no apostrophe
 LONG = 64  # longer strings are not remembered
-REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 96 << 20
+_ENTRY = 200  # bytes of an entry beside its characters and ids: two objects and a place in the table
 SLICE_BYTES = 8 << 20  # text encoded at a time
 
 
@@ -100,6 +101,7 @@ class PieceCache:
         self.added_ids = {t: np.array([n], dtype="<u4").tobytes() for t, n in added_ids.items()}
         self.known: dict[str, bytes] = {}  # ids of a space and the key
         self.words: dict[str, bytes] = {}  # ids of pre-tokens that begin without a space
+        self.held = 0  # bytes of both, about
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; a null text has none.
@@ -117,9 +119,10 @@ class PieceCache:
             start = stop
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for held in (self.known, self.words):
-            if len(held) > REMEMBERED:
-                held.clear()
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.words.clear()
+            self.held = 0
         split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
@@ -212,7 +215,9 @@ class PieceCache:
         found = dict(zip(plain, ids, strict=False))
         fresh = dict(zip(rest, ids[len(plain) :], strict=True))
         found.update((w[1:], fresh[w]) for w in bases)
-        words.update((w, fresh[w]) for w in later if len(w) <= LONG)
+        short = {w: fresh[w] for w in later if len(w) <= LONG}
+        words.update(short)
+        self._count(short)
         for piece, ws in mixed:
             start = ws[0][1:]
             first = found[start] if start in found else known[start]
@@ -224,8 +229,12 @@ class PieceCache:
         if rare:
             found = {p: i for p, i in found.items() if len(p) <= LONG}
         known.update(found)
+        self._count(found)
         return rare
 
+    def _count(self, more: dict[str, bytes]) -> None:
+        self.held += _ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
+
 
 def pretokens(piece: str) -> list[str]:
     """The pre-tokens of a space and ``piece``; many pieces are a word and marks, or two around a line end."""

@@ -250,16 +250,22 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents of which no near copy has a smaller ``doc_id``.
+    """Of each group of near copies the row with the smallest ``doc_id``, once.
 
-    Of rows with equal ids, the smallest by their other columns stays. Rows whose ``doc_id``
-    is null have no place in the order and are kept.
+    Every row is judged by its own text, also where rows share a ``doc_id``: of those in a group
+    that share the smallest, the one with the smallest hash over all columns stays, and of equal rows one. Rows
+    whose ``doc_id`` is null have no place in the order; they are kept, and link nothing. Null
+    and empty texts have fingerprint 0 and are near copies of each other. Only ids, hashes and
+    fingerprints are shuffled until the rows to keep are known.
     """
-    classes = near_classes(docs, "doc_id", "text")
-    kept = classes.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    alone = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*rest)).alias("_row")
-    )
-    first = alone.select("doc_id", *[F.col("_row")[c].alias(c) for c in rest]).select(*docs.columns)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    flags = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
+    marked = docs.withColumn("_row", F.xxhash64(flags, *docs.columns))
+    placed = marked.where(F.col("doc_id").isNotNull())
+    keyed = placed.select(F.struct("doc_id", "_row").alias("_id"), "text")
+    classes = near_classes(keyed, "_id", "text").where(F.col("id") == F.col("component_id"))
+    kept = stage(classes.groupBy(F.col("id.doc_id").alias("doc_id"), F.col("id._row").alias("_row")).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    once = placed.join(kept.where("_n = 1"), ["doc_id", "_row"], "left_semi")
+    equal = kept.where("_n > 1")
+    if not equal.isEmpty():
+        once = once.unionByName(placed.join(equal, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return once.unionByName(marked.where(F.col("doc_id").isNull())).select(*docs.columns)

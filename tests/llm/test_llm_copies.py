@@ -100,6 +100,15 @@ def test_simhash_edges(spark):
     assert simhash.near_classes(empty, "doc_id", "text").count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_each_row_is_kept_or_not_by_its_own_text(spark):
+    """Two texts under one id: the one that nothing is near stays, the copy of another row goes."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, two, None), (5, one, "x"), (5, two, "x"), (9, one, "x"), (9, one, "x"), (8, "c d e f", None), (8, "c d e f", None), (8, "c d e f", "y")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = [tuple(r) for r in simhash.keep_one(table).collect()]
+    assert sorted(r[:2] for r in found) == [(3, two), (5, one), (8, "c d e f")]
+
+
 # Vectors
 
 

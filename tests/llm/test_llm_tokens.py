@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from muster.llm import bpe, katz, token_shards
+from muster.llm import bpe, katz, pretokens, token_shards
 from muster.llm.queries import vocabulary_path
 
 DOCS = "doc_id bigint, text string, key string, ids string, held_out boolean"
@@ -73,6 +73,19 @@ def test_round_trip_table(spark, library):
     assert sum(len(r.ids) for r in rows) == sum(n * k[1] for k, n in want.items())
 
 
+def test_ids_of_long_texts_leave_in_slices(spark, library, monkeypatch):
+    """Batches and caches are bounded by bytes: all long texts, and a cache that is emptied all the time."""
+    texts = [f"word{i} and more of {i * 7} " * (3000 + i) for i in range(12)] + ["", None, "x"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = bpe.encode_documents(docs(spark, rows).coalesce(1), "doc_id", "text", vocabulary_path(), batch_ids=5000).collect()
+    assert {r.doc_id: r.ids for r in found} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    cache = bpe.encoder(vocabulary_path())
+    monkeypatch.setattr(pretokens, "REMEMBERED_BYTES", 1)
+    for text in texts * 2:
+        ids = next(iter(cache.encode(pa.array([text], pa.string()))))
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_shards(spark, library):
     table = docs(spark, EDGES + [(100 + i, f"text {i} of many") for i in range(300)]).repartition(5)
     files, folder, dictionary = token_shards.write_shards(table, "doc_id", "text", vocabulary_path())
