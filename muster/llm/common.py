@@ -35,10 +35,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def batches(source: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cut incoming batches, so that the texts held as Python objects stay few."""
+    """Cut incoming batches, so that the texts held as Python objects stay few.
+
+    At the end Arrow gives back what it holds, as workers wait for tasks of other stages.
+    """
     for batch in source:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 PIECE = 1 << 20  # bytes of a text that are split into words at a time

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ WEAKEST = 0.25  # how far a feature's share must lie from that of all documents
 TELLING = 2  # words of a document that add up
 MODEL_FEATURES = 20_000  # features kept, those with the most evidence: bounds what is broadcast
 BROADCAST_LABELS = 1_000_000  # labels, of some 20 bytes, that are sent to every task
-FLUSH = 400_000  # counters a task holds before it sends them on
+FLUSH = 150_000  # counters a task holds before it sends them on, and tokens it remembers
 LONGEST = 40  # characters of a token that is decoded; longer ones are no word
 
 EDGE = 26
@@ -252,7 +253,7 @@ def _feature_counts(labelled: DataFrame, characters: CharacterModel) -> DataFram
                 found: set[str] = set()
                 for token in words_of(value or ""):
                     if token not in known:
-                        known[token] = tuple(token_features(token, characters))
+                        known[token] = tuple(map(sys.intern, token_features(token, characters)))  # words share beginnings
                     found.update(known[token])
                 held[label].update(found)
                 if len(known) > FLUSH:
