@@ -36,7 +36,7 @@ WEAKEST = 0.25  # how far a feature's share must lie from that of all documents
 TELLING = 2  # words of a document that add up
 MODEL_FEATURES = 20_000  # features kept, those with the most evidence: bounds what is broadcast
 BROADCAST_LABELS = 1_000_000  # labels, of some 20 bytes, that are sent to every task
-FLUSH = 150_000  # counters a task holds before it sends them on, and tokens it remembers
+FLUSH = 300_000  # counters a task holds before it sends them on, and tokens it remembers
 LONGEST = 40  # characters of a token that is decoded; longer ones are no word
 
 EDGE = 26
