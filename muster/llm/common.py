@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from muster.shared import fresh_path, stage
 
-__all__ = ["batches", "column", "input_partitions", "read_table", "sha256_hex", "stage", "stage_small", "word_pieces"]
+__all__ = ["batches", "column", "input_partitions", "read_table", "row_hash", "sha256_hex", "stage", "stage_small", "word_pieces"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def stage_small(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns of a row, which of them are null included."""
+    return F.xxhash64(F.concat(*[F.col(c).isNull().cast("string") for c in df.columns]), *df.columns)
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions of a scan: a number that grows with the bytes read."""
     return max(1, df.rdd.getNumPartitions())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import batches, stage, word_pieces
+from muster.llm.common import batches, row_hash, stage, word_pieces
 from muster.llm.components import components
 
 RADIUS = 3
@@ -258,8 +258,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     and empty texts have fingerprint 0 and are near copies of each other. Only ids, hashes and
     fingerprints are shuffled until the rows to keep are known.
     """
-    flags = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
-    marked = docs.withColumn("_row", F.xxhash64(flags, *docs.columns))
+    marked = docs.withColumn("_row", row_hash(docs))
     placed = marked.where(F.col("doc_id").isNotNull())
     keyed = placed.select(F.struct("doc_id", "_row").alias("_id"), "text")
     classes = near_classes(keyed, "_id", "text").where(F.col("id") == F.col("component_id"))
