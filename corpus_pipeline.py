@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import bpe, line_dedup, mixing, simhash, toxicity
-from muster.llm.common import read_table, stage_small
+from muster.llm.common import read_table, row_hash, stage_small
 from muster.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,10 +40,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 3 times."""
-    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix_sized(sized)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Every document as often as the mix takes it, 0 to 3 times.
+
+    Sampling moves ids, sizes and hashes of rows; whole rows meet their copies at the end. Equal rows
+    are sampled one by one and their copies summed. Null and empty texts have no words and are not taken.
+    """
+    docs = docs.select(*COLUMNS)
+    keyed = docs.withColumn("row_key", row_hash(docs))
+    sized = stage_small(keyed.select("doc_id", "source", "row_key", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    taken = mixing.mix_sized(sized).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    )
+    taken = stage_small(taken, "copies")
+    if not taken.where("_rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "row_key"])
+    same = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["row_key"] == taken["_key"])
+    joined = keyed.join(taken.where("_copies > 0"), same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
