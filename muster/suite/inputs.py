@@ -50,6 +50,13 @@ def second_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_lines(spark, sf_dir).withColumn("value", F.concat(F.lit("v2:"), F.col("value")))
 
 
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``noisy_lines`` some time later: of every fifty lines one is gone and one has changed."""
+    lines = noisy_lines(spark, sf_dir)
+    kind = (F.col("doc_id") + F.col("pos")) % 50
+    return lines.where(kind != 7).withColumn("value", F.when(kind == 9, F.concat("value", F.lit(" changed"))).otherwise(F.col("value")))
+
+
 def with_blank_lists(lines: DataFrame) -> DataFrame:
     """``lines`` and, for each list, another one that holds its places but nothing but blanks."""
     blank = lines.select(F.concat(F.lit("blank-"), "dataset_id").alias("dataset_id"), "ord", F.lit(" \t").alias("value"))

@@ -58,6 +58,38 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT dataset_id, ord, {_strip('value')} AS id FROM noisy WHERE {_strip('value')} <> ''",
     ),
     "firsts": (("kept",), "SELECT dataset_id, id, min(ord) AS ord FROM kept GROUP BY dataset_id, id"),
+    "later": (
+        ("noisy",),
+        f"""
+        SELECT dataset_id, id, min(ord) AS ord FROM (
+            SELECT dataset_id, ord, {_strip("CASE WHEN (doc_id + pos) % 50 = 9 THEN value || ' changed' ELSE value END")} AS id
+            FROM noisy WHERE (doc_id + pos) % 50 <> 7)
+        WHERE id <> '' GROUP BY dataset_id, id""",
+    ),
+    "versions": (
+        ("firsts", "later"),
+        """
+        SELECT dataset_id, id, CASE WHEN f.ord IS NULL THEN 'added' WHEN l.ord IS NULL THEN 'removed' ELSE 'kept' END AS change
+        FROM firsts f FULL JOIN later l USING (dataset_id, id)""",
+    ),
+    "damage": (
+        ("firsts", "later"),
+        """
+        SELECT v.*, CASE WHEN commit_seq = 2 THEN ascii(right(dataset_id, 1)) % 5 ELSE 0 END AS kind, length(id) % 7 = 3 AS hit,
+               CASE WHEN count(*) OVER (PARTITION BY commit_seq, dataset_id) <= 16 THEN 0
+                    WHEN count(*) OVER (PARTITION BY commit_seq, dataset_id) <= 16 * 256 THEN 2
+                    WHEN count(*) OVER (PARTITION BY commit_seq, dataset_id) <= 16 * 65536 THEN 4 ELSE 6 END AS width
+        FROM (SELECT 1 AS commit_seq, dataset_id, id FROM firsts UNION ALL SELECT 2, dataset_id, id FROM later) v""",
+    ),
+    "departed": (
+        ("damage",),
+        """
+        SELECT commit_seq, dataset_id, count(DISTINCT prefix) AS damaged_leaves, min(prefix) AS first_damaged_leaf FROM (
+            SELECT commit_seq, dataset_id, substr(sha256(id), 1, width) AS prefix FROM damage
+            WHERE kind = 1 OR kind IN (2, 3) AND hit
+            UNION ALL SELECT commit_seq, dataset_id, substr(sha256(id || '~'), 1, width) FROM damage WHERE kind = 3 AND hit)
+        GROUP BY 1, 2""",
+    ),
     "sources": (("lines",), "SELECT DISTINCT dataset_id FROM lines"),
     "searches_pages": (
         (),
@@ -452,6 +484,26 @@ def oracle() -> dict[str, str]:
             LEFT JOIN (SELECT dataset_id, snapshot, count(*) AS n FROM stored GROUP BY 1, 2
                        UNION ALL SELECT dataset_id, snapshot, count(*) FROM stored_second GROUP BY 1, 2)
                 USING (dataset_id, snapshot)""",
+        "snapshot_diff": _with("versions") + "SELECT dataset_id, id, change FROM versions WHERE change <> 'kept'",
+        "snapshot_diff_counts": _with("versions", "searches") + """
+            SELECT dataset_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed,
+                   CAST(0 AS BIGINT) AS recounted, count(*) FILTER (change = 'kept') AS kept
+            FROM searches LEFT JOIN versions USING (dataset_id) GROUP BY 1""",
+        "verify_snapshots": _with("damage", "departed", "searches") + f""",
+            names AS (
+                SELECT dataset_id, 1 AS commit_seq, {_name("'" + _STAMP_EARLY + "'", "search_query")} AS snapshot FROM searches
+                UNION ALL SELECT dataset_id, 2, {_name("'" + _STAMP_LATE + "'", "search_query")} FROM searches),
+            held AS (
+                SELECT commit_seq, dataset_id, count(*) AS n, count(*) FILTER (NOT (kind = 1 OR kind = 2 AND hit)) AS found,
+                       count(*) FILTER (kind = 3 AND hit) AS altered
+                FROM damage GROUP BY 1, 2),
+            known AS (
+                SELECT *, CASE WHEN commit_seq = 2 AND ascii(right(dataset_id, 1)) % 5 = 4 THEN 1 ELSE 0 END AS off
+                FROM names LEFT JOIN held USING (commit_seq, dataset_id))
+            SELECT dataset_id, snapshot, coalesce(n, 0) + off AS counted, coalesce(found, 0) AS found, damaged_leaves, first_damaged_leaf,
+                   CASE WHEN off = 1 THEN 'miscounted' WHEN found = 0 THEN 'lost' WHEN found < n THEN 'fewer'
+                        WHEN altered > 0 THEN 'altered' ELSE 'ok' END AS verdict
+            FROM known LEFT JOIN departed USING (commit_seq, dataset_id)""",
         "activate_requests": _with("flat_sound") + f"""
             SELECT dataset_id, {_name("'" + _STAMP_EARLY + "'", "dataset_id")} AS snapshot, min(ord) AS ord, id
             FROM flat_sound GROUP BY dataset_id, id""",

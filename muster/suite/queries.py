@@ -20,7 +20,10 @@ from muster.operators.retries import backoff_schedule, failed_datasets, retry_ou
 from muster.operators.tree import tree_digest
 from muster.plans import store
 from muster.plans.commit import commit_snapshots
+from muster.plans.diff import diff, diff_counts
+from muster.plans.leaves import index_commit, nodes, nodes_path
 from muster.plans.resolve import activate
+from muster.plans.verify import verify_snapshots
 from muster.shared import fresh_path, stage
 from muster.sinks.documents import write_json
 from muster.sinks.text import write_lines, write_normalized_lines
@@ -531,6 +534,69 @@ def store_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.collisions(new, store.opened(spark, root))
 
 
+LEAF = 16  # identifiers a leaf, so that lists of the given tables have trees of several levels
+
+
+def make_versions(spark: SparkSession, sf_dir: str) -> str:
+    """A store with two versions of every list and their hash trees, made once per session."""
+    key = (spark.sparkContext.applicationId, f"versions of {sf_dir}")
+    if key not in _STORES:
+        root = fresh_path(spark, "versions")
+        commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.noisy_lines(spark, sf_dir), "value")
+        commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.changed_lines(spark, sf_dir), "value")
+        for number in (1, 2):
+            index_commit(spark, root, number, leaf_rows=LEAF)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def _pairs(spark: SparkSession, root: str) -> DataFrame:
+    begun = store.opened(spark, root)
+    before, after = (begun.where(F.col("commit_seq") == n).select("dataset_id", F.col("snapshot").alias(side)) for n, side in ((1, "before"), (2, "after")))
+    return before.join(after, "dataset_id")
+
+
+@_query("snapshot_diff")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came and went between two versions of every list."""
+    root = make_versions(spark, sf_dir)
+    return diff(spark, root, _pairs(spark, root)).select("dataset_id", "id", "change")
+
+
+@_query("snapshot_diff_counts")
+def snapshot_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = make_versions(spark, sf_dir)
+    return diff_counts(spark, root, _pairs(spark, root)).drop("before", "after")
+
+
+def damaged_copy(spark: SparkSession, root: str) -> str:
+    """A copy of a store in which the second commit is damaged, by the last character of each list's name.
+
+    Lists are lost as a whole, lack identifiers, hold changed ones, or have a wrong count.
+    """
+    copy = fresh_path(spark, "damaged")
+    kind = F.when(F.col("commit_seq") == 2, F.ascii(F.substring("dataset_id", -1, 1)) % 5).otherwise(0)
+    some = F.length("id") % 7 == 3
+    ids = spark.read.schema(store.IDS_SCHEMA).parquet(store.ids_path(root))
+    left = ids.where((kind != 1) & ~((kind == 2) & some))
+    left = left.withColumn("id", F.when((kind == 3) & some, F.concat("id", F.lit("~"))).otherwise(F.col("id")))
+    left.write.partitionBy("commit_seq", "shard").parquet(store.ids_path(copy))
+    store.opened(spark, root).write.partitionBy("commit_seq").parquet(store.opened_path(copy))
+    nodes(spark, root).write.partitionBy("commit_seq", "at").parquet(nodes_path(copy))
+    wrong = store.manifests(spark, root).withColumn(
+        "normalized_count", F.col("normalized_count") + F.when(kind == 4, 1).otherwise(0)
+    )
+    for number in (1, 2):
+        write_json(wrong.where(F.col("commit_seq") == number).drop("commit_seq"), f"{store.manifests_path(copy)}/commit_seq={number}")
+    return copy
+
+
+@_query("verify_snapshots")
+def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which snapshots of a damaged store are still what they were, and where the others depart."""
+    return verify_snapshots(spark, damaged_copy(spark, make_versions(spark, sf_dir)))
+
+
 def _activated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Create snapshots of all ten lists from landed pages, then ask again and reuse them."""
     root = fresh_path(spark, "store")
