@@ -366,6 +366,19 @@ def oracle() -> dict[str, str]:
             CAST(len(ids) AS INTEGER) AS n_ids, ids[-1] AS last_id, error FROM pages_made""",
         "flatten_pages": _with("flat_sound") + "SELECT dataset_id, ord, id FROM flat_sound",
         "landed_stream": _with("flat_sound") + "SELECT dataset_id, ord, id FROM flat_sound",
+        "stream_verdicts": _with("grid", "searches_verdict") + """
+            SELECT s.dataset_id, s.reported_count,
+                   CASE WHEN s.reported_count IS NULL OR s.reported_count < 0 THEN 'unknown_count'
+                        WHEN bool_or(f.fault = 'missing_id_list') THEN 'missing_id_list'
+                        WHEN bool_or(f.fault = 'empty_page') THEN 'empty_page'
+                        WHEN bool_or(f.page_start > f.expected_start) THEN 'gap'
+                        WHEN bool_or(f.page_start < f.expected_start) THEN 'overlap'
+                        WHEN coalesce(max(f.page_end), 0) < s.reported_count THEN 'incomplete'
+                        ELSE 'ok' END AS verdict
+            FROM searches_verdict s
+            LEFT JOIN grid f ON f.dataset_id = s.dataset_id AND f.page_start < s.reported_count
+            GROUP BY s.dataset_id, s.reported_count""",
+        "landed_replay": _with("flat_sound") + "SELECT dataset_id, ord, id FROM flat_sound",
         "page_progress": _with("won_sound", "searches_pages") + """SELECT dataset_id, page_start,
             page_start + len(ids) AS extracted, least((page_start + len(ids)) / reported_count, 1.0) AS progress
             FROM won_sound JOIN searches_pages USING (dataset_id)""",

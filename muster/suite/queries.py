@@ -33,6 +33,7 @@ from muster.sources.files import list_files, open_path
 from muster.sources.landed import read_pages
 from muster.sources.lines import part_number, read_lines
 from muster.streaming.landing import append_identifiers, stream_pages
+from muster.streaming.verdicts import follow_verdicts, land_identifiers, last_verdicts
 from muster.suite import inputs as I
 
 LATE = "2024-01-02T00:00:00Z"
@@ -189,6 +190,28 @@ def landed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("dataset_id string, ord bigint, id string").parquet(target)
 
 
+@_query("landed_replay")
+def landed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, and all of them again after a restart from the checkpoint: each offset is read once."""
+    landing, target, checkpoint = (fresh_path(spark, name) for name in ("landing", "streamed", "offsets"))
+    won = P.first_success(I.result_pages(spark, sf_dir, faults=False))
+    for _ in range(2):
+        won.write.mode("append").parquet(landing)
+        land_identifiers(stream_pages(spark, landing), target, checkpoint).awaitTermination()
+    return spark.read.schema("dataset_id string, ord bigint, id string").parquet(target)
+
+
+@_query("stream_verdicts")
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First attempts land, then the others after a restart: the last verdicts are those of all pages."""
+    landing, target, checkpoint = (fresh_path(spark, name) for name in ("landing", "verdicts", "offsets"))
+    pages, searches = I.result_pages(spark, sf_dir), stage(I.verdict_searches(spark, sf_dir), "searches")
+    for landed in (pages.where("attempt = 0"), pages.where("attempt > 0")):
+        landed.write.mode("append").parquet(landing)
+        follow_verdicts(stream_pages(spark, landing), searches, target, checkpoint).awaitTermination()
+    return last_verdicts(searches, target).select("dataset_id", "reported_count", "verdict")
+
+
 @_query("page_progress")
 def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = P.first_success(I.result_pages(spark, sf_dir, faults=False))
