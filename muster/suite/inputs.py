@@ -139,16 +139,30 @@ def result_pages(spark: SparkSession, sf_dir: str, *, faults: bool = True) -> Da
     )
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fetch_log_columns(events: DataFrame) -> DataFrame:
     number = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") % 5).cast("string").alias("dataset_id"),
         F.expr("event_id div 10").alias("page_start"),
         (number % 10).cast("int").alias("attempt"),
         ((F.col("value") < 20) | (number % 10 < 2)).alias("failed"),
+        "event_id",
     )
 
 
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch_log_columns(table(spark, sf_dir, "events")).drop("event_id")
+
+
+def timed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fetch_log`` with the time of each request, and the time at which its row lands: for one in seven 5 seconds later."""
+    number, attempt = F.col("event_id"), F.col("event_id") % 10
+    at = F.expr("event_id div 10") * 100 + attempt * attempt * 400 + (number * 7919) % 1000
+    return fetch_log_columns(table(spark, sf_dir, "events")).withColumns(
+        {"at_ms": F.lit(1_704_067_200_000) + at, "landed_ms": at + F.when(number % 7 == 0, 5000).otherwise(0)}
+    ).drop("event_id")
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot names as they were committed, name clashes included: one list per customer."""
     return table(spark, sf_dir, "orders").select(

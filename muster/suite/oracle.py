@@ -191,6 +191,15 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
                value < 20 OR event_id % 10 < 2 AS failed
         FROM events""",
     ),
+    "timed": (
+        (),
+        """
+        SELECT CAST(user_id % 5 AS VARCHAR) AS dataset_id, event_id // 10 AS page_start, event_id % 10 AS attempt,
+               value < 20 OR event_id % 10 < 2 AS failed,
+               1704067200000 + (event_id // 10) * 100 + (event_id % 10) * (event_id % 10) * 400
+                   + (event_id * 7919) % 1000 AS at_ms
+        FROM events""",
+    ),
     "commits": (
         (),
         f"""
@@ -396,6 +405,16 @@ def oracle() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY page_start) = 1""",
         "backoff_schedule": _with("log") + """SELECT dataset_id, page_start, attempt,
             pow(2, attempt) * 0.34 AS backoff_seconds FROM log WHERE failed AND attempt < 4""",
+        "due_requests": _with("timed") + """, passed AS (
+                SELECT t.*, w.upto, at_ms + 340 * CAST(pow(2, attempt) AS BIGINT) AS next_ms, lead(at_ms) OVER o AS following,
+                       coalesce(bool_or(NOT failed OR attempt = 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended
+                FROM timed t, (SELECT max(at_ms) - 10000 AS upto FROM timed) w WHERE attempt < 5 AND at_ms < w.upto
+                WINDOW o AS (PARTITION BY dataset_id, page_start ORDER BY at_ms, attempt, failed))
+            SELECT dataset_id, page_start, CASE WHEN attempt = 4 THEN 4 ELSE attempt + 1 END AS attempt,
+                   CASE WHEN attempt = 4 THEN at_ms ELSE next_ms END AS due_ms,
+                   CASE WHEN attempt = 4 THEN 'give_up' ELSE 'ask' END AS action
+            FROM passed WHERE NOT ended AND failed AND
+                (attempt = 4 OR (next_ms < upto AND (following IS NULL OR following > next_ms)))""",
         "utc_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS retrieved_at_utc FROM events",
         "snapshot_name": f"""SELECT p_partkey, substr(sha256(p_name), 1, 12) AS query_hash,
             {_name("'2024-05-06T07:08:' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') || 'Z'", "p_name")} AS snapshot

@@ -32,6 +32,7 @@ from muster.sources.documents import json_field, read_json_documents
 from muster.sources.files import list_files, open_path
 from muster.sources.landed import read_pages
 from muster.sources.lines import part_number, read_lines
+from muster.streaming.due import queue_requests, stream_log
 from muster.streaming.landing import append_identifiers, stream_pages
 from muster.streaming.verdicts import follow_verdicts, land_identifiers, last_verdicts
 from muster.suite import inputs as I
@@ -212,6 +213,23 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_verdicts(searches, target).select("dataset_id", "reported_count", "verdict")
 
 
+@_query("due_requests")
+def due_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lands in three parts, with restarts between them, rows out of order and the part before once more."""
+    landing, target, checkpoint = (fresh_path(spark, name) for name in ("landing", "due", "offsets"))
+    log = stage(I.timed_log(spark, sf_dir), "log")
+    third = F.lit(log.agg(F.max("landed_ms")).first()[0] / 3 + 1)
+    rows = log.withColumn("part", F.floor(F.col("landed_ms") / third)).withColumn("at", F.timestamp_millis("at_ms"))
+    rows = rows.withColumn("attempt", F.col("attempt").cast("bigint")).drop("at_ms", "landed_ms")
+    for part in range(3):
+        rows.where(F.col("part").between(part - 1, part)).drop("part").write.mode("append").parquet(landing)
+        queue_requests(
+            stream_log(spark, landing), target, checkpoint, delay_seconds=0.34, max_attempts=5, lateness="10 seconds", cell=64
+        ).awaitTermination()
+    due = spark.read.schema("dataset_id string, page_start bigint, attempt bigint, due_at timestamp, action string").parquet(target)
+    return due.withColumn("due_at", F.unix_millis("due_at")).withColumnRenamed("due_at", "due_ms")
+
+
 @_query("page_progress")
 def page_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     won = P.first_success(I.result_pages(spark, sf_dir, faults=False))
