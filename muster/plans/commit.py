@@ -21,8 +21,10 @@ from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.operators.retries import failed_datasets
 from muster.operators.tree import tree_digest
 from muster.plans import store
+from muster.plans.stored import stored_digests
 from muster.shared import in_scratch, stage
 from muster.sinks.documents import write_json
+from muster.sources.lines import opens
 
 
 def stamp_searches(searches: DataFrame, now: datetime | None = None) -> DataFrame:
@@ -108,16 +110,19 @@ def commit_snapshots(
     target = f"{store.ids_path(root)}/commit_seq={seq}"
     (
         spread_lookup(counted.where(F.col("id") != ""), names, ["dataset_id"], ["id", "ord"])
-        .select("shard", "dataset_id", "snapshot", "ord", "id")
+        # a shard that may be null would be sorted by once more, after the lists
+        .select(F.coalesce("shard", F.lit("")).alias("shard"), "dataset_id", "snapshot", "ord", "id")
         .repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .write.partitionBy("shard")
         .parquet(target)
     )
     written = spark.read.schema(store.IDS_SCHEMA).parquet(target).select("dataset_id", "ord", "id")
-    digests = list_digest(written, sizes, canonical_sort=canonical_sort).join(
-        tree_digest(written, sizes, distinct=dedup), "dataset_id"
-    )
+    if opens([target]):
+        flat = stored_digests(spark, target, canonical_sort=canonical_sort)
+    else:  # a file system that only Spark knows
+        flat = list_digest(written, sizes, canonical_sort=canonical_sort)
+    digests = flat.join(tree_digest(written, sizes, distinct=dedup), "dataset_id")
     rows = manifest_rows(
         searches,
         sizes,

@@ -123,7 +123,7 @@ def read_lines(
 def marked_files(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """``(file)``: the uncompressed files that begin with a byte order mark."""
     paths = [path] if isinstance(path, str) else list(path)
-    if _opens(paths):
+    if opens(paths):
         heads = read_each(list_files(spark, paths, pattern=options.get("pathGlobFilter", "*")), head_of, "head", "binary")
         marked = heads.where((F.col("head") == F.lit(MARK)) & ~F.col("path").rlike(_COMPRESSED))
         return marked.select(F.col("path").alias("file"))
@@ -136,7 +136,7 @@ def marked_files(spark: SparkSession, path: str | list[str], **options: str) ->
     return read.where((F.col("size") - F.col("bytes")).between(2, 3) & ~F.col("file").rlike(_COMPRESSED)).select("file")
 
 
-def _opens(paths: list[str]) -> bool:
+def opens(paths: list[str]) -> bool:
     """Whether Arrow can list these paths: it knows their scheme, and they hold no wildcards."""
     try:
         return not any(set("*?[{") & set(p) for p in paths) and all(open_path(p) for p in paths)
