@@ -13,8 +13,12 @@ from fnmatch import fnmatch
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from muster.shared import stage
 
 BLOCK = 8 << 20
+LISTING = "path string, length bigint"
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,30 +42,57 @@ def _prefix(path: str) -> str:
     return f"{scheme}://" if scheme in ("s3", "gs", "gcs", "abfs", "abfss") else f"{scheme}://{rest.partition('/')[0]}"
 
 
-def list_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*") -> DataFrame:
-    """``(path, length)`` of all files under each of ``path``, empty ones too; one task lists a root.
+LISTED = 1 << 12  # names of a batch
+TASKS = 10_000  # at most so many tasks a level
 
-    Names that begin with ``_`` or ``.`` are left out, as Spark leaves them out.
-    """
-    roots = [path] if isinstance(path, str) else list(path)
+
+def _children(pattern: str):
+    """The step that lists directories: their files, and their directories with a null length."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for root in batch.column(0).to_pylist():
-                store, at = open_path(root)
-                info = store.get_file_info(at)
-                found = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, recursive=True))
-                kept = [
-                    f for f in found
-                    if f.is_file and fnmatch(f.base_name, pattern) and not re.search(r"/[_.]", f.path[len(at) :])
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_prefix(root) + f.path for f in kept], pa.string()), pa.array([f.size for f in kept], pa.int64())],
-                    names=["path", "length"],
-                )
-
-    listed = spark.createDataFrame([(root,) for root in roots], "root string").repartition(len(roots), "root")
-    return listed.mapInArrow(run, "path string, length bigint")
+            for path in batch.column(0).to_pylist():
+                store, at = open_path(path)
+                found = store.get_file_info(fs.FileSelector(at))
+                named = [f for f in found if not f.base_name.startswith(("_", "."))]
+                kept = [f for f in named if f.type == fs.FileType.Directory or (f.is_file and fnmatch(f.base_name, pattern))]
+                for start in range(0, len(kept), LISTED):
+                    some, prefix = kept[start : start + LISTED], _prefix(path)
+                    names = pa.array([prefix + f.path for f in some], pa.string())
+                    sizes = pa.array([f.size if f.is_file else None for f in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([names, sizes], names=["path", "length"])
+
+    return run
+
+
+def list_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*") -> DataFrame:
+    """``(path, length)`` of all files under each of ``path``, empty ones too.
+
+    Level by level: the directories of a level are dealt over tasks one by one, and what they hold is written in batches of
+    bounded size, so no task lists more than its share of the directories and a lost executor costs some of a level. The
+    names of one directory are one listing. Only the roots are looked at by the driver. A path that does not exist
+    raises FileNotFoundError; roots that lie in each other list their files once a root. Names that begin with ``_`` or ``.``
+    are left out, as Spark leaves them out, and so is what lies below them.
+    """
+    level, files = [], []
+    for root in [path] if isinstance(path, str) else list(path):
+        store, at = open_path(root)
+        info = store.get_file_info(at)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(root)
+        if info.is_file and fnmatch(info.base_name, pattern):
+            files.append((_prefix(root) + info.path, info.size))
+        elif not info.is_file:
+            level.append((_prefix(root) + info.path, None))
+    listed = spark.createDataFrame(files, LISTING)
+    directories, n = spark.createDataFrame(level, LISTING), len(level)
+    while n:
+        dealt = directories.select("path").repartition(min(TASKS, n))
+        found = stage(dealt.mapInArrow(_children(pattern), LISTING), "listed")
+        listed = listed.unionByName(found.where(F.col("length").isNotNull()))
+        directories = found.where(F.col("length").isNull())
+        n = directories.count()
+    return listed
 
 
 def read_each(files: DataFrame, read, column: str, kind: str) -> DataFrame:

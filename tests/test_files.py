@@ -12,6 +12,7 @@ from muster.sinks.documents import write_json
 from muster.sinks.text import write_lines, write_normalized_lines
 from muster.sources import tree
 from muster.sources.documents import read_json_documents, read_json_values
+from muster.sources.files import list_files
 from muster.sources.lines import as_lists, invalid_lines, line_order, part_number, read_lines
 
 
@@ -155,6 +156,31 @@ def test_file_digests(spark, tmp_path):
     assert [r.sha256 for r in only] == [hashlib.sha256(files["packed.gz"]).hexdigest()]
 
 
+def test_files_are_listed_level_by_level(spark, tmp_path):
+    """As a walk finds them, over uneven depths, a crowded folder and roots of every kind; hidden names and what is below them stay out."""
+    expected = {}
+    for n in range(300):
+        folder = tmp_path / f"d{n % 7}" / "/".join(f"e {k}" for k in range(n % 4))
+        for place in (folder / f"f{n}.txt", *([folder / f"_h{n}" / "x.txt", folder / f".h{n}.txt"] if n % 50 == 0 else [])):
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.write_bytes(b"z" * (n % 5))
+        expected[str(folder / f"f{n}.txt")] = n % 5
+    (tmp_path / "empty" / "er").mkdir(parents=True)
+
+    def found(*roots, **options):
+        rows = list_files(spark, list(roots), **options).collect()
+        return {r.path.removeprefix("file:"): r.length for r in rows}, len(rows)
+
+    assert found(str(tmp_path)) == (expected, 300)
+    one = str(tmp_path / "d1" / "e 0" / "f1.txt")
+    few = {p: n for p, n in expected.items() if p.startswith(f"{tmp_path}/d2/")} | {one: 1}
+    assert found(f"file://{tmp_path}/d2", one, str(tmp_path / "empty")) == (few, len(few))
+    assert found(str(tmp_path), pattern="f2?.txt")[1] == 10
+    assert found(str(tmp_path / "empty")) == ({}, 0)
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, str(tmp_path / "none"))
+
+
 def test_a_failed_write_leaves_the_old_result(spark, tmp_path):
     path = tmp_path / "out"
     write_lines(ids_frame(spark, {"a": ["old"], "b": ["kept"]}), str(path))
