@@ -479,12 +479,13 @@ def oracle() -> dict[str, str]:
         + "SELECT dataset_id, snapshot, commit_seq, update_latest, normalized_count FROM snapshots",
         "json_documents": """SELECT c_custkey, c_name, c_acctbal,
             CAST(NULL AS VARCHAR) AS c_comment FROM customer""",
-        "json_documents_indented": """SELECT n_nationkey, n_name, n_regionkey,
-            CAST(NULL AS VARCHAR) AS n_comment FROM nation""",
-        "tree_snapshots": _with("lines") + """, n AS (SELECT dataset_id, count(*) AS n FROM lines GROUP BY 1)
-            SELECT dataset_id, dataset_id AS id, CAST(1 AS BIGINT) AS position, dataset_id AS search_query,
-                   n AS reported_count FROM n
-            UNION ALL SELECT dataset_id, CAST(n AS VARCHAR), 2, dataset_id, n FROM n""",
+        "json_documents_indented": """SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name,
+            CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(NULL AS VARCHAR) AS s_note FROM supplier""",
+        "tree_snapshots": _with("lines") + f""", blocks AS (
+                SELECT 'block-' || (doc_id // 100) AS dataset_id, ord, {_strip("value")} AS id FROM lines)
+            SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY ord) AS position,
+                   dataset_id AS search_query, n AS reported_count
+            FROM blocks JOIN (SELECT dataset_id, count(*) AS n FROM blocks GROUP BY 1) USING (dataset_id) WHERE id <> ''""",
         "json_field": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
             json_extract_string(props, '$.missing') AS missing FROM events""",
         "load_snapshot": _with("stored") + "SELECT dataset_id, snapshot, ord, id FROM stored",

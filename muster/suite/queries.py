@@ -469,29 +469,33 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("json_documents_indented")
 def json_documents_indented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document a file, over several lines."""
+    """One document a file, over several lines: a file for every supplier."""
     path = fresh_path(spark, "json")
-    document = F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey"), {"pretty": "true"})
-    I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), document.alias("value")).write.partitionBy("k").text(path)
-    schema = "n_nationkey int, n_name string, n_regionkey int, n_comment string"
+    document = F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey"), {"pretty": "true"})
+    place = F.format_string("%03d/%d.json", F.col("s_suppkey") % 1000, F.col("s_suppkey").cast("bigint"))
+    put_files(I.table(spark, sf_dir, "supplier").select(place.alias("place"), document.alias("text")), path)
+    schema = "s_suppkey bigint, s_name string, s_nationkey bigint, s_note string"
     return read_json_documents(spark, path, schema, recursiveFileLookup="true").drop("file")
 
 
 @_query("tree_snapshots")
 def tree_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories as another tool writes them, one list per file, read back with their manifests."""
-    lists = I.lines(spark, sf_dir).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    """Directories as another tool writes them, one list a file, read back with their manifests.
+
+    All lines of a hundred documents are a list, so lists stay bounded and their number grows with the table.
+    """
+    block = F.concat(F.lit("block-"), F.floor(F.col("doc_id") / 100).cast("string"))
+    blocks = I.lines(spark, sf_dir).groupBy(block.alias("dataset_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "value")))["value"].alias("values")
+    )
+    lists = stage(blocks, "blocks")
     root = fresh_path(spark, "tree")
-    files = lists.select(
-        F.concat(F.col("dataset_id"), F.lit("/latest/manifest.json")).alias("place"),
-        F.to_json(F.struct(F.col("dataset_id").alias("search_query"), F.col("n").alias("reported_count")), {"pretty": "true"}).alias("text"),
-    ).unionByName(
-        lists.select(
-            F.concat(F.col("dataset_id"), F.lit("/latest/ids.txt")).alias("place"),
-            F.concat(F.col("dataset_id"), F.lit("\n \n"), F.col("n").cast("string"), F.lit("\n")).alias("text"),
-        )
+    manifest = F.struct(F.col("dataset_id").alias("search_query"), F.col("n").alias("reported_count"))
+    texts = {"manifest.json": F.to_json(manifest, {"pretty": "true"}), "ids.txt": F.concat(F.array_join("values", "\n"), F.lit("\n"))}
+    put_files(
+        _union([lists.select(F.concat("dataset_id", F.lit(f"/latest/{name}")).alias("place"), text.alias("text")) for name, text in texts.items()]),
+        root,
     )
-    put_files(files, root)
     manifests, ids = tree.load_tree(spark, root, "search_query string, reported_count bigint")
     placed = dense_position(ids, ["dataset_id"], ["ord"]).select("dataset_id", "id", "position")
     return placed.join(manifests.drop("snapshot"), "dataset_id")
