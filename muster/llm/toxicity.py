@@ -12,6 +12,7 @@ group of near copies.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
@@ -37,7 +38,7 @@ TELLING = 2  # words of a document that add up
 MODEL_FEATURES = 20_000  # features kept, those with the most evidence: bounds what is broadcast
 BROADCAST_LABELS = 1_000_000  # labels, of some 20 bytes, that are sent to every task
 FLUSH = 300_000  # counters a task holds before it sends them on, and tokens it remembers
-LONGEST = 40  # characters of a token that is decoded; longer ones are no word
+LONGEST = 40  # longer tokens are not remembered, and longer words are features by their hash
 
 EDGE = 26
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -50,7 +51,11 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k",
 }
 INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])  # zero-width characters, taken out
-SWAP, DROP, REPEAT = math.log(0.3), math.log(0.2), math.log(0.3)  # log-probabilities of the channel
+# Log-probabilities of the channel: another character, a mark put in, a letter repeated, words joined by a mark.
+SWAP, DROP, REPEAT, BORDER = math.log(0.3), math.log(0.04), math.log(0.3), math.log(0.04)
+# The same where there is a mark behind every letter, and where there is one more mark than between the others.
+SPACED_DROP, SPACED_BORDER = math.log(0.8), math.log(0.04)
+WIDE_DROP, WIDE_BORDER = math.log(0.1), math.log(0.9)
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]{1,2}){3,}\S(?!\S)")
 _RUN = re.compile(r"(.)\1\1+")
@@ -79,53 +84,58 @@ class CharacterModel:
         three = self.counts + 5.0 * two[None, :, :]
         self.log = np.log(three / three.sum(axis=2, keepdims=True)).tolist()
 
-    def restore(self, token: str) -> str:
-        """The likeliest plain word behind ``token``, or ``token`` if it has none.
+    def restore(self, token: str) -> list[str]:
+        """The likeliest plain words behind ``token``, or ``[token]`` if it has none.
 
-        States are the last two letters of the word so far. A character is itself, one of
-        its look-alikes, dropped if it is a mark, or, in a run of three and more, a repetition of
-        the letter before.
+        States are the last two letters of the word so far. A character is itself, one of its look-alikes, or, in a run
+        of three and more, a repetition of the letter before; a mark or space may also have been put in, or end a word. Time and
+        memory grow with the length of the token.
         """
-        if len(token) > LONGEST:
-            return token
         log = self.log
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        spaced = _SPACED.fullmatch(token) is not None
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         runs = {i for m in _RUN.finditer(token) for i in range(m.start() + 2, m.end() + 1)}
         for at, char in enumerate(token):
             options = [(char, 0.0)] if "a" <= char <= "z" else []
             options += [(letter, SWAP) for letter in LOOKALIKES.get(char, "")]
             droppable = not char.isalnum()
+            wide = spaced and droppable and at > 0 and not token[at - 1].isalnum()
+            drop, border = (WIDE_DROP, WIDE_BORDER) if wide else (SPACED_DROP, SPACED_BORDER) if spaced else (DROP, BORDER)
             repeated = at + 1 in runs
             if not options and not droppable:
-                return token
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in states.items():
+                return [token]
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for letter, cost in options:
                     c = ord(letter) - 97
-                    _better(following, (b, c), score + cost + log[a][b][c], word + letter)
+                    _better(following, (b, c), score + cost + log[a][b][c], (letter, path))
                     if b == c and repeated:
-                        _better(following, (a, b), score + cost + REPEAT, word)
+                        _better(following, (a, b), score + cost + REPEAT, path)
                 if droppable:
-                    _better(following, (a, b), score + DROP * 2, word)
+                    _better(following, (a, b), score + drop, path)
+                    if b != EDGE:
+                        _better(following, (EDGE, EDGE), score + border + log[a][b][EDGE], (" ", path))
             states = following
-        best = max(((score + log[a][b][EDGE], word) for (a, b), (score, word) in states.items()), default=(0.0, ""))
-        return best[1] or token
+        ends = [(score + (log[a][b][EDGE] if b != EDGE else 0.0), path) for (a, b), (score, path) in states.items()]
+        _, path = max(ends, key=lambda end: end[0], default=(0.0, None))
+        letters = []
+        while path is not None:
+            letter, path = path
+            letters.append(letter)
+        return "".join(reversed(letters)).split() or [token]
 
 
-def _better(states: dict, key: tuple[int, int], score: float, word: str) -> None:
+def _better(states: dict, key: tuple[int, int], score: float, path: tuple | None) -> None:
     held = states.get(key)
-    if held is None or (score, word) > held:
-        states[key] = (score, word)
+    if held is None or score > held[0]:
+        states[key] = (score, path)
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct tokens of a text, and its runs of single characters as one token each."""
+    """The distinct tokens of a text, and its runs of single characters, with what is between them, as one token each."""
     lower = text.lower()
     found = set(lower.split())
-    for run in _SPACED.findall(lower):
-        joined = "".join(run.split())
-        if len(set(joined)) > 2:
-            found.add(joined)
+    found.update(run for run in _SPACED.findall(lower) if len(set(run) - {" "}) > 2)
     return found
 
 
@@ -139,19 +149,18 @@ def _plain(token: str) -> str:
 
 def restored(token: str, model: CharacterModel) -> list[str]:
     """The words a token may be scored as: itself if it is plain, else what the channel hid."""
-    if len(token) > LONGEST:
-        return []
     token = fold(token)
     plain = _plain(token)
     if plain.isalpha():
-        return [plain, model.restore(plain)] if _RUN.search(plain) else [plain]
+        return [plain, *model.restore(plain)] if _RUN.search(plain) else [plain]
     hidden = token.rstrip(".,;:?\"')]}").lstrip("\"'")
-    return [model.restore(hidden)] if any(c.isalnum() for c in hidden) else []
+    return model.restore(hidden) if any(c.isalnum() for c in hidden) else []
 
 
 def features_of(word: str) -> list[str]:
     """A word, marked as whole, and its beginnings of STEMS letters."""
-    return [word + "$", *[word[:n] for n in STEMS if len(word) >= n]]
+    whole = word if len(word) <= LONGEST else hashlib.sha256(word.encode()).hexdigest()
+    return [whole + "$", *[word[:n] for n in STEMS if len(word) >= n]]
 
 
 def token_features(token: str, model: CharacterModel) -> set[str]:
@@ -171,7 +180,7 @@ def _trigrams(words: Counter) -> np.ndarray:
     found: Counter = Counter()
     for token, n in words.items():
         word = _plain(fold(token))
-        if word.isascii() and word.isalpha() and len(word) <= LONGEST:
+        if word.isascii() and word.isalpha():
             found[word] += n
     if not found:
         return np.zeros(27**3, dtype=np.int64)
@@ -252,9 +261,12 @@ def _feature_counts(labelled: DataFrame, characters: CharacterModel) -> DataFram
             for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for token in words_of(value or ""):
-                    if token not in known:
-                        known[token] = tuple(map(sys.intern, token_features(token, characters)))  # words share beginnings
-                    found.update(known[token])
+                    features = known.get(token)
+                    if features is None:
+                        features = tuple(map(sys.intern, token_features(token, characters)))  # words share beginnings
+                        if len(token) <= LONGEST:
+                            known[token] = features
+                    found.update(features)
                 held[label].update(found)
                 if len(known) > FLUSH:
                     known.clear()

@@ -48,8 +48,70 @@ def test_restoring():
     }.items():
         assert word in toxicity.restored(hidden, model), hidden
     assert "idiot" in toxicity.restored("idiooooot", model)
-    assert "idiot" in toxicity.words_of("you i d i o t now")
-    assert toxicity.restored("$$$", model) == [] and toxicity.restored("x" * 1000, model) == []
+    assert "i d i o t" in toxicity.words_of("you i d i o t now")
+    assert toxicity.restored("$$$", model) == []
+    assert toxicity.restored("stup" + "i" * 40 + "d", model)[-1] == "stupid"
+    assert toxicity.restored("x" * 1000, model)[0] == "x" * 1000 and len(toxicity.features_of("x" * 1000)[0]) == 65
+
+
+def test_borders_between_hidden_words():
+    words = ["you", "are", "a", "stupid", "worthless", "idiot", "the", "loser"]
+    counts = toxicity._trigrams(Counter(dict.fromkeys(words, 50)))
+    model = toxicity.CharacterModel(counts.reshape(27, 27, 27))
+    for hidden, plain in {
+        "y o u  a r e  s t u p i d": "you are stupid", "y o u a r e s t u p i d": "you are stupid",
+        "w.0.r.t.h.l.e.s.s.i.d.1.o.t": "worthless idiot", "stupid-idiot": "stupid idiot", "st-upid": "stupid",
+        "s t u p i d": "stupid", " ".join("stupid" * 300): " ".join(["stupid"] * 300),
+    }.items():
+        assert toxicity.restored(hidden, model) == plain.split(), hidden
+    long = "stupid" * 20_000 + "1d10t"  # in time that grows with the length
+    assert "".join(model.restore(long)).endswith("stupididiot")
+
+
+def _readings(token, model, spaced):
+    """Every way to read a short token, with its log-probability: ``(score, words)``."""
+    log, edge = model.log, toxicity.EDGE
+
+    def go(at, word, done, score):
+        context = ([edge, edge] + [ord(c) - 97 for c in word])[-2:]
+        end = log[context[0]][context[1]][edge] if word else 0.0
+        if at == len(token):
+            yield score + end, (done + [word] if word else done)
+            return
+        char = token[at]
+        choices = [(char, 0.0)] if "a" <= char <= "z" else []
+        choices += [(letter, toxicity.SWAP) for letter in toxicity.LOOKALIKES.get(char, "")]
+        for letter, cost in choices:
+            yield from go(at + 1, word + letter, done, score + cost + log[context[0]][context[1]][ord(letter) - 97])
+            run = any(token[k : k + 3] == char * 3 and k < at < k + 3 for k in range(at))  # in a run of three, not its first
+            if run and word[-1:] == letter:
+                yield from go(at + 1, word, done, score + cost + toxicity.REPEAT)
+        if not char.isalnum():
+            wide = spaced and at > 0 and not token[at - 1].isalnum()
+            kind = "WIDE_" if wide else "SPACED_" if spaced else ""
+            yield from go(at + 1, word, done, score + getattr(toxicity, kind + "DROP"))
+            if word:
+                yield from go(at + 1, "", [*done, word], score + end + getattr(toxicity, kind + "BORDER"))
+
+    return go(0, "", [], 0.0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_viterbi_finds_the_likeliest_of_all_readings(seed):
+    rng = np.random.default_rng(seed)
+    words = ["you", "are", "stupid", "idiot", "loser", "all", "ill", "bob"]
+    counts = toxicity._trigrams(Counter(dict.fromkeys(words, 20)))
+    model = toxicity.CharacterModel(counts.reshape(27, 27, 27))
+    for _ in range(300):
+        token = "".join(rng.choice(list("idotlus16!|.-"), rng.integers(1, 8)))
+        if rng.random() < 0.3:
+            token = rng.choice([" ", ".", "  "]).join(token[:5])
+        token = token.replace("o", "ooo") if rng.random() < 0.2 and len(token) < 6 else token
+        spaced = toxicity._SPACED.fullmatch(token) is not None
+        readings = sorted(_readings(token, model, spaced), reverse=True)
+        found = model.restore(token)
+        best = [words for score, words in readings if score > readings[0][0] - 1e-9]
+        assert found in best or (found == [token] and [] in best), (token, found, readings[:2])
 
 
 def test_toxicity_learns_words_and_stems(spark):
