@@ -16,11 +16,11 @@ from muster.operators import catalog as C
 from muster.operators import pages as P
 from muster.operators.digest import list_digest
 from muster.operators.lookup import spread_lookup
-from muster.operators.manifest import assign_shards, complete_searches, manifest_rows
+from muster.operators.manifest import MANIFEST_SCHEMA, assign_shards, complete_searches, manifest_rows
 from muster.operators.normalize import list_order, measure, normalize_counted
 from muster.operators.retries import failed_datasets
 from muster.operators.tree import tree_digest
-from muster.plans import store
+from muster.plans import store, summary
 from muster.plans.stored import stored_digests
 from muster.shared import in_scratch, stage
 from muster.sinks.documents import write_json
@@ -65,7 +65,7 @@ def _check(searches: DataFrame, existing: DataFrame) -> None:
 
 def _open(spark: SparkSession, root: str, names: DataFrame) -> int:
     """Write the names and shards under the next free commit number and return it."""
-    last = store.opened(spark, root).agg(F.max("commit_seq")).first()[0] or 0
+    last = summary.last_commit(spark, root)
     while True:
         last += 1
         try:
@@ -96,7 +96,8 @@ def commit_snapshots(
     writer at a time per store.
     """
     searches = stage(complete_searches(searches), "searches")
-    _check(searches, store.opened(spark, root))
+    asked = stage(searches.select("dataset_id").distinct(), "asked")
+    _check(searches, summary.snapshots(spark, root, asked))
     counted = stage(normalize_counted(lists, value, dedup=dedup), "normalized")
     sizes = stage(measure(counted), "sizes")
     unasked = sizes.join(searches, "dataset_id", "left_anti")
@@ -134,7 +135,7 @@ def commit_snapshots(
     )
     # The number is the directory's name as well; a reader takes it from there.
     write_json(rows.drop("commit_seq"), f"{store.manifests_path(root)}/commit_seq={seq}", mode="errorifexists")
-    return store.manifests(spark, root).where(F.col("commit_seq") == seq)
+    return summary.of_commits(spark, store.manifests_path(root), [seq], MANIFEST_SCHEMA, "json", mode="FAILFAST")
 
 
 def _reasons(faulty: list, pages: DataFrame, max_attempts: int | None) -> list[tuple]:

@@ -9,7 +9,7 @@ from muster.functions.requests import DEFAULT_MAX_ATTEMPTS, DEFAULT_PAGE_SIZE, r
 from muster.functions.text import is_missing
 from muster.operators import catalog as C
 from muster.operators.lookup import spread_lookup
-from muster.plans import store
+from muster.plans import summary
 from muster.plans.commit import commit_pages
 from muster.shared import scratch, stage
 
@@ -26,7 +26,7 @@ _ERRORS = {
 def resolve(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     """``requests(dataset_id, mode, email, …)`` with ``outcome`` and the ``snapshot`` to reuse."""
     asked = requests.withColumn("has_email", ~is_missing(F.col("email")))
-    return C.resolve_requests(asked, store.latest_state(spark, root, requests)).drop("has_email")
+    return C.resolve_requests(asked, summary.latest_state(spark, root, requests)).drop("has_email")
 
 
 def _violations(requests: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def activate(
     """
     with scratch(spark):
         names = stage(_wanted(spark, root, requests, searches, pages, policy), "active", keep=True)
-    return store.load_snapshots(spark, root, names)
+    return summary.load_snapshots(spark, root, names)
 
 
 def _wanted(

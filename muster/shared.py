@@ -86,6 +86,23 @@ def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path for Hadoop, and the file system it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it does not exist."""
+    place, store = _place(spark, path)
+    return sorted(found.getPath().getName() for found in store.listStatus(place)) if store.exists(place) else []
+
+
 def replace_path(spark: SparkSession, new: str, path: str) -> None:
     """Move the folder ``new`` to ``path``; what was there goes only after that."""
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -6,7 +6,7 @@ of a row, so no table is ranked or gathered to build an input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.functions import naming as N
@@ -192,6 +192,22 @@ def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``snapshots`` in commits: the n-th of every customer is in commit n. One commit in five died before its manifests,
+    and some shards were lost."""
+    number = F.col("commit_seq")
+    lost, empty = number % 13 == 0, F.col("normalized_count") == 0
+    turn = F.row_number().over(Window.partitionBy("dataset_id").orderBy("commit_seq")).cast("bigint")
+    shard = F.when(empty, "empty").when(lost, "lost").otherwise(F.concat(F.lit("mixed-"), (number % 2).cast("string")))
+    return (
+        snapshots(spark, sf_dir)
+        .withColumns({"shard": shard, "turn": turn})
+        .withColumn("commit_seq", F.col("turn"))
+        .withColumn("has_manifest", F.col("turn") % 5 != 3)
+        .drop("turn")
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = ("create_new", "reuse_latest", "reuse_latest_or_create", "Reuse_Latest")
     return table(spark, sf_dir, "customer").select(

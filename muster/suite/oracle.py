@@ -236,6 +236,19 @@ _INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT dataset_id, arg_max(snapshot, commit_seq) AS snapshot FROM snapshots
            WHERE update_latest GROUP BY dataset_id""",
     ),
+    "history": (
+        ("snapshots",),
+        """
+        SELECT *, has_ids AND has_manifest AS complete FROM (
+            SELECT *, (commit_seq % 13 <> 0 AND normalized_count > 0) OR (has_manifest AND normalized_count = 0) AS has_ids FROM (
+                SELECT *, n % 5 <> 3 AS has_manifest FROM (
+                    SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY commit_seq) AS n FROM snapshots)))""",
+    ),
+    "history_pointers": (
+        ("history",),
+        """SELECT dataset_id, arg_max(snapshot, n) AS snapshot, true AS pointed FROM history
+           WHERE update_latest AND has_manifest GROUP BY dataset_id""",
+    ),
     "requests": (
         (),
         """
@@ -470,6 +483,18 @@ def oracle() -> dict[str, str]:
                     WHEN mode = 'reuse_latest' THEN 'no_ids'
                     WHEN NOT has_email THEN 'email_required' ELSE 'create' END AS outcome
                 FROM state JOIN requests USING (dataset_id))""",
+        "catalog_increments": _with("history_pointers") + """
+            SELECT dataset_id, snapshot, n AS commit_seq, has_ids, has_manifest, complete, coalesce(pointed, false) AS is_latest
+            FROM history LEFT JOIN history_pointers USING (dataset_id, snapshot)""",
+        "resolve_increments": _with("requests", "history_pointers") + """
+            SELECT dataset_id, mode, has_email, outcome, CASE WHEN outcome = 'reuse' THEN snapshot END AS snapshot FROM (
+                SELECT *, CASE
+                    WHEN mode NOT IN ('create_new', 'reuse_latest', 'reuse_latest_or_create') THEN 'invalid_mode'
+                    WHEN mode <> 'create_new' AND coalesce(complete, false) THEN 'reuse'
+                    WHEN mode = 'reuse_latest' AND pointed IS NULL THEN 'no_latest'
+                    WHEN mode = 'reuse_latest' THEN 'no_ids'
+                    WHEN NOT has_email THEN 'email_required' ELSE 'create' END AS outcome
+                FROM requests LEFT JOIN history_pointers USING (dataset_id) LEFT JOIN history USING (dataset_id, snapshot))""",
         "text_roundtrip": _with("firsts") + """SELECT dataset_id, id,
             row_number() OVER (PARTITION BY dataset_id ORDER BY id) AS position FROM firsts
             UNION ALL SELECT DISTINCT 'blank-' || source, NULL, 0 FROM documents""",

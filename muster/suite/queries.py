@@ -18,7 +18,7 @@ from muster.operators.normalize import counts_by_dataset, measure, normalize, no
 from muster.operators.order import dense_position
 from muster.operators.retries import backoff_schedule, failed_datasets, retry_outcome
 from muster.operators.tree import tree_digest
-from muster.plans import store
+from muster.plans import store, summary
 from muster.plans.commit import commit_snapshots
 from muster.plans.diff import diff, diff_counts
 from muster.plans.leaves import index_commit, nodes, nodes_path
@@ -642,6 +642,43 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_snapshots(spark, damaged_copy(spark, make_versions(spark, sf_dir)))
 
 
+def make_history(spark: SparkSession, sf_dir: str) -> str:
+    """A store of many commits, summarized twice on the way and not after the last ones; made once per session."""
+    key = (spark.sparkContext.applicationId, f"history of {sf_dir}")
+    if key not in _STORES:
+        root = fresh_path(spark, "history")
+        begun = stage(I.history(spark, sf_dir), "history")
+        for low, high in ((0, 4), (4, 8), (8, 1 << 40)):
+            some = begun.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high))
+            numbered = some.select(*C.KEY, "shard", "commit_seq")
+            numbered.repartition("commit_seq").write.mode("append").partitionBy("commit_seq").parquet(store.opened_path(root))
+            held = some.where(~F.col("shard").isin("empty", "lost"))
+            rows = held.withColumn("ord", F.explode(F.sequence(F.lit(1).cast("bigint"), "normalized_count")))
+            rows = rows.select(*C.KEY, "ord", F.col("ord").cast("string").alias("id"), *store.PLACE)
+            rows.repartition(*store.PLACE).write.mode("append").partitionBy(*store.PLACE).parquet(store.ids_path(root))
+            kept = some.where("has_manifest").select(*C.KEY, "normalized_count", "update_latest", "commit_seq")
+            kept.repartition("commit_seq").write.mode("append").partitionBy("commit_seq").json(store.manifests_path(root))
+            if high <= 8:
+                summary.summarize(spark, root, slice_rows=1000)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+@_query("catalog_increments")
+def catalog_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot of a store, from its summary and the commits that the summary does not hold."""
+    return summary.snapshot_catalog(spark, make_history(spark, sf_dir)).select(
+        "dataset_id", "snapshot", "commit_seq", "has_ids", "has_manifest", "complete", "is_latest"
+    )
+
+
+@_query("resolve_increments")
+def resolve_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a request of every customer comes to in that store."""
+    asked = I.requests(spark, sf_dir)
+    return C.resolve_requests(asked, summary.latest_state(spark, make_history(spark, sf_dir), asked))
+
+
 def _activated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Create snapshots of all ten lists from landed pages, then ask again and reuse them."""
     root = fresh_path(spark, "store")
