@@ -44,6 +44,8 @@ def _prefix(path: str) -> str:
 
 LISTED = 1 << 12  # names of a batch
 TASKS = 10_000  # at most so many tasks a level
+DEALT = 64  # directories or files of a task, where there are many
+DEALT_BYTES = 128 << 20  # of files that are read
 
 
 def _children(pattern: str):
@@ -65,11 +67,24 @@ def _children(pattern: str):
     return run
 
 
+def tasks_for(spark: SparkSession, n: int, n_bytes: int = 0) -> int:
+    """Tasks for ``n`` directories or files: a task costs more than a look at a few of them, so many share one."""
+    share = max(min(n, 2 * spark.sparkContext.defaultParallelism), -(-n // DEALT), min(n, -(-n_bytes // DEALT_BYTES)))
+    return max(1, min(TASKS, share))
+
+
+def deal_files(files: DataFrame) -> DataFrame:
+    """``files(path, length, …)`` dealt over tasks by number and weight."""
+    files = stage(files, "dealt")
+    found = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return files.repartition(tasks_for(files.sparkSession, *found), "path")
+
+
 def list_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*") -> DataFrame:
     """``(path, length)`` of all files under each of ``path``, empty ones too.
 
-    Level by level: the directories of a level are dealt over tasks one by one, and what they hold is written in batches of
-    bounded size, so no task lists more than its share of the directories and a lost executor costs some of a level. The
+    Level by level: the directories of a level are dealt over tasks, some ``DEALT`` to each where they are many, and what they
+    hold is written in batches of bounded size, so a lost executor costs some of a level. The
     names of one directory are one listing. Only the roots are looked at by the driver. A path that does not exist
     raises FileNotFoundError; roots that lie in each other list their files once a root. Names that begin with ``_`` or ``.``
     are left out, as Spark leaves them out, and so is what lies below them.
@@ -87,7 +102,7 @@ def list_files(spark: SparkSession, path: str | list[str], *, pattern: str = "*"
     listed = spark.createDataFrame(files, LISTING)
     directories, n = spark.createDataFrame(level, LISTING), len(level)
     while n:
-        dealt = directories.select("path").repartition(min(TASKS, n))
+        dealt = directories.select("path").repartition(tasks_for(spark, n))
         found = stage(dealt.mapInArrow(_children(pattern), LISTING), "listed")
         listed = listed.unionByName(found.where(F.col("length").isNotNull()))
         directories = found.where(F.col("length").isNull())
@@ -110,7 +125,7 @@ def read_each(files: DataFrame, read, column: str, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([value])], names=names)
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in [*files.dtypes, (column, kind)])
-    return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(run, fields)
+    return deal_files(files).mapInArrow(run, fields)
 
 
 def sha256_of(stream) -> str:
