@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+PACKED = "zstd"  # how tables of texts are written: a third smaller than by default
 
 _local_dir: str | None = None
 _scratch: list[str] = []
@@ -79,7 +80,7 @@ def stage(df: DataFrame, label: str = "stage", *, partition_by: str | None = Non
     """Write ``df`` once and return the written table; with ``keep``, one that outlives ``scratch``."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}" if keep else fresh_path(spark, label)
-    writer = df.write
+    writer = df.write.option("compression", PACKED)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
