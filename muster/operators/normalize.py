@@ -6,6 +6,9 @@ item, with the place in the list in ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,45 @@ def normalize_counted(lines: DataFrame, value: str = "value", *, dedup: bool = T
     )
 
 
+def measure_distinct(ids: DataFrame) -> DataFrame:
+    """``measure`` of ``stripped`` rows without repeats. What is shuffled is 16 bytes of SHA-256 for an identifier."""
+    mark = F.substring(F.unhex(F.sha2("id", 256)), 1, 16)
+    once = ids.groupBy("dataset_id", mark.alias("_mark")).agg(
+        F.count(F.lit(1)).alias("_copies"), F.max(F.octet_length("id")).alias("_bytes")
+    )
+    kept = F.col("_bytes") > 0
+    return once.groupBy("dataset_id").agg(
+        F.sum("_copies").alias("raw_count"),
+        F.count(F.when(kept, 1)).alias("normalized_count"),
+        F.coalesce(F.sum(F.when(kept, F.col("_bytes").cast("bigint") + 1)), F.lit(0)).cast("bigint").alias("n_bytes"),
+    )
+
+
+def _first_of_batch(keys: list[str]):
+    """The step that leaves one row, with the least ``ord``, of the rows of a batch that agree in ``keys``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                once = pa.Table.from_batches([batch]).group_by(keys, use_threads=False).aggregate([("ord", "min")])
+                yield from once.rename_columns([*keys, "ord"]).select(batch.schema.names).cast(batch.schema).combine_chunks().to_batches()
+
+    return run
+
+
+def sorted_once(ids: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``ids`` range-partitioned and sorted by ``by``, each once, with its least ``ord``.
+
+    ``by`` ends in ``id`` and, with ``ord``, names all columns. One shuffle does for the repeats and for the order. Copies
+    meet in one task, so they are first made one within a batch: a text that comes any number of times costs a row a batch.
+    """
+    columns = [*by, "ord"]
+    rows = ids.select(*columns)
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    ranged = rows.mapInArrow(_first_of_batch(by), fields).repartitionByRange(*by)
+    return ranged.groupBy(*by).agg(F.min("ord").alias("ord")).select(*columns).sortWithinPartitions(*by)
+
+
 def list_order(canonical_sort: bool) -> list[str]:
     """The columns that order a normalised list within its dataset."""
     return ["id", "ord"] if canonical_sort else ["ord"]

@@ -17,12 +17,12 @@ from muster.operators import pages as P
 from muster.operators.digest import list_digest
 from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import MANIFEST_SCHEMA, assign_shards, complete_searches, manifest_rows
-from muster.operators.normalize import list_order, measure, normalize_counted
+from muster.operators.normalize import list_order, measure, measure_distinct, sorted_once, stable_dedup, stripped
 from muster.operators.retries import failed_datasets
 from muster.operators.tree import tree_digest
 from muster.plans import store, summary
 from muster.plans.stored import stored_digests
-from muster.shared import in_scratch, stage
+from muster.shared import PACKED, in_scratch, stage
 from muster.sinks.documents import write_json
 from muster.sources.lines import opens
 
@@ -98,8 +98,9 @@ def commit_snapshots(
     searches = stage(complete_searches(searches), "searches")
     asked = stage(searches.select("dataset_id").distinct(), "asked")
     _check(searches, summary.snapshots(spark, root, asked))
-    counted = stage(normalize_counted(lists, value, dedup=dedup), "normalized")
-    sizes = stage(measure(counted), "sizes")
+    ids = stage(stripped(lists, value), "stripped")
+    one = F.lit(1).cast("bigint").alias("copies")
+    sizes = stage(measure_distinct(ids) if dedup else measure(ids.select("*", one)), "sizes")
     unasked = sizes.join(searches, "dataset_id", "left_anti")
     if strangers := unasked.limit(5).collect():
         raise ValueError(f"lists without a search: {[row.dataset_id for row in strangers]}")
@@ -107,17 +108,20 @@ def commit_snapshots(
     seq = _open(spark, root, searches)
 
     names = searches.select(*C.KEY, "shard")
-    by = ["shard", "dataset_id", *list_order(canonical_sort)]
-    target = f"{store.ids_path(root)}/commit_seq={seq}"
-    (
-        spread_lookup(counted.where(F.col("id") != ""), names, ["dataset_id"], ["id", "ord"])
+    kept = ids.where(F.col("id") != "")
+    if dedup and not canonical_sort:
+        kept = stable_dedup(kept)
+    held = spread_lookup(kept, names, ["dataset_id"], ["id", "ord"]).select(
         # a shard that may be null would be sorted by once more, after the lists
-        .select(F.coalesce("shard", F.lit("")).alias("shard"), "dataset_id", "snapshot", "ord", "id")
-        .repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .write.partitionBy("shard")
-        .parquet(target)
+        F.coalesce("shard", F.lit("")).alias("shard"), "dataset_id", "snapshot", "ord", "id"
     )
+    if dedup and canonical_sort:
+        ordered = sorted_once(held, ["shard", "dataset_id", "snapshot", "id"])
+    else:
+        by = ["shard", "dataset_id", *list_order(canonical_sort)]
+        ordered = held.repartitionByRange(*by).sortWithinPartitions(*by)
+    target = f"{store.ids_path(root)}/commit_seq={seq}"
+    ordered.write.option("compression", PACKED).partitionBy("shard").parquet(target)
     written = spark.read.schema(store.IDS_SCHEMA).parquet(target).select("dataset_id", "ord", "id")
     if opens([target]):
         flat = stored_digests(spark, target, canonical_sort=canonical_sort)
