@@ -11,6 +11,10 @@ that needs some leaves reads their parts only. The root of a list's tree is the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +23,9 @@ from muster.operators.catalog import KEY
 from muster.operators.lookup import spread_lookup
 from muster.operators.tree import LEAF_BYTES, LEAF_ROWS, leaf_nodes, leaf_rows_of, upper_nodes
 from muster.plans import store
-from muster.shared import in_scratch, read_or_empty, stage
+from muster.shared import PACKED, in_scratch, read_or_empty, stage
+from muster.sources.files import deal_files, list_files, open_path
+from muster.sources.lines import opens
 
 PART_BYTES = 64 << 20
 LEAVES_SCHEMA = "dataset_id string, snapshot string, prefix string, id string, copies bigint, commit_seq bigint, part string"
@@ -61,6 +67,58 @@ def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
     return spread_lookup(rows.withColumnRenamed("dataset_id", "_key"), names, ["_key"], ["prefix"])
 
 
+BATCH_ROWS = 1 << 14
+_LEAF_SCHEMA = "dataset_id string, depth int, prefix string, digest string, n_ids bigint, part string"
+
+
+def _leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str, str, int]]:
+    """Name, part, prefix, digest and length of the leaves in sorted files, a batch of rows in memory at a time."""
+    import hashlib
+
+    current, digest, n = None, None, 0
+    for path, part in ((p, q) for b in batches for p, q in zip(b.column("path").to_pylist(), b.column("part").to_pylist(), strict=True)):
+        store_of, at = open_path(path)
+        with store_of.open_input_file(at) as opened:
+            for rows in pq.ParquetFile(opened).iter_batches(BATCH_ROWS, columns=["dataset_id", "snapshot", "prefix", "id", "copies"]):
+                for name, snapshot, prefix, one, copies in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    leaf = (f"{name}\n{snapshot}", part, prefix)
+                    if leaf != current:
+                        if current:
+                            yield *current, digest.hexdigest(), n
+                        current, digest, n = leaf, hashlib.sha256(), 0
+                    digest.update(f"{chr(10) if n else ''}{copies} {one}".encode())
+                    n += 1
+        if current:  # a leaf is in one file
+            yield *current, digest.hexdigest(), n
+            current = None
+
+
+def stored_leaf_nodes(spark: SparkSession, target: str) -> DataFrame:
+    """``leaf_nodes`` of the leaves stored under ``target``, keyed by ``list_key``, from their files in file order.
+
+    A leaf is written by one task, sorted, into the directory of one part; so it lies in one file and nothing is shuffled
+    but the names of files.
+    """
+    if not opens([target]):  # a file system that only Spark knows
+        written = spark.read.schema(LEAVES_SCHEMA.replace(", commit_seq bigint", "")).parquet(target)
+        return leaf_nodes(written.select(list_key().alias("dataset_id"), "prefix", "id", "copies", "part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        schema = pa.schema([("dataset_id", pa.string()), ("depth", pa.int32()), ("prefix", pa.string()), ("digest", pa.string()),
+                            ("n_ids", pa.int64()), ("part", pa.string())])
+        for name, part, prefix, digest, n in _leaves_of(batches):
+            held.append((name, len(prefix) // 2, prefix, digest, n, part))
+            if len(held) == BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+
+    files = list_files(spark, target, pattern="*.parquet").withColumn("part", F.url_decode(F.regexp_extract("path", r"/part=([^/]+)/[^/]+$", 1)))
+    return deal_files(files).select("path", "part").mapInArrow(run, _LEAF_SCHEMA)
+
+
 @in_scratch
 def index_commit(
     spark: SparkSession,
@@ -86,7 +144,10 @@ def index_commit(
     )
     ids = stored.select(list_key().alias("dataset_id"), "id")
     sizes = stage(keyed_sizes(ids), "sizes")
-    dealt = leaf_rows_of(ids, sizes, distinct=False, leaf_rows=leaf_rows, leaf_bytes=leaf_bytes)
+    # lists kept with repeats may hold one identifier any number of times: those are counted before they move
+    told = store.manifests(spark, root).where((F.col("commit_seq") == commit_seq) & F.col("dedup")).select(*KEY)
+    once = names.join(told, KEY, "left_anti").isEmpty()
+    dealt = leaf_rows_of(ids, sizes, distinct=once, leaf_rows=leaf_rows, leaf_bytes=leaf_bytes)
 
     # so many hex characters of the prefix name a part that it holds about part_bytes
     wide = F.lit(0)
@@ -94,20 +155,23 @@ def index_commit(
         wide = F.when(F.col("n_bytes") > part_bytes * 256 ** (chars // 2 - 1), chars).otherwise(wide)
     measured = stage(names.join(sizes.select(F.col("dataset_id").alias("_key"), "n_bytes"), "_key").withColumn("_wide", wide), "parts")
     part = F.concat_ws("-", "shard", F.substring("prefix", F.lit(1), F.col("_wide"))).alias("part")
-    by = ["part", "dataset_id", "snapshot", "prefix", "id"]
+    # a leaf is in one task, so one shuffle brings together what is counted, sorted and written
+    leaf = ["part", *KEY, "prefix"]
     target = f"{leaves_path(root)}/{place}"
     (
         _named(dealt, measured)
         .select(*KEY, "prefix", "id", "copies", part)
-        .repartitionByRange(*by)
-        .sortWithinPartitions(*by)
+        .repartitionByRange(*leaf)
+        .groupBy(*leaf, "id")
+        .agg(F.sum("copies").alias("copies"))
+        .select(*KEY, "prefix", "id", "copies", "part")
+        .sortWithinPartitions(*leaf, "id")
         .write.mode("overwrite")
+        .option("compression", PACKED)
         .partitionBy("part")
         .parquet(target)
     )
-    written = spark.read.schema(LEAVES_SCHEMA.replace(", commit_seq bigint", "")).parquet(target)
-    keyed = leaf_nodes(written.select(list_key().alias("dataset_id"), "prefix", "id", "copies", "part"))
-    every = upper_nodes(stage(keyed, "leaf-nodes"))
+    every = upper_nodes(stage(stored_leaf_nodes(spark, target), "leaf-nodes"))
     rows = _named(every, names.select("_key", *KEY)).select(*KEY, "depth", "prefix", "digest", "n_ids", "part", "at")
     try:
         rows.repartitionByRange("at", "dataset_id", "snapshot", "prefix").write.mode("errorifexists").partitionBy("at").parquet(

@@ -24,7 +24,7 @@ from muster.plans.diff import diff, diff_counts
 from muster.plans.leaves import index_commit, nodes, nodes_path
 from muster.plans.resolve import activate
 from muster.plans.verify import verify_snapshots
-from muster.shared import fresh_path, stage
+from muster.shared import PACKED, fresh_path, stage
 from muster.sinks.documents import write_json
 from muster.sinks.text import write_lines, write_normalized_lines
 from muster.sources import tree
@@ -512,18 +512,13 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The store
 
-_STORES: dict[tuple[str, str], str] = {}
-
 
 def make_store(spark: SparkSession, sf_dir: str) -> str:
-    """A store with two commits, made once per session: all documents, then a second version under an earlier stamp."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        root = fresh_path(spark, "store")
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.noisy_lines(spark, sf_dir), "value")
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.second_lines(spark, sf_dir), "value")
-        _STORES[key] = root
-    return _STORES[key]
+    """A store with two commits, of its own for each query: all documents, then a second version under an earlier stamp."""
+    root = fresh_path(spark, "store")
+    commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.noisy_lines(spark, sf_dir), "value")
+    commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.second_lines(spark, sf_dir), "value")
+    return root
 
 
 @_query("load_snapshot")
@@ -583,16 +578,13 @@ LEAF = 16  # identifiers a leaf, so that lists of the given tables have trees of
 
 
 def make_versions(spark: SparkSession, sf_dir: str) -> str:
-    """A store with two versions of every list and their hash trees, made once per session."""
-    key = (spark.sparkContext.applicationId, f"versions of {sf_dir}")
-    if key not in _STORES:
-        root = fresh_path(spark, "versions")
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.noisy_lines(spark, sf_dir), "value")
-        commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.changed_lines(spark, sf_dir), "value")
-        for number in (1, 2):
-            index_commit(spark, root, number, leaf_rows=LEAF)
-        _STORES[key] = root
-    return _STORES[key]
+    """A store with two versions of every list and their hash trees."""
+    root = fresh_path(spark, "versions")
+    commit_snapshots(spark, root, I.searches(spark, sf_dir, EARLY), I.noisy_lines(spark, sf_dir), "value")
+    commit_snapshots(spark, root, I.searches(spark, sf_dir, LATE), I.changed_lines(spark, sf_dir), "value")
+    for number in (1, 2):
+        index_commit(spark, root, number, leaf_rows=LEAF)
+    return root
 
 
 def _pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -625,7 +617,7 @@ def damaged_copy(spark: SparkSession, root: str) -> str:
     ids = spark.read.schema(store.IDS_SCHEMA).parquet(store.ids_path(root))
     left = ids.where((kind != 1) & ~((kind == 2) & some))
     left = left.withColumn("id", F.when((kind == 3) & some, F.concat("id", F.lit("~"))).otherwise(F.col("id")))
-    left.write.partitionBy("commit_seq", "shard").parquet(store.ids_path(copy))
+    left.write.option("compression", PACKED).partitionBy("commit_seq", "shard").parquet(store.ids_path(copy))
     store.opened(spark, root).write.partitionBy("commit_seq").parquet(store.opened_path(copy))
     nodes(spark, root).write.partitionBy("commit_seq", "at").parquet(nodes_path(copy))
     wrong = store.manifests(spark, root).withColumn(
@@ -643,25 +635,24 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def make_history(spark: SparkSession, sf_dir: str) -> str:
-    """A store of many commits, summarized twice on the way and not after the last ones; made once per session."""
-    key = (spark.sparkContext.applicationId, f"history of {sf_dir}")
-    if key not in _STORES:
-        root = fresh_path(spark, "history")
-        begun = stage(I.history(spark, sf_dir), "history")
-        for low, high in ((0, 4), (4, 8), (8, 1 << 40)):
-            some = begun.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high))
-            numbered = some.select(*C.KEY, "shard", "commit_seq")
-            numbered.repartition("commit_seq").write.mode("append").partitionBy("commit_seq").parquet(store.opened_path(root))
-            held = some.where(~F.col("shard").isin("empty", "lost"))
-            rows = held.withColumn("ord", F.explode(F.sequence(F.lit(1).cast("bigint"), "normalized_count")))
-            rows = rows.select(*C.KEY, "ord", F.col("ord").cast("string").alias("id"), *store.PLACE)
-            rows.repartition(*store.PLACE).write.mode("append").partitionBy(*store.PLACE).parquet(store.ids_path(root))
-            kept = some.where("has_manifest").select(*C.KEY, "normalized_count", "update_latest", "commit_seq")
-            kept.repartition("commit_seq").write.mode("append").partitionBy("commit_seq").json(store.manifests_path(root))
-            if high <= 8:
-                summary.summarize(spark, root, slice_rows=1000)
-        _STORES[key] = root
-    return _STORES[key]
+    """A store of many commits, summarized twice on the way and not after the last ones."""
+    root = fresh_path(spark, "history")
+    begun = stage(I.history(spark, sf_dir), "history")
+    for low, high in ((0, 4), (4, 8), (8, 1 << 40)):
+        some = begun.where((F.col("commit_seq") > low) & (F.col("commit_seq") <= high))
+        # names are dealt by range, since commits are few and grow with the table; lists are made where their names are
+        dealt = some.repartitionByRange(*store.PLACE, *C.KEY)
+        numbered = dealt.select(*C.KEY, "shard", "commit_seq")
+        numbered.write.mode("append").partitionBy("commit_seq").parquet(store.opened_path(root))
+        held = dealt.where(~F.col("shard").isin("empty", "lost"))
+        rows = held.withColumn("ord", F.explode(F.sequence(F.lit(1).cast("bigint"), "normalized_count")))
+        rows = rows.select(*C.KEY, "ord", F.col("ord").cast("string").alias("id"), *store.PLACE)
+        rows.write.mode("append").partitionBy(*store.PLACE).parquet(store.ids_path(root))
+        kept = dealt.where("has_manifest").select(*C.KEY, "normalized_count", "update_latest", "commit_seq")
+        kept.write.mode("append").partitionBy("commit_seq").json(store.manifests_path(root))
+        if high <= 8:
+            summary.summarize(spark, root, slice_rows=1000)
+    return root
 
 
 @_query("catalog_increments")
