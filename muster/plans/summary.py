@@ -27,13 +27,12 @@ from muster.operators.lookup import spread_lookup
 from muster.operators.manifest import MANIFEST_COLUMNS, MANIFEST_SCHEMA
 from muster.plans import store
 from muster.shared import child_names, in_scratch, path_exists, read_or_empty, replace_path, scratch, stage
-from muster.sources.files import open_path
+from muster.sources.files import open_path, tasks_for
 from muster.sources.lines import opens
 
 SLICE_ROWS = 100_000
 MOST_SLICES = 10_000
 NAMED_SLICES = 100  # up to so many slices are opened by their paths, more by a filter on their folder
-TASKS = 10_000
 ROW_SCHEMA = f"{MANIFEST_SCHEMA}, shard string, has_manifest boolean"
 _PLACES = "commit_seq bigint, shard string"
 
@@ -170,7 +169,7 @@ def _written(spark: SparkSession, root: str, places: DataFrame) -> DataFrame:
     """Those of ``places(commit_seq, shard)`` that hold identifier files. Directories are dealt over tasks; no other is listed."""
     if opens([root]):
         named = places.withColumn("directory", N.stored_path(F.col("commit_seq"), F.col("shard")))
-        return named.repartition(max(1, min(TASKS, places.count()))).mapInArrow(_holding_files(root), _PLACES)
+        return named.repartition(tasks_for(spark, places.count())).mapInArrow(_holding_files(root), _PLACES)
     # a file system that only Spark knows
     listed = read_or_empty(spark, store.ids_path(root), "path string", "binaryFile", recursiveFileLookup="true").select(
         F.regexp_extract("path", r"/(commit_seq=\d+/shard=[^/]+)/[^/]+$", 1).alias("directory")

@@ -174,7 +174,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``commits`` without clashes; three in ten customers never save one as latest."""
-    once = commits(spark, sf_dir).groupBy("dataset_id", "snapshot").agg(F.max("commit_seq").alias("commit_seq"))
+    return _once(commits(spark, sf_dir))
+
+
+def _once(commits: DataFrame) -> DataFrame:
+    once = commits.groupBy("dataset_id", "snapshot").agg(F.max("commit_seq").alias("commit_seq"))
     number = F.col("commit_seq")
     update = (number % 3 != 0) & (F.col("dataset_id").cast("bigint") % 10 < 7)
     return once.withColumn("update_latest", update).withColumn("normalized_count", number % 17)
@@ -199,8 +203,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost, empty = number % 13 == 0, F.col("normalized_count") == 0
     turn = F.row_number().over(Window.partitionBy("dataset_id").orderBy("commit_seq")).cast("bigint")
     shard = F.when(empty, "empty").when(lost, "lost").otherwise(F.concat(F.lit("mixed-"), (number % 2).cast("string")))
+    # dealt by customer at once: names are made unique and numbered without another shuffle
     return (
-        snapshots(spark, sf_dir)
+        _once(commits(spark, sf_dir).repartition("dataset_id"))
         .withColumns({"shard": shard, "turn": turn})
         .withColumn("commit_seq", F.col("turn"))
         .withColumn("has_manifest", F.col("turn") % 5 != 3)
