@@ -115,7 +115,9 @@ def stored_leaf_nodes(spark: SparkSession, target: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
 
-    files = list_files(spark, target, pattern="*.parquet").withColumn("part", F.url_decode(F.regexp_extract("path", r"/part=([^/]+)/[^/]+$", 1)))
+    folder = F.regexp_extract("path", r"/part=([^/]+)/[^/]+$", 1)  # percent-encoded, but for plus signs
+    part = F.when(folder != "__HIVE_DEFAULT_PARTITION__", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))
+    files = list_files(spark, target, pattern="*.parquet").withColumn("part", part)
     return deal_files(files).select("path", "part").mapInArrow(run, _LEAF_SCHEMA)
 
 
@@ -168,6 +170,7 @@ def index_commit(
         .sortWithinPartitions(*leaf, "id")
         .write.mode("overwrite")
         .option("compression", PACKED)
+        .option("maxRecordsPerFile", 0)  # a leaf is in one file
         .partitionBy("part")
         .parquet(target)
     )
