@@ -13,7 +13,9 @@ an end token; after an unknown word the unigram is used.
 Tables are partitioned: words by their hash, pairs by the first word, pairs after very
 frequent words by both. What moves between the steps are blocks: the distinct entries that
 one chunk of documents has for one partition, as compressed arrays. Every entry of a block is
-counted, and no table is held by one task or the driver.
+counted, and no table is held by one task or the driver. A pair goes out without its documents,
+and its count comes back in the same order: the chunk finds its pairs again to place the counts,
+so that what moves and is stored is in proportion to the tokens, however many partitions there are.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.common import batches, stage, stage_small, word_pieces
+from muster.shared import PACKED, fresh_path, scratch, short_shuffles
 
 DISCOUNTED = 5  # counts up to this are discounted
 CHUNK_BYTES = 16 << 20  # text of a chunk; a longer text is a chunk of its own
@@ -39,7 +43,6 @@ BUCKET_WORDS = 500_000  # entries of chunks' vocabularies that one word partitio
 BUCKET_TOKENS = 2_500_000  # tokens that one pair partition is meant to have
 HOT_SHARE = 1e-4  # contexts with more of all tokens are spread: 10,000 at most
 START, END = -2, -1
-NOT_HOT = -3  # no word's id; 0 is one
 
 
 # Blocks
@@ -132,10 +135,15 @@ def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         tokens = np.concatenate([t for _, _, t in held]) if held else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(tokens, minlength=len(vocabulary)), kind="stable")  # frequent words get low numbers
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        tokens = rank[tokens]
+        spelled = list(vocabulary)
         lengths = np.array([len(t) for _, _, t in held], dtype=np.uint64)
         kept_out = np.array([h for _, h, _ in held], dtype=bool)
         trained = np.bincount(tokens[~np.repeat(kept_out, lengths.astype(np.int64))], minlength=len(vocabulary))
-        words = zstandard.ZstdCompressor(level=1).compress(b" ".join(vocabulary))
+        words = zstandard.ZstdCompressor(level=1).compress(b" ".join([spelled[i] for i in order]))
         row = {
             "chunk": (part << 24) + number,
             "words": words,
@@ -246,21 +254,52 @@ WORD_COUNTS = pa.schema(
 # Step 3: pairs of each chunk
 
 
-def _pair_blocks(unigrams: Unigrams, n_buckets: int, hot: float, id_kind: pa.DataType) -> Callable:
-    schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(id_kind)), ("data", pa.binary())])
+def _pair_blocks(unigrams: Unigrams, n_buckets: int, hot: float) -> Callable:
+    schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1):
             (row,) = batch.to_pylist()
-            info, blocks = _pairs_of(row, unigrams, n_buckets, hot)
-            rows = [{"key": n_buckets + row["chunk"], "chunk": row["chunk"], "ids": row["ids"], "data": info}]
-            rows += [{"key": b, "chunk": row["chunk"], "ids": None, "data": data} for b, data in blocks]
+            _, blocks = _pairs_of(row, unigrams, n_buckets, hot)
+            rows = [{"key": b.bucket, "chunk": row["chunk"], "data": b.packed()} for b in blocks]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-def _pairs_of(row: dict, unigrams: Unigrams, n_buckets: int, hot: float) -> tuple[bytes, list[tuple[int, bytes]]]:
+class Pairs(NamedTuple):
+    """The distinct pairs of a chunk in one partition, by context; and the documents each is in."""
+
+    bucket: int
+    heads: np.ndarray  # contexts
+    head_count: np.ndarray
+    head_pairs: np.ndarray  # pairs of each context
+    token: np.ndarray
+    token_count: np.ndarray
+    trained: np.ndarray
+    entries: np.ndarray  # documents of each pair
+    document: np.ndarray
+    times: np.ndarray
+
+    def packed(self) -> bytes:
+        """What step 4 needs: the pairs without their documents, a token's id and count once."""
+        tokens, first, at = np.unique(self.token, return_index=True, return_inverse=True)
+        count = self.token_count[first]
+        order = np.argsort(-count, kind="stable")  # frequent tokens get low numbers
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        down = count[order]
+        return pack(
+            self.heads, small(self.head_count), small(self.head_pairs),
+            tokens[order], small(down - np.append(down[1:], 0)), small(rank[at]), small(self.trained),
+        )
+
+
+def _pairs_of(row: dict, unigrams: Unigrams, n_buckets: int, hot: float) -> tuple[tuple, Iterator[Pairs]]:
+    """What a chunk's documents have without pairs, and its pairs by partition.
+
+    Steps 3 and 5 both ask for it: the order of the pairs depends on the row alone.
+    """
     kept_out, lengths = unpack(row["documents"])
     lengths = lengths.astype(np.int64)
     (tokens,) = unpack(row["tokens"])
@@ -292,12 +331,12 @@ def _pairs_of(row: dict, unigrams: Unigrams, n_buckets: int, hot: float) -> tupl
     known = by_document(seen > 0).astype(np.int64)
     alone = count[context] == 0
     local = by_document(np.where(alone, np.log10(unigrams.probability(seen)), 0.0))
-    info = pack(kept_out, places, known, base, local)
+    info = (kept_out, places, known, base, local)
 
     if alone.any():
         context, token, document = context[~alone], token[~alone], document[~alone]
     if not len(token):
-        return info, []
+        return info, iter(())
     entry, times = np.unique((context * (n_words + 2) + token) * n_docs + document, return_counts=True)
     pair_of, document = entry // n_docs, entry % n_docs
     first = np.nonzero(np.diff(pair_of, prepend=-1))[0]
@@ -312,40 +351,35 @@ def _pairs_of(row: dict, unigrams: Unigrams, n_buckets: int, hot: float) -> tupl
         bucket[spread] = _spread(both, n_buckets)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    blocks = []
-    for b in range(n_buckets):
-        pairs = order[cuts[b] : cuts[b + 1]]
-        if not len(pairs):
-            continue
-        of = context[pairs]
-        heads = np.nonzero(np.diff(of, prepend=-1))[0]
-        n = entries[pairs]
-        at = np.repeat(first[pairs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        blocks.append((b, pack(
-            word[of[heads]], small(count[of[heads]]), small(np.diff(np.append(heads, len(of)))),
-            word[token[pairs]], small(count[token[pairs]]), small(trained[pairs]), small(n),
-            small(document[at]), small(times[at]),
-        )))
-    return info, blocks
 
+    def blocks() -> Iterator[Pairs]:
+        for b in range(n_buckets):
+            pairs = order[cuts[b] : cuts[b + 1]]
+            if not len(pairs):
+                continue
+            of = context[pairs]
+            heads = np.nonzero(np.diff(of, prepend=-1))[0]
+            n = entries[pairs]
+            at = np.repeat(first[pairs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            yield Pairs(
+                b, word[of[heads]], count[of[heads]], np.diff(np.append(heads, len(of))),
+                word[token[pairs]], count[token[pairs]], trained[pairs], n, document[at], times[at],
+            )
+
+    return info, blocks()
 
-# Step 4: counts of pairs, and what each document has of them
 
-OUT = ["kind", "chunk", "wid", "stats", "data"]
+# Step 4: counts of pairs, and what the pairs of each chunk have of them
 
 
-def _count_pairs(unigrams: Unigrams, n_buckets: int, hot: float, id_kind: pa.DataType) -> Callable:
+def _count_pairs(unigrams: Unigrams, hot: float) -> Callable:
     schema = pa.schema(
-        [("chunk", pa.int64()), ("ids", pa.list_(id_kind)), ("wid", pa.int64()), ("stats", pa.list_(pa.float64())),
-         ("data", pa.binary()), ("kind", pa.string())]
-    )
+        [("chunk", pa.int64()), ("wid", pa.int64()), ("stats", pa.list_(pa.float64())), ("data", pa.binary()), ("kind", pa.string())]
+    )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _by_key(source):
-            if key >= n_buckets:  # what step 3 knew of a chunk's documents
-                yield pa.RecordBatch.from_pylist([r | {"kind": "documents"} for r in rows], schema=schema)
-            else:
-                yield pa.RecordBatch.from_pylist(_counted(key, rows, unigrams, hot), schema=schema)
+            yield pa.RecordBatch.from_pylist(_counted(key, rows, unigrams, hot), schema=schema)
 
     return run
 
@@ -353,63 +387,50 @@ def _count_pairs(unigrams: Unigrams, n_buckets: int, hot: float, id_kind: pa.Dat
 def _counted(key: int, rows: list[dict], unigrams: Unigrams, hot: float) -> list[dict]:
     blocks = [unpack(row["data"]) for row in rows]
     wide = lambda i: np.concatenate([b[i].astype(np.int64) for b in blocks])
-    heads, head_count, head_pairs, token, token_count, trained, entries = (wide(i) for i in range(7))
+    heads, head_count, head_pairs, trained = (wide(i) for i in (0, 1, 2, 6))
     contexts, context = np.unique(heads, return_inverse=True)
     total = np.zeros(len(contexts), dtype=np.int64)
     total[context] = head_count
     context = np.repeat(context, head_pairs)
-    tokens, token_at = np.unique(token, return_inverse=True)
-    pairs, one, pair = np.unique(context * len(tokens) + token_at, return_index=True, return_inverse=True)
+    tokens, number = np.unique(wide(3), return_inverse=True)
+    token_count = np.zeros(len(tokens), dtype=np.int64)
+    token_count[number] = np.concatenate([np.cumsum(b[4][::-1].astype(np.int64))[::-1] for b in blocks])
+    starts = np.cumsum([0, *(len(b[3]) for b in blocks)])
+    token_at = np.concatenate([number[n + b[5].astype(np.int64)] for n, b in zip(starts, blocks, strict=False)])
+    pairs, pair = np.unique(context * len(tokens) + token_at, return_inverse=True)
     count = np.bincount(pair, weights=trained, minlength=len(pairs)).astype(np.int64)
 
     # per context: pairs seen 1 to DISCOUNTED times, the counts above, the unigram mass of seen words
     seen = count > 0
     of, c = pairs[seen] // len(tokens), count[seen]
-    probability = unigrams.probability(token_count)
+    token = pairs[seen] % len(tokens)
     low = c <= DISCOUNTED
     stats = np.zeros((len(contexts), DISCOUNTED + 3))
     np.add.at(stats, (of[low], c[low] - 1), 1)
     stats[:, DISCOUNTED] = np.bincount(of, weights=np.where(low, 0, c), minlength=len(contexts))
-    stats[:, DISCOUNTED + 1] = np.bincount(of, weights=probability[one][seen], minlength=len(contexts))
+    stats[:, DISCOUNTED + 1] = np.bincount(of, weights=unigrams.probability(token_count)[token], minlength=len(contexts))
     stats[:, DISCOUNTED + 2] = total
 
     out = [{"kind": "counts", "stats": [float(v) for v in _counts_of(c).values()]}]
-    out.append({
-        "kind": "model", "wid": key,
-        "data": pack(contexts[of], tokens[pairs[seen] % len(tokens)], small(c)),
-    })
+    out.append({"kind": "model", "wid": key, "data": pack(contexts[of], tokens[token], small(c))})
     for i in np.nonzero(total > hot)[0]:
         out.append({"kind": "hot", "wid": int(contexts[i]), "stats": stats[i].tolist()})
 
     here = count[pair]
-    log_seen = np.where(here > DISCOUNTED, np.log10(np.maximum(here, 1)), 0.0) - np.log10(total[context] + 1.0)
-    log_unseen = np.log10(probability)
     at = 0
     for row, block in zip(rows, blocks, strict=True):
-        n_pairs = len(block[3])
-        which = np.repeat(np.arange(at, at + n_pairs), block[6].astype(np.int64))
-        out.append({"kind": "parts", "chunk": row["chunk"], "data": _parts(
-            which, here[which], block[7].astype(np.int64), block[8].astype(np.int64),
-            log_seen, log_unseen, context, contexts, stats, hot,
+        mine = slice(at, at := at + len(block[5]))
+        own = stats[np.searchsorted(contexts, block[0][_backed(here[mine], block[2]) & (block[1] <= hot)])]
+        out.append({"kind": "parts", "chunk": row["chunk"], "wid": key, "data": pack(
+            small(here[mine]), small(own[:, : DISCOUNTED + 1].astype(np.int64).T.reshape(-1)), own[:, DISCOUNTED + 1].copy(),
         )})
-        at += n_pairs
     return out
 
 
-def _parts(which, count, document, times, log_seen, log_unseen, context, contexts, stats, hot) -> bytes:
-    """A chunk's documents: places by count class, sums of logarithms, and contexts backed off from."""
-    documents, d = np.unique(document, return_inverse=True)
-    n, seen = len(documents), count > 0
-    level = np.minimum(count, DISCOUNTED + 1)
-    classes = np.bincount(d * (DISCOUNTED + 2) + level, weights=times, minlength=n * (DISCOUNTED + 2))
-    sums = np.bincount(d, weights=times * np.where(seen, log_seen[which], log_unseen[which]), minlength=n)
-    backed, b = np.unique(context[which[~seen]], return_inverse=True)
-    own = stats[backed].copy()
-    names = np.where(own[:, -1] > hot, contexts[backed], NOT_HOT)
-    return pack(
-        small(documents), small(classes.astype(np.int64)), sums,
-        names, own.reshape(-1), small(d[~seen]), small(b), small(times[~seen]),
-    )
+def _backed(count: np.ndarray, head_pairs: np.ndarray) -> np.ndarray:
+    """Whether a context has pairs that were not seen."""
+    first = np.cumsum(head_pairs, dtype=np.int64) - head_pairs
+    return np.logical_or.reduceat(count == 0, first)
 
 
 # Step 5: scores
@@ -422,28 +443,38 @@ def backoff(stats: np.ndarray, discount: np.ndarray) -> np.ndarray:
     return (1.0 - given / (stats[:, -1] + 1.0)) / (1.0 - stats[:, DISCOUNTED + 1])
 
 
-def _finish(discount: np.ndarray, hot_logs: dict[int, float], train_tokens: int, names: list[str], id_kind: pa.DataType) -> Callable:
-    logs = np.append(np.log10(discount * np.arange(1, DISCOUNTED + 1)), 0.0)
-
+def _log_pairs(block: Pairs, data: bytes, unigrams: Unigrams, discount: np.ndarray, hot: float, hot_logs: dict[int, float]) -> np.ndarray:
+    """The logarithm of each pair's probability."""
+    count, numbers, mass = unpack(data)
+    count = count.astype(np.int64)
+    backed = _backed(count, block.head_pairs)
+    frequent = block.head_count > hot
+    own = backed & ~frequent
+    stats = np.column_stack([numbers.reshape(DISCOUNTED + 1, -1).T, mass, block.head_count[own]]).astype(np.float64)
+    left = np.zeros(len(backed))
+    left[own] = np.log10(backoff(stats, discount))
+    for i in np.nonzero(backed & frequent)[0]:
+        left[i] = hot_logs[int(block.heads[i])]
+    given = np.append(discount * np.arange(1, DISCOUNTED + 1), 1.0)[np.clip(count, 1, DISCOUNTED + 1) - 1]
+    given = given * np.where(count > DISCOUNTED, count, 1) / (np.repeat(block.head_count, block.head_pairs) + 1.0)
+    alone = np.log10(unigrams.probability(block.token_count)) + np.repeat(left, block.head_pairs)
+    return np.where(count > 0, np.log10(given), alone)
+
+
+def _finish(
+    unigrams: Unigrams, n_buckets: int, hot: float, discount: np.ndarray, hot_logs: dict[int, float], names: list[str], id_kind: pa.DataType
+) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(source):
-            info = [r for r in rows if r["kind"] == "documents"][0]
-            kept_out, places, known, base, local = unpack(info["data"])
-            score = local.copy()
-            for row in rows:
-                if row["kind"] != "parts":
-                    continue
-                documents, classes, sums, contexts, stats, d, b, times = unpack(row["data"])
-                documents = documents.astype(np.int64)
-                score[documents] += classes.reshape(-1, DISCOUNTED + 2)[:, 1:].astype(np.float64) @ logs + sums
-                if len(d):
-                    log = np.log10(backoff(stats.reshape(-1, DISCOUNTED + 3), discount))
-                    for i in np.nonzero(contexts != NOT_HOT)[0]:
-                        log[i] = hot_logs[int(contexts[i])]
-                    np.add.at(score, documents[d], times * log[b])
+            (row,) = (r for r in rows if r["kind"] == "chunk")
+            parts = {r["wid"]: r["data"] for r in rows if r["kind"] == "parts"}
+            (kept_out, places, known, base, score), blocks = _pairs_of(row, unigrams, n_buckets, hot)
+            for block in blocks:
+                logs = _log_pairs(block, parts[block.bucket], unigrams, discount, hot, hot_logs)
+                score += np.bincount(block.document, weights=block.times * np.repeat(logs, block.entries), minlength=len(score))
             columns = [
-                pa.array(info["ids"], id_kind), pa.array(kept_out.astype(bool)), pa.array(places), pa.array(known),
-                pa.array(np.full(len(places), train_tokens)), pa.array(base), pa.array(score),
+                pa.array(row["ids"], id_kind), pa.array(kept_out.astype(bool)), pa.array(places), pa.array(known),
+                pa.array(np.full(len(places), unigrams.tokens)), pa.array(base), pa.array(score),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -459,32 +490,46 @@ def katz_scores(rows: DataFrame, key: str, text: str, held_out: str) -> DataFram
     base-10 logarithms. The order of floating-point sums follows the chunks, so the last
     digits may depend on how the input is split.
     """
-    kind = dict(rows.dtypes)[key]
-    chunks = stage_small(
-        rows.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-        .mapInArrow(
-            _chunks,
-            "chunk bigint, words binary, n_words bigint, n_tokens bigint, n_trained bigint, counts binary, "
-            f"documents binary, tokens binary, ids array<{kind}>",
-        ),
-        "katz-chunks",
-    )
-    n_words, n_tokens, documents = (
-        int(v or 0) for v in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_trained")).first()
-    )
-    id_kind = _arrow_kind(rows, key)
+    spark = rows.sparkSession
+    with short_shuffles(spark), scratch(spark):
+        return _staged_scores(rows, key, text, held_out)
+
+
+def _staged_scores(rows: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
+    """Within ``scratch``: the model and the scores stay, the tables of chunks and words go as soon as they are used up."""
+    spark, kind, id_kind = rows.sparkSession, dict(rows.dtypes)[key], _arrow_kind(rows, key)
+    path = fresh_path(spark, "katz-filled")  # outlives what it is made of
+    with scratch(spark):
+        chunks = stage_small(
+            rows.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+            .mapInArrow(
+                _chunks,
+                "chunk bigint, words binary, n_words bigint, n_tokens bigint, n_trained bigint, counts binary, "
+                f"documents binary, tokens binary, ids array<{kind}>",
+            ),
+            "katz-chunks",
+        )
+        n_words, n_tokens, documents, n_chunks = (
+            int(v or 0) for v in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_trained"), F.count("*")).first()
+        )
 
-    n_buckets = 1 + n_words // BUCKET_WORDS
-    blocks = chunks.select("chunk", "words", "counts").mapInArrow(
-        _word_blocks(n_buckets), "key bigint, chunk bigint, words binary, data binary"
-    )
-    sums = ", ".join(f"{c} bigint" for c in ("n", "v", *COUNTS_OF))
-    words = stage_small(
-        blocks.repartition(n_buckets, "key").sortWithinPartitions("key", "chunk")
-        .mapInArrow(_count_words, f"chunk bigint, data binary, {sums}"),
-        "katz-words",
-    )
-    totals = words.agg(*[F.sum(c) for c in ("n", "v", *COUNTS_OF)]).first()
+        n_buckets = 1 + n_words // BUCKET_WORDS
+        blocks = chunks.select("chunk", "words", "counts").mapInArrow(
+            _word_blocks(n_buckets), "key bigint, chunk bigint, words binary, data binary"
+        )
+        sums = ", ".join(f"{c} bigint" for c in ("n", "v", *COUNTS_OF))
+        words = stage_small(
+            blocks.repartition(n_buckets, "key").sortWithinPartitions("key", "chunk")
+            .mapInArrow(_count_words, f"chunk bigint, data binary, {sums}"),
+            "katz-words",
+        )
+        totals = words.agg(*[F.sum(c) for c in ("n", "v", *COUNTS_OF)]).first()
+        of_chunk = words.where(F.col("chunk").isNotNull()).groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list("data").alias("blocks"))
+        joined = chunks.select("chunk", "n_words", "documents", "tokens", "ids").join(
+            of_chunk, F.col("chunk") == F.col("_chunk"), "left"
+        ).drop("_chunk")
+        joined.write.option("compression", PACKED).parquet(path)
+    filled = spark.read.schema(joined.schema).parquet(path)
     tokens, types, *counts_of = (int(v or 0) for v in totals)
     if documents:  # the end token is a word like any other
         tokens, types = tokens + documents, types + 1
@@ -493,20 +538,14 @@ def katz_scores(rows: DataFrame, key: str, text: str, held_out: str) -> DataFram
     unigrams = Unigrams(tokens, types, counts_of, documents)
 
     n_buckets, hot = 1 + n_tokens // BUCKET_TOKENS, max(1000.0, HOT_SHARE * tokens)
-    of_chunk = words.where(F.col("chunk").isNotNull()).groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list("data").alias("blocks"))
-    filled = chunks.select("chunk", "n_words", "documents", "tokens", "ids").join(
-        of_chunk, F.col("chunk") == F.col("_chunk"), "left"
-    ).drop("_chunk")
-    pairs = filled.mapInArrow(
-        _pair_blocks(unigrams, n_buckets, hot, id_kind), f"key bigint, chunk bigint, ids array<{kind}>, data binary"
-    )
+    pairs = filled.mapInArrow(_pair_blocks(unigrams, n_buckets, hot), "key bigint, chunk bigint, data binary")
     counted = stage(
         pairs.repartition(n_buckets, "key").sortWithinPartitions("key", "chunk").mapInArrow(
-            _count_pairs(unigrams, n_buckets, hot, id_kind),
-            f"chunk bigint, ids array<{kind}>, wid bigint, stats array<double>, data binary, kind string",
+            _count_pairs(unigrams, hot), "chunk bigint, wid bigint, stats array<double>, data binary, kind string"
         ),
         "katz-model",
         partition_by="kind",
+        keep=True,
     )
     n_stats = DISCOUNTED + 3
     summed = lambda n: [F.sum(F.element_at("stats", i + 1)) for i in range(n)]
@@ -516,13 +555,16 @@ def katz_scores(rows: DataFrame, key: str, text: str, held_out: str) -> DataFram
     hot_logs = {r[0]: float(np.log10(backoff(np.array([r[1:]]), discount))[0]) for r in frequent}
 
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return (
-        counted.where("kind in ('documents', 'parts')").select(F.col("chunk").alias("key"), "kind", "ids", "data")
-        .repartition(max(1, chunks.count()), "key").sortWithinPartitions("key", "kind")
+    parts = counted.where("kind = 'parts'").select(F.col("chunk").alias("key"), "kind", "wid", "data")
+    return stage(
+        filled.withColumn("kind", F.lit("chunk")).withColumnRenamed("chunk", "key").unionByName(parts, allowMissingColumns=True)
+        .repartition(max(1, n_chunks), "key").sortWithinPartitions("key", "kind")
         .mapInArrow(
-            _finish(discount, hot_logs, tokens, names, id_kind),
+            _finish(unigrams, n_buckets, hot, discount, hot_logs, names, id_kind),
             f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
-        )
+        ),
+        "katz-scores",
+        keep=True,
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 PACKED = "zstd"  # how tables of texts are written: a third smaller than by default
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
 _scratch: list[str] = []
@@ -65,6 +66,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Have the shuffle files of every job in between removed at its end.
+
+    By default they stay until the driver happens to collect the plan as garbage.
+    """
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+
+
 def in_scratch(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Run ``plan(spark, …)`` within ``scratch``."""
 

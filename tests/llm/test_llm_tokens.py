@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from muster import shared
 from muster.llm import bpe, katz, pretokens, token_shards
 from muster.llm.queries import vocabulary_path
 
@@ -176,6 +180,44 @@ def test_katz_first_word_may_be_hot(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def words_at_random(n_docs, n_words):
+    random.seed(3)
+    return [(i, " ".join(f"w{int(random.paretovariate(0.6)) % 3000}" for _ in range(n_words)), i % 7 == 2) for i in range(n_docs)]
+
+
+def test_katz_counts_do_not_grow_with_partitions(spark, monkeypatch):
+    """What comes back for the documents is in proportion to their pairs, and the scores stay the same."""
+    root = Path(shared._own_dir(spark).removeprefix("file:"))
+    table = spark.createDataFrame(words_at_random(3000, 60), "id bigint, text string, held_out boolean").coalesce(2)
+    sizes, scores = [], []
+    for size in (1 << 30, 5000):
+        monkeypatch.setattr(katz, "BUCKET_TOKENS", size)
+        before = set(root.glob("katz-model-*"))
+        scores.append({r.id: round(r.score, 6) for r in katz.katz_scores(table, "id", "text", "held_out").collect()})
+        (model,) = set(root.glob("katz-model-*")) - before
+        sizes.append(spark.read.parquet(str(model)).where("kind in ('documents', 'parts')").agg(F.sum(F.length("data"))).first()[0])
+    assert scores[0] == scores[1]
+    assert sizes[1] < 2 * sizes[0], sizes
+
+
+def test_katz_leaves_the_model_and_the_scores(spark):
+    """The tables of chunks and words, and the shuffle files, go with the run."""
+    root = Path(shared._own_dir(spark).removeprefix("file:"))
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()))
+    shuffles = lambda: set(local.glob("blockmgr-*/*/shuffle_*.data")) | set(local.glob("spark-*/**/blockmgr-*/*/shuffle_*.data"))
+    table = spark.createDataFrame(words_at_random(50, 40), "id bigint, text string, held_out boolean")
+    before, moved, setting = set(root.glob("*")), shuffles(), spark.conf.get(shared.SHUFFLES_END, None)
+    found = katz.katz_scores(table, "id", "text", "held_out")
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - before}
+    assert left == {"katz-model", "katz-scores"}
+    assert spark.conf.get(shared.SHUFFLES_END, None) == setting
+    until = time.time() + 20
+    while shuffles() - moved and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - moved
+    assert found.count() == 50
+
+
 def test_katz_without_training(spark):
     schema = "id bigint, text string, held_out boolean"
     assert katz.katz_scores(spark.createDataFrame([], schema), "id", "text", "held_out").count() == 0
