@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.llm.common import batches, input_partitions, stage, stage_small
-from muster.llm.pretokens import PieceCache, vocabulary
+from muster.llm.pretokens import PieceTable, vocabulary
 from muster.shared import fresh_path
 
 MAGIC = b"TOKSHRD1"
@@ -44,44 +44,15 @@ SHARD_BYTES = 64 << 20  # compressed bytes a file is meant to have
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> PieceCache:
-    """The tokenizers library behind the piece cache of this Python worker."""
+def library_encoder(path: str) -> PieceTable:
+    """The tokenizers library behind the piece table of this Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    vocab = vocabulary(path)
-
-    begins_word = np.array([token[:1] == b" " for token in vocab.bytes_of])
-
-    def together(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and where each word's end, of pre-tokens of any kind."""
-        found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-        return np.array(found.ids, dtype="<u4"), np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
-
-    def as_text(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of words that begin with a space, as one text: only their first tokens do."""
-        ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.append(np.nonzero(begins_word[ids])[0][1:], len(ids))
-        return (ids, ends) if len(ends) == len(part) else together(part)
-
-    def encode_words(words: list[str]) -> list[bytes]:
-        spaced = [w[0] == " " and w[1:].isalpha() for w in words]
-        out: list[bytes] = [b""] * len(words)
-        for kind, encode in ((True, as_text), (False, together)):
-            places = [i for i, s in enumerate(spaced) if s == kind]
-            for start in range(0, len(places), 2048):
-                part = places[start : start + 2048]
-                ids, ends = encode([words[i] for i in part])
-                packed, at = ids.tobytes(), 0
-                for i, end in zip(part, (ends * 4).tolist(), strict=True):
-                    out[i] = packed[at:end]
-                    at = end
-        return out
-
-    return PieceCache(vocab.added_pattern, vocab.added, encode_words)
+    return PieceTable(vocabulary(path), lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
 
 def id_bytes(path: str) -> int:

@@ -90,6 +90,67 @@ def test_ids_of_long_texts_leave_in_slices(spark, library, monkeypatch):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+class Counting:
+    """The tokenizers library, and how many characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode(self, words, **options):
+        self.given += sum(map(len, words))
+        return self.inner.encode(words, **options)
+
+    def encode_batch_fast(self, some, **options):
+        self.given += sum(map(len, some))
+        return self.inner.encode_batch_fast(some, **options)
+
+
+def counted(monkeypatch):
+    """The encoder of op10_token_shards with a library that counts."""
+    counting = Counting(Tokenizer.from_file(vocabulary_path()))
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Tokenizer", (), {"from_file": staticmethod(lambda path: counting)}))
+    return token_shards.library_encoder.__wrapped__(vocabulary_path()), counting
+
+
+def test_shard_encoder_asks_for_new_words_only(library, monkeypatch):
+    """Frequent words are asked for once, with whatever marks and also when what is remembered is full again and again."""
+    monkeypatch.setattr(pretokens, "REMEMBERED_BYTES", 400_000)
+    monkeypatch.setattr(pretokens, "SLICE_BYTES", 1)  # each text by itself
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdeinorst", k=12))
+    frequent = [word() for _ in range(500)]
+    texts = []
+    for _ in range(20):
+        new = [word() for _ in range(200)]
+        texts.append("x " + " ".join(w + random.choice(["", ",", ".", ");", ".\n" + random.choice(frequent)]) for w in frequent + new))
+    encoder, counting = counted(monkeypatch)
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    once = 13 * (2 * len(frequent) + 200 * len(texts))  # after a space, and after a line end
+    assert counting.given < 1.2 * once
+    assert encoder.held <= 400_000
+
+
+@pytest.mark.parametrize(("remembered", "text_bytes"), [(96 << 20, 8 << 20), (96 << 20, 2000), (1, 1), (20_000, 500)])
+def test_shard_encoder_of_any_text(library, monkeypatch, remembered, text_bytes):
+    monkeypatch.setattr(pretokens, "REMEMBERED_BYTES", remembered)
+    monkeypatch.setattr(pretokens, "SLICE_BYTES", text_bytes)
+    random.seed(8)
+    parts = ["word", "Ünd", "été", "дом", "日本語", "ǅ", "ª", "µ", "x\u0301", "12", "it's", "'s", "<|", "<|endoftext|>", "…", "\u00a0", "\u2028", "\x85", "\x1f", "\r\n", "\t"]
+    parts += [" ", " ", " ", " ", " ", "  ", "\n", "\n", "\n\n", ".", ",", "!?", "_", "$+=", "'", "z" * 70, "'" * 70, "𝒳", "א", "한글"]
+    given = [*random.sample(texts(), 300), *texts()[-18:], *("".join(random.choices(parts, k=random.randint(1, 30))) for _ in range(500))]
+    given += [" ".join(random.choices(["a", "b.", "c,\nd", "e;\nf\nG", "h\n.", "\ni", "j\n"], k=8)) for _ in range(500)]
+    encoder = token_shards.library_encoder.__wrapped__(vocabulary_path())
+    for _ in range(2):
+        for text, ids in zip(given, encoder.encode(pa.array(given)), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert [list(ids) for ids in encoder.encode(pa.array(["", None, " "]))] == [[], [], [220]]
+    assert not list(encoder.encode(pa.array([], pa.string())))
+
+
 def test_shards(spark, library):
     table = docs(spark, EDGES + [(100 + i, f"text {i} of many") for i in range(300)]).repartition(5)
     files, folder, dictionary = token_shards.write_shards(table, "doc_id", "text", vocabulary_path())
